@@ -6,17 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, simhash
+from . import decontaminate, html, knn, licenses, mixing, quality, recurrent, sharding, simhash, substrings
+from .oracles import contained_sql
 
 
-def _on(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+def _on(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mixing": _on("documents", mixing.op1_mixing),
-    "op3_simhash": _on("documents", simhash.op3_simhash),
-    "op9_sharding": _on("documents", sharding.op9_sharding),
+    "op1_mixing": _on(mixing.op1_mixing, "documents"),
+    "op2_licenses": _on(licenses.op2_licenses, "documents"),
+    "op3_simhash": _on(simhash.op3_simhash, "documents"),
+    "op4_topk": _on(knn.op4_topk, "embeddings"),
+    "op5_quality": _on(quality.op5_quality, "documents", "labels"),
+    "op6_recurrent": _on(recurrent.op6_recurrent, "documents"),
+    "op7_substrings": _on(substrings.op7_substrings, "documents"),
+    "op8_extract": _on(html.op8_extract, "pages"),
+    "op9_sharding": _on(sharding.op9_sharding, "documents"),
+    "op10_decontaminate": _on(decontaminate.op10_decontaminate, "documents", "benchmark"),
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE,
+    "op2_licenses": contained_sql(
+        "(VALUES " + ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.NOTICES)) + ") AS t(id, name, text)",
+        "doc_id, name AS license, id AS notice_id, shingles, shared, shared / shingles AS containment, first_word",
+    ),
+    "op4_topk": knn.ORACLE,
+    "op10_decontaminate": contained_sql(
+        "(SELECT DISTINCT item_id AS id, '' AS name, text FROM benchmark) AS t",
+        "doc_id, id AS item_id, shingles AS item_shingles, shared, shared / shingles AS containment, first_word",
+    ),
+}
