@@ -1,4 +1,15 @@
-"""Registered queries of the reference's own operators."""
+"""Registered queries of the reference's own operators, with DuckDB SQL for those SQL can express."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import retrieval
+
+_MODULES = (retrieval,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
