@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,6 +24,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(fn: Callable[..., Column], *cols: Column) -> Column:
+    """fn of columns that are computed once per row, however often fn uses them (also inside lambdas)."""
+    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)])
+    return F.element_at(F.transform(F.array(row), lambda s: fn(*[s[f"c{i}"] for i in range(len(cols))])), 1)
+
+
 def string_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -124,20 +131,19 @@ def token_f1_arrays(pred: Column, ref: Column) -> Column:
 
 def token_f1_col(pred: Column | str, ref: Column | str) -> Column:
     """GM4: token F1 of two texts."""
-    return token_f1_arrays(norm_tokens_col(pred), norm_tokens_col(ref))
+    return bind(token_f1_arrays, norm_tokens_col(pred), norm_tokens_col(ref))
 
 
 def faithfulness_col(answer: Column | str, contexts: Column | str) -> Column:
     """GM5: share of the answer's claim words found in its contexts."""
-    words = claim_words_col(answer)
-    known = norm_tokens_col(F.array_join(F.coalesce(col(contexts), F.array().cast("array<string>")), " "))
-    share = F.size(F.filter(words, lambda w: F.array_contains(known, w))) / F.size(words)
-    return (
-        F.when(strip_sources_col(answer) == "", 0.0)
-        .when(F.size(words) == 0, 1.0)
-        .when(F.coalesce(F.size(col(contexts)), F.lit(0)) <= 0, 0.0)
-        .otherwise(share)
-    )
+    contexts = F.coalesce(col(contexts), F.array().cast("array<string>"))
+
+    def share(words: Column, known: Column, said: Column) -> Column:
+        found = F.size(F.filter(words, lambda w: F.array_contains(known, w)))
+        none = F.size(contexts) == 0
+        return F.when(said == "", 0.0).when(F.size(words) == 0, 1.0).when(none, 0.0).otherwise(found / F.size(words))
+
+    return bind(share, claim_words_col(answer), F.array_distinct(norm_tokens_col(F.array_join(contexts, " "))), strip_sources_col(answer))
 
 
 def _f1_or_zero(a: Column | str, b: Column | str, pred: Column, ref: Column) -> Column:
@@ -176,14 +182,14 @@ def fact_text_col(text: Column | str) -> Column:
 
 def fact_present_col(answer: Column | str, wordings: Column | str) -> Column:
     """GM8: any wording of the fact stands in the answer as a whole term."""
-    hay = fact_text_col(answer)
 
-    def stands(wording: Column) -> Column:
-        needle = fact_text_col(wording)
-        quoted = F.concat(F.lit(r"(?<![0-9a-z])\Q"), needle, F.lit(r"\E(?![0-9a-z])"))
-        return (needle != "") & F.regexp_like(hay, quoted)
+    def any_stands(hay: Column) -> Column:
+        def stands(needle: Column) -> Column:
+            return (needle != "") & F.regexp_like(hay, F.concat(F.lit(r"(?<![0-9a-z])\Q"), needle, F.lit(r"\E(?![0-9a-z])")))
+
+        return F.coalesce(F.exists(F.transform(col(wordings), fact_text_col), stands), F.lit(False))
 
-    return F.coalesce(F.exists(col(wordings), stands), F.lit(False))
+    return bind(any_stands, fact_text_col(answer))
 
 
 def fact_recall_col(answer: Column | str, facts: Column | str) -> Column:

@@ -19,8 +19,12 @@ def _r4(c: Column) -> Column:
 
 def labels_col(retrieved: str = "retrieved", gold: str = "gold") -> Column:
     """RM1: per retrieved text, 1 if its word set has Jaccard >= 0.5 with any gold context's."""
-    near = lambda r: F.exists(F.col(gold), lambda g: T.jaccard_col(T.word_set_col(r), T.word_set_col(g)) >= JACCARD)
-    return F.transform(F.col(retrieved), lambda r: F.when(near(r), 1).otherwise(0))
+
+    def labels(got: Column, golds: Column) -> Column:
+        near = lambda r: F.exists(golds, lambda g: T.jaccard_col(r, g) >= JACCARD)
+        return F.transform(got, lambda r: F.when(near(r), 1).otherwise(0))
+
+    return T.bind(labels, F.transform(retrieved, T.word_set_col), F.transform(gold, T.word_set_col))
 
 
 def label(rows: DataFrame) -> DataFrame:
@@ -36,13 +40,13 @@ def context_precision(labels: str = "labels") -> Column:
 
 def context_recall(retrieved: str = "retrieved", gold: str = "gold") -> Column:
     """RM3: share of gold contexts of whose words at least half were retrieved anywhere; 1 without gold."""
-    seen = F.array_distinct(F.flatten(F.transform(retrieved, T.word_set_col)))
 
-    def covered(g: Column) -> Column:
-        words = T.word_set_col(g)
-        return (F.size(words) > 0) & (F.size(F.array_intersect(words, seen)) >= 0.5 * F.size(words))
+    def share(seen: Column, golds: Column) -> Column:
+        covered = lambda w: (F.size(w) > 0) & (F.size(F.array_intersect(w, seen)) >= 0.5 * F.size(w))
+        return F.size(F.filter(golds, covered)) / F.size(golds)
 
-    return F.when(F.size(gold) <= 0, 1.0).otherwise(F.size(F.filter(gold, covered)) / F.size(gold))
+    seen = F.array_distinct(F.flatten(F.transform(retrieved, T.word_set_col)))
+    return F.when(F.size(gold) <= 0, 1.0).otherwise(T.bind(share, seen, F.transform(gold, T.word_set_col)))
 
 
 def hit_rate(labels: str = "labels") -> Column:
@@ -73,9 +77,12 @@ def precision_at_k(k: int, labels: str = "labels") -> Column:
 
 
 def _found(k: int, retrieved: str, gold: str) -> Column:
-    top = F.slice(retrieved, 1, k)
-    near = lambda g: F.exists(top, lambda r: T.jaccard_col(T.word_set_col(r), T.word_set_col(g)) >= JACCARD)
-    return F.filter(F.array_distinct(gold), near)
+
+    def found(got: Column, golds: Column) -> Column:
+        return F.filter(golds, lambda g: F.exists(got, lambda r: T.jaccard_col(r, g) >= JACCARD))
+
+    golds = F.transform(F.array_distinct(gold), T.word_set_col)
+    return T.bind(found, F.transform(F.slice(retrieved, 1, k), T.word_set_col), golds)
 
 
 def recall_at_k(k: int, retrieved: str = "retrieved", gold: str = "gold") -> Column:

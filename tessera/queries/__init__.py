@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import answers, evaluation, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, answers, evaluation)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
