@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -55,27 +58,34 @@ def register_sql(spark: SparkSession) -> None:
 
 def _register_arrow(spark: SparkSession) -> None:
     """token_f1 and fact_present, whose plans are too long to inline as SQL text."""
-    import re
-
-    import pandas as pd
-
     marks, table = re.compile(T.CITATION), str.maketrans("", "", T.PUNCTUATION)
 
     def tokens(t: str | None) -> list[str]:
         return re.sub(r"\b(?:a|an|the)\b", " ", marks.sub(" ", (t or "").lower()).translate(table)).split()
 
     def f1(a: str | None, b: str | None) -> float:
-        from collections import Counter
-
         x, y = tokens(a), tokens(b)
         same = sum((Counter(x) & Counter(y)).values())
         return 2 * same / (len(x) + len(y)) if same else 0.0
 
-    @F.pandas_udf("double")
+    def spelled(t: str | None) -> str:
+        t = (t or "").lower().translate(str.maketrans("−–×₂", "--x2", "*®™©")).replace(", and ", " and ")
+        for pattern, with_ in ((r"(?<=\d),(?=\d{3})", ""), (r"(\d+)\.0+(?!\d)", r"\1"), (r"(\d+\.\d*?[1-9])0+(?!\d)", r"\1"), (r"\s*(?:°\s*c\b|degrees? celsius)", "°c")):
+            t = re.sub(pattern, with_, t)
+        return " ".join(t.split())
+
+    def stated(answer: str | None, wording: str | None) -> bool:
+        needle = spelled(wording)
+        return bool(needle) and re.search(rf"(?<![0-9a-z]){re.escape(needle)}(?![0-9a-z])", spelled(answer)) is not None
+
     def token_f1(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([f1(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    spark.udf.register("token_f1", token_f1)
+    def fact_present(answer: pd.Series, wording: pd.Series) -> pd.Series:
+        return pd.Series([stated(a, w) for a, w in zip(answer, wording)], dtype="bool")
+
+    spark.udf.register("token_f1", F.pandas_udf(token_f1, "double"))
+    spark.udf.register("fact_present", F.pandas_udf(fact_present, "boolean"))
 
 
 def chunk_text_udtf() -> Any:

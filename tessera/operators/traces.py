@@ -65,7 +65,7 @@ def normalize_spans(raw: DataFrame) -> DataFrame:
     return priced.select(
         "trace_id", "span_id", "parent_span_id", "name", F.coalesce(attr("openinference.span.kind"), F.lit("CHAIN")).alias("kind"),
         F.when(F.upper("status") == "ERROR", "error").otherwise("ok").alias("status"),
-        F.timestamp_micros(F.floor(F.col("start_ns") / 1000).cast("long")).alias("start_time"), F.timestamp_micros(F.floor(F.col("end_ns") / 1000).cast("long")).alias("end_time"),
+        F.timestamp_micros(F.expr("start_ns div 1000")).alias("start_time"), F.timestamp_micros(F.expr("end_ns div 1000")).alias("end_time"),
         F.round((F.col("end_ns") - F.col("start_ns")) / 1e6, 3).alias("duration_ms"),
         F.coalesce(number("llm.token_count.total"), both).alias("tokens"), F.coalesce(attr("llm.cost_usd").try_cast("double"), known).alias("cost_usd"), "attributes",
     )

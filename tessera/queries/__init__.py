@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, evaluation, retrieval
+from . import answers, evaluation, platform, retrieval
 
-_MODULES = (retrieval, answers, evaluation)
+_MODULES = (retrieval, answers, evaluation, platform)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
