@@ -51,7 +51,7 @@ def register_sql(spark: SparkSession) -> None:
     _inlined(spark, "pii_redact", "t STRING", "STRING", redacted)
     hits = "filter(array(" + ", ".join(f"if(t rlike {quote(p)}, {w}D, null)" for _, w, p in guard.INJECTION) + "), w -> w is not null)"
     conf = f"array_max({hits}) + 0.1D * (aggregate({hits}, 0.0D, (s, w) -> s + w) - array_max({hits}))"
-    _inlined(spark, "injection_confidence", "t STRING", "DOUBLE", f"coalesce(bround(least(1.0D, {conf}), 4), 0.0D)")
+    _inlined(spark, "injection_confidence", "t STRING", "DOUBLE", f"if(size({hits}) = 0, 0.0D, bround(least(1.0D, {conf}), 4))")
     _register_arrow(spark)
     spark.udtf.register("chunk_text", chunk_text_udtf())
 

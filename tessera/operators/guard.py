@@ -73,7 +73,7 @@ def injection(df: DataFrame, col: str, threshold: float = THRESHOLD) -> DataFram
     top = F.array_max(F.transform("_hits", lambda h: h["weight"]))
     total = F.aggregate("_hits", F.lit(0.0), lambda a, h: a + h["weight"])
     conf = F.bround(F.least(F.lit(1.0), top + 0.1 * (total - top)), 4)
-    df = df.withColumn("confidence", F.coalesce(conf, F.lit(0.0)))
+    df = df.withColumn("confidence", F.when(F.size("_hits") > 0, conf).otherwise(0.0))
     level = reduce(lambda acc, lv: acc.when(F.col("confidence") >= lv[0], lv[1]), LEVELS[1:], F.when(F.col("confidence") >= LEVELS[0][0], LEVELS[0][1])).otherwise("low")
     return (
         df.withColumn("risk_level", level)

@@ -98,7 +98,7 @@ def sql_redact(t: str) -> str:
 _HITS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN {{'w': {w}::DOUBLE, 'n': '{n}'}} END" for n, w, p in guard.INJECTION) + "], lambda h: h IS NOT NULL)"
 _SCORED = f"""
 hit AS (SELECT conv_id, turn, {_HITS} AS h FROM src),
-con AS (SELECT *, coalesce(round_even(least(1.0, list_max(list_transform(h, lambda x: x.w)) + 0.1 * (list_sum(list_transform(h, lambda x: x.w)) - list_max(list_transform(h, lambda x: x.w)))), 4), 0)::DOUBLE AS confidence FROM hit)"""
+con AS (SELECT *, CASE WHEN len(h) = 0 THEN 0 ELSE round_even(least(1.0, list_max(list_transform(h, lambda x: x.w)) + 0.1 * (list_sum(list_transform(h, lambda x: x.w)) - list_max(list_transform(h, lambda x: x.w)))), 4) END::DOUBLE AS confidence FROM hit)"""
 _LEVEL = "CASE WHEN confidence >= 0.85 THEN 'critical' WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END"
 
 

@@ -71,8 +71,15 @@ def intake_reason_col(path: Column, size: Column, max_mb: float) -> Column:
 
 
 def intake(spark: SparkSession, glob: str, max_mb: float = 50) -> DataFrame:
-    """SR4: (path, length, mime_type, accepted, reason); file contents are not read."""
+    """SR4: (path, length, mime_type, accepted, reason); file contents are not read.
+
+    The reader passes over files without a byte, so the file system lists those.
+    """
     files = spark.read.format("binaryFile").load(glob).select("path", "length")
+    at = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    listed = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    bare = [(f.getPath().toString(), 0) for f in listed if f.isFile() and f.getLen() == 0]
+    files = files.unionByName(spark.createDataFrame(bare, "path string, length long"))
     reason = intake_reason_col(F.col("path"), F.col("length"), max_mb)
     return files.select("path", "length", mime_col("path").alias("mime_type"), reason.isNull().alias("accepted"), reason.alias("reason"))
 
