@@ -77,19 +77,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def reattach(docs: DataFrame, decisions: DataFrame, payload: str) -> DataFrame:
-    """Join per-text decisions back to documents, one output row per element of payload.
+def reattach(docs: DataFrame, decisions: DataFrame, payload: str) -> tuple[DataFrame, str]:
+    """docs, one row per element of their payload array, and the name the element goes by.
 
-    decisions: (_doc, _hash, payload array), keyed by row_hash. Rows of docs that
-    are equal in doc_id and text are one row with as many elements as copies.
+    decisions: (_doc, _hash, payload), keyed by doc_id and row_hash. Rows of docs
+    that are equal in doc_id and text are one row with as many elements as copies.
+    The new names avoid those that docs has.
     """
-    keyed = docs.withColumn("_hash", row_hash("doc_id", "text")).dropDuplicates(["doc_id", "_hash"])
-    d = decisions.select(F.col("_doc").alias("_d"), F.col("_hash").alias("_h"), payload)
-    return (
-        keyed.join(d, (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-        .withColumn(payload, F.explode(payload))
-        .drop("_d", "_h", "_hash")
-    )
+    h, d, k, p = (free_name(docs, n) for n in ("_hash", "_doc", "_key", payload))
+    keyed = docs.withColumn(h, row_hash("doc_id", "text")).dropDuplicates(["doc_id", h])
+    own = decisions.select(F.col("_doc").alias(d), F.col("_hash").alias(k), F.col(payload).alias(p))
+    out = keyed.join(own, (F.col(h) == F.col(k)) & F.col("doc_id").eqNullSafe(F.col(d)))
+    return out.withColumn(p, F.explode(p)), p
 
 
 def row_hash(*cols: str) -> Column:

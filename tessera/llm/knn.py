@@ -10,7 +10,8 @@ queries into blocks), solved each on its own and merged by a ranked window.
 Defined results: vectors that are null, hold a null or non-finite component, or
 have a null vec_id take no part; a vec_id given more than once counts once, with
 its smallest vector; vectors of unequal length meet on their common components;
-ties go to the smaller vec_id; fewer than k candidates are all returned; an empty
+scores beyond a long become the largest or smallest one; ties go to the smaller
+vec_id; fewer than k candidates are all returned; an empty
 table gives no rows; extra columns play no part.
 """
 
@@ -60,7 +61,7 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if most < 2**53:
         return (q @ x.T).astype(np.int64)
     exact = lambda m: np.array([[int(c) for c in row] for row in m], dtype=object)
-    return exact(q) @ exact(x).T
+    return np.clip(exact(q) @ exact(x).T, -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
 def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:

@@ -152,9 +152,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     turns = per.groupBy(F.col("doc_id").alias("_doc"), "_hash").agg(
         F.collect_list(F.struct("_from", "_n", "size")).alias("_turn")
     )
-    out = reattach(docs, turns, "_turn")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("_turn._from").cast("int") + 1, F.col("_turn._n").cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("_turn._n") == F.col("_turn.size"), F.col("text")).otherwise(part))
+    out, turn = reattach(docs, turns, "_turn")
+    first, n, size = (F.col(f"{turn}.{c}") for c in ("_from", "_n", "size"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    part = F.array_join(F.slice(words, first.cast("int") + 1, n.cast("int")), " ")
+    out = out.withColumn("text", F.when(n == size, F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)
