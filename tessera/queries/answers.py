@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import answer, guard, multihop
+from tessera.operators import answer, guard, lexical, multihop
 from tessera.operators import metrics as M
 
 from .retrieval import _CANDS, _candidates, _with
@@ -225,6 +225,19 @@ def _hyde(s, d):
     return multihop.transform_queries(questions(s, d), "hyde", replies)
 
 
+def _multihop(s, d):
+    """Decomposition and one follow-up by a stand-in for a model, over BM25."""
+    index = lexical.stored(lexical.build_index(corpus(s, d)))
+
+    def complete_(df, c):
+        parts = F.concat(F.lit("1. "), F.substring("text", 1, 30), F.lit("\n2. "), F.substring("text", 20, 40))
+        more = F.when(F.col("query_id") % 2 == 0, F.lit("DONE")).otherwise(F.concat(F.lit("query: "), F.substring("text", 10, 25)))
+        return df.withColumn("reply", F.when(F.col(c).startswith("Break"), parts).otherwise(more))
+
+    retrieve = lambda hops: lexical.bm25_topk(hops, index, 10).select("query_id", "rank", "chunk_id")
+    return multihop.multihop(questions(s, d), retrieve, corpus(s, d).select("chunk_id", "content"), complete_)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gm1_norm_tokens": lambda s, d: qa(s, d).select("query_id", *_digest(T.norm_tokens_col("answer"))),
     "gm2_strip_sources": lambda s, d: qa(s, d).select("query_id", F.md5(T.strip_sources_col("answer")).alias("stripped_md5")),
@@ -250,6 +263,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mh3_parse_followup": _followups,
     "mh4_evidence": lambda s, d: multihop.evidence(_by_hop(s, d)).select("query_id", F.md5("evidence").alias("evidence_md5")),
     "mh5_merge_hops": lambda s, d: multihop.merge_hops(_by_hop(s, d).select("query_id", "hop", "rank", "chunk_id"), 8),
+    "mh6_multihop": _multihop,
     "mh7_transform_queries": _hyde,
     "md1_complete": _completed,
     "as1_format_context": lambda s, d: answer.format_context(_top(s, d), 300).select("query_id", F.md5("context").alias("context_md5"), F.length("context").alias("n_chars")),

@@ -352,6 +352,14 @@ WITH a AS (SELECT doc_id AS ord, source AS document_name FROM documents WHERE do
 r AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY document_name ORDER BY ord) <= floor(100 / (SELECT count(DISTINCT document_name) FROM a))),
 s AS (SELECT *, row_number() OVER (PARTITION BY document_name ORDER BY ('0x' || substr(md5('42|' || ord), 1, 8))::BIGINT, ord) AS i, count(*) OVER (PARTITION BY document_name) AS n FROM r)
 SELECT ord, document_name, CASE WHEN i <= round_even(0.3 * n, 0) THEN 'dev' ELSE 'test' END AS split FROM s""",
+    "gs13_make_pairs": """
+WITH s AS (SELECT item_id AS sample_id, item_id % 3 AS doc, item_id // 2 AS gold FROM benchmark),
+r AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('42|' || sample_id), 1, 8))::BIGINT, sample_id) AS i, count(*) OVER () AS size FROM s),
+p AS (SELECT DISTINCT least(x.sample_id, y.sample_id) AS a, greatest(x.sample_id, y.sample_id) AS b, x.doc = y.doc AS within
+      FROM r x, range(1, 8) AS st(step), r y WHERE y.i = (x.i + step - 1) % x.size + 1 AND x.gold <> y.gold),
+t AS (SELECT *, row_number() OVER (PARTITION BY within ORDER BY ('0x' || substr(md5('42|' || a || '|' || b), 1, 8))::BIGINT, a, b) AS i FROM p),
+n AS (SELECT (row_number() OVER (ORDER BY within DESC, i) - 1)::INTEGER AS pair, a, b, within FROM t WHERE i <= 15)
+SELECT pair, a, b, within, ['comparison', 'conjunction', 'bridge'][pair % 3 + 1] AS style FROM n""",
     "gs15_revise": """
 SELECT item_id AS line, CASE WHEN item_id % 8 = 1 THEN 'new question' ELSE text END AS question, substr(text, 1, 5) AS gold_answer,
        CASE WHEN item_id % 8 = 1 THEN 'keep me' ELSE 'keep me|drop me' END AS gold_contexts, CASE WHEN item_id % 4 = 1 THEN item_id END AS revised_from_v1

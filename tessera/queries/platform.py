@@ -169,7 +169,7 @@ def _both(s, d) -> tuple[DataFrame, P.Corpus]:
     v = vectors(s, d).select(F.col("chunk_id").alias("_v"), "embedding")
     q = questions(s, d).join(v, F.col("query_id") == F.col("_v")).select("query_id", "text", "embedding")
     c = corpus(s, d).join(v, F.col("chunk_id") == F.col("_v"), "left").drop("_v")
-    return q, P.Corpus(c, lexical.build_index(c))
+    return q, P.Corpus(c, lexical.stored(lexical.build_index(c)))
 
 
 def _pl1(s, d) -> DataFrame:

@@ -21,17 +21,19 @@ def _index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     return lexical.build_index(corpus(spark, sf_dir))
 
 
-def _bm25(spark, d, k=TOP) -> DataFrame:
-    return lexical.bm25_topk(questions(spark, d), _index(spark, d), k)
+def _bm25(spark, d, k=TOP, index=None) -> DataFrame:
+    return lexical.bm25_topk(questions(spark, d), index or lexical.stored(_index(spark, d)), k)
 
 
-def _fts(spark, d, k=TOP) -> DataFrame:
-    return lexical.fts_topk(questions(spark, d), _index(spark, d), k)
+def _fts(spark, d, k=TOP, index=None) -> DataFrame:
+    return lexical.fts_topk(questions(spark, d), index or _index(spark, d), k)
 
 
 def _arms(spark, d) -> DataFrame:
-    cols = ["query_id", F.lit("bm25").alias("arm"), "rank", "chunk_id", "score"]
-    return _bm25(spark, d).select(*cols).union(_fts(spark, d).select("query_id", F.lit("fts").alias("arm"), "rank", "chunk_id", "score"))
+    index = lexical.stored(_index(spark, d))
+    cols = ["query_id", "arm", "rank", "chunk_id", "score"]
+    bm25, fts = _bm25(spark, d, index=index).withColumn("arm", F.lit("bm25")), _fts(spark, d, index=index).withColumn("arm", F.lit("fts"))
+    return bm25.select(*cols).union(fts.select(*cols))
 
 
 def qrels(spark, d) -> DataFrame:
