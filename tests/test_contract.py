@@ -44,4 +44,5 @@ def test_plans(spark, sf):
     bm25 = plan(QUERIES["lx4_bm25_topk"](spark, sf))
     assert "WindowGroupLimit" in bm25 and "CartesianProduct" not in bm25
     dn2 = plan(QUERIES["dn2_prefilter"](spark, sf))
-    assert "PushedFilters: [In(lang" in dn2 and "text" not in dn2.split("ReadSchema")[1].split("\n")[0]
+    pushed = dn2.split("PushedFilters")[1].split("\n")[0]
+    assert "In(lang" in pushed and "In(source" in pushed and "text" not in dn2.split("ReadSchema")[1].split("\n")[0]

@@ -120,3 +120,13 @@ def test_ingest_stream_is_exactly_once(spark, tmp_path):
     status = {r.doc_id: (r.status, r.chunk_count) for r in spark.read.parquet(f"{tmp_path}/status").collect()}
     want = {r.doc_id: r["count"] for r in ingest.chunk_recursive(df.withColumn("ordinal", F.lit(0))).groupBy("doc_id").count().collect()}
     assert status == {1: ("completed", want[1]), 2: ("failed", 0), 3: ("completed", want[3])}
+
+
+def test_scratch_tables_can_be_released(spark):
+    from tessera.sources.scratch import kept, release
+
+    df = kept(spark.range(3).toDF("x"), "t")
+    path = df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert df.count() == 3 and __import__("os").path.exists(path)
+    release(spark)
+    assert not __import__("os").path.exists(path)
