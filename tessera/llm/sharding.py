@@ -56,13 +56,16 @@ def deal(shards: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def communication_matrix(sizes: np.ndarray, shards: np.ndarray, seed: list[int]) -> np.ndarray:
-    """Row i: how many rows part i sends to each shard. Parts are halved again and again."""
+    """Row i: how many rows part i sends to each shard. Parts are halved again and again.
+
+    Seeds grow by 1 or 2, never by 0, which numpy takes for padding.
+    """
     if len(sizes) == 1:
         return shards.reshape(1, -1)
     half = len(sizes) // 2
     left = deal(shards, int(sizes[:half].sum()), np.random.default_rng(seed))
     return np.vstack(
-        [communication_matrix(sizes[:half], left, [*seed, 0]), communication_matrix(sizes[half:], shards - left, [*seed, 1])]
+        [communication_matrix(sizes[:half], left, [*seed, 1]), communication_matrix(sizes[half:], shards - left, [*seed, 2])]
     )
 
 
@@ -70,7 +73,7 @@ def _draw(seed: int, id_col: str):
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
         first = np.asarray(pdf["shards"].iloc[0], np.int64)
-        matrix = communication_matrix(pdf["n"].to_numpy(), first, [seed, int(pdf["node"].iloc[0])])
+        matrix = communication_matrix(pdf["n"].to_numpy(), first, [seed, int(pdf["node"].iloc[0]) + 1])
         return pd.DataFrame({id_col: pdf[id_col].to_numpy(), "shards": list(matrix)})
 
     return draw
@@ -123,5 +126,5 @@ def sharded_documents(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     per = assign(docs, n_shards).groupBy(F.col("doc_id").alias("_doc"), "_hash")
     placed = per.agg(F.collect_list(F.struct("shard", "slot")).alias("_place"))
     own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    out = reattach(docs.select(*own), placed, "_place")
-    return out.select(*own, F.col("_place.shard").alias("shard"), F.col("_place.slot").alias("slot"))
+    out, place = reattach(docs.select(*own), placed, "_place")
+    return out.select(*own, F.col(f"{place}.shard").alias("shard"), F.col(f"{place}.slot").alias("slot"))
