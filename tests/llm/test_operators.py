@@ -396,3 +396,20 @@ def test_large_hypergeometric_draws(monkeypatch):
     rng = np.random.default_rng(1)
     x = np.array([sharding.hypergeometric(400, 600, 50, rng) for _ in range(300)])
     assert x.mean() == pytest.approx(20, abs=0.8) and x.var() == pytest.approx(50 * 0.24 * 950 / 999, rel=0.35)
+
+
+def test_edited_passage_is_found_beside_shorter_quotes(spark):
+    rng = random.Random(31)
+    rows, pairs = [], []
+    for t in range(40):
+        p = _words(rng, 60)
+        q = list(p)
+        q[30] = "edited"
+        pairs.append(frozenset((100 * t, 100 * t + 1)))
+        rows += [(100 * t, " ".join(_words(rng, 150) + p + _words(rng, 50))), (100 * t + 1, " ".join(_words(rng, 140) + q + _words(rng, 60)))]
+        for m in range(5):
+            rows += [(100 * t + 10 + m, " ".join(_words(rng, 25 + m) + p[:30] + _words(rng, 25)))]
+            rows += [(100 * t + 20 + m, " ".join(_words(rng, 25 + m) + p[31:] + _words(rng, 25)))]
+    got = substrings.op7_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {frozenset((r.doc_id, r.keep_id)) for r in got}
+    assert found == set(pairs)
