@@ -413,3 +413,15 @@ def test_edited_passage_is_found_beside_shorter_quotes(spark):
     got = substrings.op7_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     found = {frozenset((r.doc_id, r.keep_id)) for r in got}
     assert found == set(pairs)
+
+
+def test_exact_passage_is_found_beside_another_with_the_leader(spark):
+    rng = random.Random(32)
+    rows, pairs = [], []
+    for t in range(20):
+        p1, p2, p3 = (_words(rng, n) for n in (60, 50, 60))
+        pairs.append(frozenset((10 * t + 1, 10 * t + 2)))
+        rows += [(10 * t, " ".join(p1 + _words(rng, 5) + p2[3:47] + _words(rng, 5) + p3))]
+        rows += [(10 * t + 1, " ".join(p1 + _words(rng, 90) + p2 + _words(rng, 30))), (10 * t + 2, " ".join(_words(rng, 40) + p2 + _words(rng, 80) + p3))]
+    got = substrings.op7_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert set(pairs) <= {frozenset((r.doc_id, r.keep_id)) for r in got}
