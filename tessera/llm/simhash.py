@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, kept
+from .common import binary, free_name, kept
 
 WIDTH = 3
 SEED = 42
@@ -236,6 +236,11 @@ def op3_simhash(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, that of its smallest doc_id; rows without an id stay out."""
-    keep = clustered(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    """docs with one row of each component: that of its smallest doc_id, nulls last, and then of the smallest hash of its columns."""
+    h, k, d = (free_name(docs, n) for n in ("_hash", "_key", "_doc"))
+    # nulls leave the hash as it is, so where they stand goes in too
+    rows = docs.withColumn(h, F.xxhash64(*[F.col(c) for c in docs.columns], *[F.col(c).isNull() for c in docs.columns]))
+    named = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(h).alias("hash")).alias("doc_id"), "text")
+    keep = clustered(named).select(F.col("component_id.id").alias(d), F.col("component_id.hash").alias(k)).distinct()
+    own = rows.join(keep, (F.col(h) == F.col(k)) & F.col("doc_id").eqNullSafe(F.col(d)), "left_semi")
+    return own.dropDuplicates(["doc_id", h]).drop(h)

@@ -54,3 +54,11 @@ def test_stages_keep_the_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_near_dedup_keeps_a_row_of_every_group(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    rows = [(None, text(1), "a"), (None, text(2), "a"), (None, text(2), "b"), (3, text(3), "a"), (3, text(4), "a"), (5, text(5), "a"), (5, text(6), "a"), (1, text(6), "a"), (None, text(3), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, text(1)), (None, text(2)), (3, text(3)), (3, text(4)), (5, text(5)), (1, text(6))], key=str)
