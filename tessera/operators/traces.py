@@ -100,14 +100,11 @@ def get_trace(traces: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     return spans.join(F.broadcast(found.limit(1)), "trace_id", "left_semi").orderBy("start_time", "span_id")
 
 
-MAX_DEPTH = 32
-
-
 def waterfall(spans: DataFrame) -> DataFrame:
     """TR7: (trace_id, ord, span_id, depth, offset_pct, width_pct): depth first, siblings by start; orphans are roots.
 
     Levels are joined one by one until a level is empty; each carries the path of
-    start times and ids that sorts it.
+    start times and ids that sorts it, and a span whose id is in its own path ends there.
     """
     from tessera.sources.scratch import kept
 
@@ -121,10 +118,11 @@ def waterfall(spans: DataFrame) -> DataFrame:
     flat = kept(flat.join(ids, ["trace_id", "parent_span_id"], "left").withColumn("parent", F.when(F.col("_has"), F.col("parent_span_id"))).drop("_has", "parent_span_id"), "waterfall")
     step = F.struct("start_time", "span_id")
     level = flat.where("parent is null").withColumn("path", F.array(step)).withColumn("depth", F.lit(0))
-    out = level
-    for depth in range(1, MAX_DEPTH):
+    out, depth = level, 0
+    while True:
+        depth += 1
         up = level.select("trace_id", F.col("span_id").alias("parent"), F.col("path").alias("_path"))
-        level = flat.join(up, ["trace_id", "parent"]).withColumn("path", F.concat("_path", F.array(step))).withColumn("depth", F.lit(depth)).drop("_path")
+        level = flat.join(up, ["trace_id", "parent"]).where(~F.exists("_path", lambda x: x["span_id"] == F.col("span_id"))).withColumn("path", F.concat("_path", F.array(step))).withColumn("depth", F.lit(depth)).drop("_path")
         level = kept(level, "waterfall")
         if level.isEmpty():
             break

@@ -399,3 +399,11 @@ def test_embedding_failures_are_zero_vectors(spark):
 
     df = spark.createDataFrame([("a",), ("boom",), ("short",)], "t string").coalesce(1)
     assert [r.embedding for r in ingest.embed(df, "t", fn, 2, 1).collect()] == [[1.0, 2.0], [0.0, 0.0], [0.0, 0.0]]
+
+
+def test_waterfall_of_any_depth_and_with_a_cycle(spark):
+    rows = [("t", f"s{i:03d}", f"s{i - 1:03d}" if i else None, i) for i in range(40)] + [("t", "s038", "s039", 50)]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, s long")
+    spans = spans.select("trace_id", "span_id", "parent_span_id", F.timestamp_seconds("s").alias("start_time"), F.timestamp_seconds(F.col("s") + 100).alias("end_time"))
+    got = sorted((r.depth, r.span_id) for r in traces.waterfall(spans).collect())
+    assert got == [(i, f"s{i:03d}") for i in range(40)]
