@@ -117,8 +117,11 @@ def _buckets(tables: int, bits: int, width: int, seed: int):
     return run
 
 
-def ann_knn(queries: DataFrame, chunks: DataFrame, k: int, tables: int = 24, bits: int = 6, seed: int = 7) -> DataFrame:
-    """DN4: sign-random-projection LSH; candidates share a bucket in some table, scores are exact."""
+def ann_knn(queries: DataFrame, chunks: DataFrame, k: int, tables: int = 72, bits: int = 6, seed: int = 7) -> DataFrame:
+    """DN4: sign-random-projection LSH; candidates share a bucket in some table, scores are exact.
+
+    72 tables: recall@10 on the given embeddings (vec_id divisible by 50) is 0.94 to 0.99; 24 gave 0.68 to 0.73.
+    """
     width = chunks.agg(F.max(F.size("embedding"))).first()[0] or 1
     run = _buckets(tables, bits, width, seed)
 

@@ -104,6 +104,13 @@ def test_ann_recall_on_clustered_vectors(spark):
     assert dense.ann_recall(dense.knn(q, v, 10), dense.ann_knn(q, v, 10), 10).first().recall >= 0.9
 
 
+@pytest.mark.parametrize("asked", ["chunk_id % 50 = 0", "chunk_id < 20"])
+def test_ann_recall_on_the_given_vectors(spark, sf, asked):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    q = v.where(asked).withColumnRenamed("chunk_id", "query_id")
+    assert dense.ann_recall(dense.knn(q, v, 10), dense.ann_knn(q, v, 10), 10).first().recall >= 0.9
+
+
 # ── ranking metrics ────────────────────────────────────────────────────────
 
 EVAL = "query_id long, retrieved array<string>, gold array<string>"
