@@ -11,8 +11,8 @@ Scoring carries the state through the whole document.
 
 Counts of the HEAD most frequent words are broadcast (a fixed bound); counts of
 all others are joined by shuffle, so any vocabulary size works the same way.
-Weights learn from TRAIN_BASE training documents and every TRAIN_SHARE-th of them
-all, so what trains grows with the corpus; counts come from all of them.
+Weights learn from every training document once, in up to TRAIN_ROUNDS rounds: each
+starts from the averaged weights of the round before.
 
 Defined results: null text is the empty text, which is one end token; repeated
 rows score alike; with no training documents every count is 0 and scores are
@@ -39,8 +39,9 @@ N_CLASSES, PER_CLASS = 32, 64
 HIDDEN = 16
 STEPS, LANES = 24, 96
 RATE = 0.01
-TRAIN_BASE, TRAIN_SHARE = 2000, 16
 TRAIN_TASK_ROWS = 500
+#: Rounds of a large corpus, and tasks a round has at least: fewer average too little.
+TRAIN_ROUNDS, ROUND_TASKS = 4, 8
 FLUSH = 200_000
 CHUNK_TOKENS = 4_000_000
 MOST_LANES, SPAN = 512, 64
@@ -125,6 +126,7 @@ class Net:
     recur: np.ndarray  # (H, 3H)
     classes: np.ndarray  # (H + 1, C)
     words: np.ndarray  # (C, H + 1, P)
+    seen: int = 0  # tokens it learned from
 
     def parts(self) -> list[np.ndarray]:
         return [self.embed, self.recur, self.classes, self.words]
@@ -288,11 +290,16 @@ def train_lanes(net: Net, docs: Iterator[np.ndarray]) -> int:
 
 
 def trained(train: DataFrame, vocab: Vocabulary) -> Net:
-    """One pass over the documents picked, in parallel tasks, weights averaged by tokens."""
+    """One pass over all documents, in rounds of parallel tasks; a round's weights are averaged by tokens and start the next."""
     net = new_net(vocab.weight)
-    n_picked = min(vocab.n_docs, TRAIN_BASE + vocab.n_docs // TRAIN_SHARE)
-    picked = train.where(F.pmod(row_hash("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * n_picked / max(1, vocab.n_docs)))
-    n_tasks = max(1, -(-n_picked // TRAIN_TASK_ROWS))
+    rounds = min(TRAIN_ROUNDS, max(1, vocab.n_docs // (TRAIN_TASK_ROWS * ROUND_TASKS)))
+    part = F.pmod(row_hash("doc_id", "text"), F.lit(rounds))
+    for r in range(rounds):
+        net = _round(net, train.where(part == r), vocab, max(1, -(-vocab.n_docs // (rounds * TRAIN_TASK_ROWS))))
+    return net
+
+
+def _round(net: Net, picked: DataFrame, vocab: Vocabulary, n_tasks: int) -> Net:
     symbols, piece = vocab.symbols, 4096
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +318,9 @@ def trained(train: DataFrame, vocab: Vocabulary) -> Net:
     rows = sorted(sums.groupBy("part").applyInPandas(total, "part long, n long, w binary").collect())
     if not rows or not rows[0]["n"]:
         return net
-    return net.filled(np.concatenate([np.frombuffer(r["w"]) / r["n"] for r in rows]))
+    out = net.filled(np.concatenate([np.frombuffer(r["w"]) / r["n"] for r in rows]))
+    out.seen = net.seen + rows[0]["n"]
+    return out
 
 
 # ── scoring ────────────────────────────────────────────────────────────────

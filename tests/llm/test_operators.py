@@ -425,3 +425,9 @@ def test_exact_passage_is_found_beside_another_with_the_leader(spark):
         rows += [(10 * t + 1, " ".join(p1 + _words(rng, 90) + p2 + _words(rng, 30))), (10 * t + 2, " ".join(_words(rng, 40) + p2 + _words(rng, 80) + p3))]
     got = substrings.op7_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert set(pairs) <= {frozenset((r.doc_id, r.keep_id)) for r in got}
+
+
+def test_every_training_document_trains(spark):
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('a w', id % 7, ' b') as text")
+    counts = recurrent.word_counts(docs)
+    assert recurrent.trained(docs, recurrent.vocabulary(counts, 9000)).seen == 9000 * 4
