@@ -15,8 +15,9 @@ STOPWORDS = (
     "once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until "
     "up very was we were what when where which while who whom why will with you your"
 ).split()
-#: Light suffix stemmer: the shortest stem of three letters or more before one of these endings.
-STEM = r"^(.{3,}?)(?:ingly|edly|ing|ies|ed|es|ly|s)$"
+#: Light suffix stemmer: the shortest stem of three letters or more before one of these endings, longest first.
+ENDINGS = ("ingly", "edly", "ing", "ies", "ed", "es", "ly", "s")
+STEM = rf"^(.{{3,}}?)(?:{'|'.join(ENDINGS)})$"
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -38,7 +39,16 @@ def analyze_col(text: Column | str) -> Column:
     """LX1: lower-case words without stopwords, stemmed, one per position."""
     words = F.regexp_extract_all(F.lower(col(text)), F.lit(WORD), F.lit(0))
     meant = F.filter(words, lambda w: ~w.isin(STOPWORDS))
-    return F.transform(meant, lambda w: F.regexp_replace(w, STEM, "$1"))
+    return F.transform(meant, stem_col)
+
+
+def stem_col(w: Column) -> Column:
+    """What STEM keeps of a word, by its ending alone: no pattern runs per word."""
+    fits = lambda end: F.endswith(w, F.lit(end)) & (F.length(w) >= len(end) + 3)
+    out = F.when(fits(ENDINGS[0]), F.substring(w, F.lit(1), F.length(w) - len(ENDINGS[0])))
+    for end in ENDINGS[1:]:
+        out = out.when(fits(end), F.substring(w, F.lit(1), F.length(w) - len(end)))
+    return out.otherwise(w)
 
 
 def est_tokens_col(text: Column | str, empty_is_zero: bool = False) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.scratch import kept, small_or_shuffled
 
 JACCARD = 0.5
 
@@ -166,3 +167,41 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
     }
     table = F.create_map(*[x for k, c in values.items() for x in (F.lit(k), c)])
     return rows.withColumn("metrics", F.map_filter(table, lambda k, v: v.isNotNull()))
+
+
+#: Words of the run that leads from a passage to the documents that may hold it.
+ANCHOR = 4
+
+
+def holders(chunks: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, chunk_id): chunks (chunk_id, content) whose content contains a passage (query_id, text), as written.
+
+    The words inside a passage, all but its first and last, stand whole in whatever
+    holds it. Its first ANCHOR of them, hashed, meet the chunks' runs of as many words
+    in an equi-join; `contains` then decides. Passages with fewer words inside use
+    their longest one; those with none are compared with every chunk.
+    """
+    asked = kept(passages.where("length(text) > 0").select("query_id", "text", F.split("text", r"\s+").alias("_w")), "passages")
+    n = F.size("_w") - 2
+    longest = F.array_max(F.transform(F.slice("_w", 2, n), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    words = F.split("content", r"\s+")
+    run = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - ANCHOR + 1), lambda i: F.xxhash64(F.slice(w, i, ANCHOR)))
+    runs = T.bind(lambda w: F.when(F.size(w) >= ANCHOR, run(w)), words)
+    sides = [
+        (asked.where(n >= ANCHOR).withColumn("_key", F.xxhash64(F.slice("_w", 2, ANCHOR))), F.array_distinct(runs)),
+        (asked.where((n > 0) & (n < ANCHOR)).withColumn("_key", F.xxhash64(longest)), F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))),
+    ]
+    found = None
+    for anchors, keys in sides:
+        anchors = kept(anchors.select("query_id", "_key"), "anchors")
+        size = anchors.count()
+        if not size:
+            continue
+        hits = chunks.select("chunk_id", F.explode(keys).alias("_key")).join(small_or_shuffled(anchors, size), "_key").select("query_id", "chunk_id").distinct()
+        found = hits if found is None else found.unionByName(hits)
+    bare = asked.where(n <= 0)
+    out = chunks.join(small_or_shuffled(bare), F.expr("contains(content, text)")).select("query_id", "chunk_id")
+    if found is None:
+        return out
+    both = chunks.select("chunk_id", "content").join(found, "chunk_id").join(small_or_shuffled(asked.select("query_id", "text")), "query_id")
+    return both.where("contains(content, text)").select("query_id", "chunk_id").unionByName(out)

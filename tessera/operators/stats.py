@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import hash_int
-
 ITERATIONS, CONFIDENCE, SEED = 1000, 0.95, 42
 CI_ITERATIONS = 2000
 # Metrics for which less is better, and the default gate.
@@ -31,20 +31,27 @@ def pair(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
     return long(run_a, "a").join(long(run_b, "b"), ["metric", "sample_index"]).select("metric", "sample_index", "a", "b")
 
 
+#: Poisson(1) from 16 hashed bits, in hex: one more for each bound that they reach.
+POISSON = [f"{round(65536 * sum(exp(-1) / factorial(k) for k in range(m + 1))):04x}" for m in range(8)]
+
+
 def _resamples(values: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """(metric, iter, mean): means of resamples with replacement of (metric, value, ord).
+    """(metric, iter, mean): means of resamples of (metric, value, ord).
 
-    Draws are joined to values by number within a metric; a metric's values are
-    numbered inside its own window. Metrics are spread over tasks by iteration.
+    A row counts Poisson(1) times in each resample, eight resamples per MD5 of
+    (seed, metric, ord, block): rows meet only in sums by (metric, iter), which are
+    added up before the shuffle. A resample that draws no row has the plain mean.
     """
-    own = Window.partitionBy("metric")
-    ranked = values.withColumn("i", F.row_number().over(own.orderBy("ord")) - 1)
-    n = values.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
-    draws = n.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    draws = draws.select("metric", "iter", (hash_int(F.lit(seed), "metric", "iter", "draw") % F.col("n")).alias("i"))
-    picks = draws.groupBy("metric", "iter", "i").agg(F.count(F.lit(1)).alias("times"))
-    both = picks.join(ranked.select("metric", F.col("i").cast("long").alias("i"), "value"), ["metric", "i"])
-    return both.groupBy("metric", "iter").agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("mean"))
+    rows = values.repartition(values.sparkSession.sparkContext.defaultParallelism, "metric", "ord")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // 8) - 1))))
+    bits = F.md5(F.concat_ws("|", F.lit(seed), "metric", F.col("ord").cast("string"), "block"))
+    rows = rows.select("metric", "value", "block", bits.alias("bits"))
+    rows = rows.select("metric", "value", "block", F.posexplode(F.array(*[F.substring("bits", 4 * j + 1, 4) for j in range(8)])).alias("j", "u"))
+    times = sum((F.col("u") >= bound).cast("int") for bound in POISSON)
+    rows = rows.select("metric", "value", (F.col("block") * 8 + F.col("j")).alias("iter"), times.alias("times")).where(F.col("iter") < iterations)
+    sums = rows.groupBy("metric", "iter").agg((F.sum(F.col("value") * F.col("times")) / F.nullif(F.sum("times"), F.lit(0))).alias("mean"))
+    plain = values.groupBy("metric").agg(F.avg("value").alias("plain"))
+    return sums.join(plain, "metric").select("metric", "iter", F.round(F.coalesce("mean", "plain"), 12).alias("mean"))
 
 
 def bootstrap(pairs: DataFrame, iterations: int = ITERATIONS, confidence: float = CONFIDENCE, seed: int = SEED) -> DataFrame:

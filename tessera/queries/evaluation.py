@@ -12,7 +12,7 @@ from tessera.operators import golden, metrics, stats
 
 from .answers import _F, _QA, qa, sql_f1, sql_norm
 from .retrieval import _CANDS, _LABELS, _QRELS, _bm25, _eval_rows, _with, qrels
-from .tables import BM25, INDEX, corpus, questions, table
+from .tables import BM25, INDEX, corpus, questions, sql_list, table
 
 # ── runs made of the labels ────────────────────────────────────────────────
 
@@ -44,11 +44,11 @@ _SAMPLES = "smp AS (SELECT 'a' AS run_id, i, metric, v, i % 17 = 0 AS failed FRO
 def _boot(src: str, iterations: int) -> str:
     """Resampled means of src(metric, value, ord)."""
     return f"""
-num AS (SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY ord) - 1 AS i FROM {src}),
 cnt AS (SELECT metric, count(*) AS n, avg(value) AS observed FROM {src} GROUP BY metric),
-drw AS (SELECT metric, n, it.range AS iter, unnest(range(0, n)) AS draw FROM cnt, range(0, {iterations}) it),
-pck AS (SELECT metric, iter, ('0x' || substr(md5('42|' || metric || '|' || iter || '|' || draw), 1, 8))::BIGINT % n AS i FROM drw),
-mns AS (SELECT metric, iter, sum(value) / count(*) AS mean FROM pck JOIN num USING (metric, i) GROUP BY metric, iter)"""
+drw AS (SELECT metric, value, it.range AS block, md5('{stats.SEED}|' || metric || '|' || ord || '|' || it.range) AS bits FROM {src}, range(0, {-(-iterations // 8)}) it),
+wgt AS (SELECT metric, value, block * 8 + j AS iter, len(list_filter({sql_list(stats.POISSON)}, lambda p: p <= substr(bits, 4 * j + 1, 4))) AS times
+        FROM drw, (SELECT unnest(range(0, 8)) AS j) WHERE block * 8 + j < {iterations}),
+mns AS (SELECT metric, iter, round(coalesce(sum(value * times) / nullif(sum(times), 0), any_value(observed)), 12) AS mean FROM wgt JOIN cnt USING (metric) GROUP BY metric, iter)"""
 
 
 _P = """

@@ -37,9 +37,8 @@ def _arms(spark, d) -> DataFrame:
 
 
 def qrels(spark, d) -> DataFrame:
-    """Documents that hold a benchmark passage whole. Passages are few: they are broadcast to the scan."""
-    q = questions(spark, d)
-    return corpus(spark, d).join(F.broadcast(q.where("length(text) > 0")), F.expr("contains(content, text)")).select("query_id", "chunk_id")
+    """Documents that hold a benchmark passage whole."""
+    return metrics.holders(corpus(spark, d), questions(spark, d))
 
 
 def flagship(spark, d) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import STEM, STOPWORDS
+from tessera.sources.io import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as chunks: (chunk_id, content, element_type, document_id)."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("lang").alias("element_type"), F.col("source").alias("document_id")
     )
 
@@ -29,8 +30,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors asked for: vec_id below 20, the stated query set."""
-    return vectors(spark, sf_dir).where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "embedding")
+    """The vectors asked for: every vec_id divisible by 50."""
+    return vectors(spark, sf_dir).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
 
 
 # ── the same in DuckDB ─────────────────────────────────────────────────────
@@ -72,7 +73,7 @@ fts_s AS (SELECT query_id, chunk_id, round(sum(tf) * 0.1, 6) AS score FROM posti
 fts AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank, chunk_id, score FROM fts_s)"""
 
 KNN = """
-vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20 AND embedding IS NOT NULL),
+vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0 AND embedding IS NOT NULL),
 knn_s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS score
           FROM vq, embeddings WHERE embedding IS NOT NULL),
 knn AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank, chunk_id, score FROM knn_s)"""

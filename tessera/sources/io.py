@@ -27,6 +27,15 @@ def read_corpus(spark: SparkSession, path: str, columns: list[str] | None = None
     return df.select(*columns) if columns else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, dealt to all cores where it has fewer parts than there are cores: one row group is one task's work.
+
+    Larger tables have more parts and stay as they are. Filters and columns are pushed through to the scan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.rdd().getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """SR2: golden samples and rejected lines of JSONL files.
 

@@ -227,9 +227,14 @@ def test_groundedness(spark):
 # ── graph and hops ─────────────────────────────────────────────────────────
 
 
-def test_names():
-    got = graph.names_in("However, the GPU H100 beat Nvidia in 2023. Later it ran.")
-    assert got["gpu"] and got["h100"] and got["nvidia"] and not got["however"] and not got["later"] and "2023" not in got
+def test_names(spark):
+    df = spark.createDataFrame([(1, "However, the GPU H100 beat Nvidia in 2023. Later it ran."), (2, None), (3, "--Foo x-Bar a5 5 A Cd  \n Ef! Gh of It")], "chunk_id long, content string")
+    got = {}
+    for r in graph.entities(df).collect():
+        got.setdefault(r.chunk_id, {})[r.entity] = r.proven
+    assert got[1] == {"however": False, "gpu": True, "h100": True, "nvidia": True, "later": False}
+    assert got[3] == {"foo": True, "x-bar": True, "a5": True, "cd": True, "ef": True, "gh": False}
+    assert 2 not in got
 
 
 def test_ppr_matches_dense_matrices(spark):
@@ -300,6 +305,23 @@ def test_bootstrap(spark):
     assert got == {"up": (True, 0.0), "same": (False, 1.0), "one": (False, 1.0)}
 
 
+def test_bootstrap_weights_are_poisson(spark):
+    values = spark.range(4000).selectExpr("'m' as metric", "id % 2 * 1.0D as value", "id as ord")
+    means = [r.mean for r in stats._resamples(values, 400, 1).collect()]
+    assert len(means) == 400
+    mid = sum(means) / 400
+    spread = (sum((m - mid) ** 2 for m in means) / 400) ** 0.5
+    assert mid == pytest.approx(0.5, abs=2e-3) and spread == pytest.approx(0.5 / 4000**0.5, rel=0.15)
+
+
+def test_holders_by_anchor_words(spark):
+    passages = [(1, "aa bb cc dd ee ff gg"), (2, "bb cc"), (3, "x bb y"), (4, "aa  bb\ncc dd ee ff"), (5, ""), (6, None), (7, "bb cc dd ee")]
+    chunks = [(1, "zz aa bb cc dd ee ff gghh"), (2, "aa bb cc dd ee ff"), (3, "xx bb yy"), (4, "q aa  bb\ncc dd ee ff"), (5, None), (6, "")]
+    p, c = spark.createDataFrame(passages, "query_id long, text string"), spark.createDataFrame(chunks, "chunk_id long, content string")
+    got = {tuple(r) for r in metrics.holders(c, p).collect()}
+    assert got == {(q, i) for q, t in passages for i, x in chunks if t and x and t in x}
+
+
 def test_metric_differences(spark):
     a = spark.createDataFrame([("m", 0.5), ("hallucination_rate", 0.5), ("t", 1.0), ("z", 0.0), ("only", 1.0)], "metric string, value double")
     b = spark.createDataFrame([("m", 0.6), ("hallucination_rate", 0.4), ("t", 1.0), ("z", 1.0)], "metric string, value double")
