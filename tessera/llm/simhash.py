@@ -2,10 +2,10 @@
 
 Equal fingerprints are one entry. Two entries within 3 bits agree on all bits of
 at least m - 3 of m blocks, so entries are grouped by every such choice of blocks
-(the top nodes of the hierarchy: a mask and the bits under it). Inside a group
-they are sorted by Gray rank and packed into leaves and upper nodes that carry
-the bits all entries below share; pairs of nodes whose shared bits already differ
-in more than 3 places are pruned. Groups above GROUP entries are cut into tiles,
+(the top nodes of the hierarchy: a mask and the bits under it). Inside every group,
+whatever its size, they are sorted by Gray rank and packed into upper nodes that
+carry the bits all entries below share; pairs of nodes go down from the roots, and
+those whose shared bits already differ in more than 3 places are pruned. Groups above GROUP entries are cut into tiles,
 each pair of parts a task of its own. Only spanning links leave a task.
 
 Defined results: a null or wordless text has fingerprint 0 and links like any
@@ -17,6 +17,7 @@ columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -25,13 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, free_name, kept
+from tessera.sources.scratch import kept
+
+from .common import binary, free_name, whole_hash
 
 WIDTH = 3
 SEED = 42
 BITS = 3
 GROUP = 2048
-LEAF, FAN = 32, 8
+#: Children of a node of the hierarchy, and pairs of leaves compared at a time.
+FAN, PAIRS = 8, 16_384
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -84,81 +88,85 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def near_roots(fps: np.ndarray, limit: int = BITS) -> np.ndarray:
-    """For each of the distinct fps, the index of its component's first entry: links of <= limit bits."""
+@dataclass
+class Level:
+    """Nodes of one level: bits set in all and in any of the entries below, and where each one's children start."""
+
+    both: np.ndarray
+    any_: np.ndarray
+    group: np.ndarray
+    starts: np.ndarray
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which every entry below a differs from every entry below b."""
+        shared = ~(self.both ^ self.any_)
+        return np.bitwise_count((self.both[a] ^ self.both[b]) & shared[a] & shared[b])
+
+
+def hierarchy(group: np.ndarray, fps: np.ndarray) -> list[Level]:
+    """Levels over entries sorted by group and Gray rank: the entries first, one root per group last."""
+    levels = [Level(fps, fps, group, np.arange(len(fps)))]
+    while True:
+        at = levels[-1]
+        n = len(at.group)
+        edge = np.r_[True, at.group[1:] != at.group[:-1]]
+        place = np.arange(n) - np.flatnonzero(edge)[np.cumsum(edge) - 1]
+        starts = np.flatnonzero(place % FAN == 0)
+        levels.append(Level(np.bitwise_and.reduceat(at.both, starts), np.bitwise_or.reduceat(at.any_, starts), at.group[starts], starts))
+        if len(starts) == edge.sum():
+            return levels
+
+
+def _below(node: Level, n_children: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a child of a[i] and a child of b[i], the earlier one first."""
+    ends = np.r_[node.starts[1:], n_children]
+    wide = ends[b] - node.starts[b]
+    sizes = (ends[a] - node.starts[a]) * wide
+    k = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    wide = np.repeat(wide, sizes)
+    return np.repeat(node.starts[a], sizes) + k // wide, np.repeat(node.starts[b], sizes) + k % wide
+
+
+def near_roots(group: np.ndarray, fps: np.ndarray, limit: int = BITS) -> np.ndarray:
+    """For each entry the index of its component's first entry; links are pairs of a group within limit bits.
+
+    Pairs of nodes go down the Gray-ordered hierarchies of all groups together; a
+    pair whose shared bits differ in more than limit places goes with all below it.
+    """
     n = len(fps)
-    order = np.argsort(gray_rank(fps), kind="stable")
-    x = fps[order]
+    if not n:
+        return np.zeros(0, np.int64)
+    order = np.lexsort((gray_rank(fps), group))
+    levels = hierarchy(group[order], fps[order])
     root = np.arange(n)
-    levels = []  # per level: all bits set everywhere, any bit set somewhere
-    starts = np.arange(0, n, LEAF)
-    both, any_ = np.bitwise_and.reduceat(x, starts), np.bitwise_or.reduceat(x, starts)
-    levels.append((both, any_))
-    while len(both) > 1:
-        s = np.arange(0, len(both), FAN)
-        both, any_ = np.bitwise_and.reduceat(both, s), np.bitwise_or.reduceat(any_, s)
-        levels.append((both, any_))
-    a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for depth in range(len(levels) - 1, -1, -1):
-        both, any_ = levels[depth]
-        shared = ~(both ^ any_)
-        differ = np.bitwise_count((both[a] ^ both[b]) & shared[a] & shared[b])
-        a, b = a[differ <= limit], b[differ <= limit]
-        if depth:
-            below = len(levels[depth - 1][0])
-            f = np.arange(FAN)
-            ca = (a[:, None, None] * FAN + f[:, None]) + np.zeros((1, 1, FAN), np.int64)
-            cb = (b[:, None, None] * FAN + f) + np.zeros((1, FAN, 1), np.int64)
-            ca, cb = ca.ravel(), cb.ravel()
-            ok = (ca <= cb) & (ca < below) & (cb < below)
-            a, b = ca[ok], cb[ok]
-    first = np.argsort((b - a), kind="stable")  # near leaves first: they settle most sets
+    a = b = np.arange(len(levels[-1].group))
+    for depth in range(len(levels) - 1, 1, -1):
+        near = levels[depth].differ(a, b) <= limit
+        a, b = _below(levels[depth], len(levels[depth - 1].group), a[near], b[near])
+        a, b = a[a <= b], b[a <= b]
+    leaves, entries = levels[1], levels[0]
+    near = leaves.differ(a, b) <= limit
+    a, b = a[near], b[near]
+    first = np.argsort(b - a, kind="stable")  # near leaves settle most sets
     a, b = a[first], b[first]
-    pad = np.arange(LEAF)
-    for at in range(0, len(a), 256):
-        la, lb = a[at : at + 256], b[at : at + 256]
-        ia, ib = la[:, None] * LEAF + pad, lb[:, None] * LEAF + pad
-        ra, rb = root[np.minimum(ia, n - 1)], root[np.minimum(ib, n - 1)]
-        open_ = (ra.min(1) != ra.max(1)) | (rb.min(1) != rb.max(1)) | (ra[:, 0] != rb[:, 0])
-        ia, ib = ia[open_], ib[open_]
-        if not len(ia):
-            continue
-        near = np.bitwise_count(x[np.minimum(ia, n - 1)][:, :, None] ^ x[np.minimum(ib, n - 1)][:, None, :]) <= limit
-        near &= (ia[:, :, None] < ib[:, None, :]) & (ib[:, None, :] < n)
-        k, i, j = np.nonzero(near)
-        unite(root, ia[k, i], ib[k, j])
+    for at in range(0, len(a), PAIRS):
+        low, high = np.minimum.reduceat(root, leaves.starts), np.maximum.reduceat(root, leaves.starts)
+        la, lb = a[at : at + PAIRS], b[at : at + PAIRS]
+        open_ = np.minimum(low[la], low[lb]) != np.maximum(high[la], high[lb])
+        x, y = _below(leaves, n, la[open_], lb[open_])
+        x, y = x[x < y], y[x < y]
+        near = entries.differ(x, y) <= limit
+        unite(root, x[near], y[near])
     out = np.empty(n, np.int64)
     out[order] = order[root]
     return out
 
 
-def _small(key: np.ndarray, fps: np.ndarray, root: np.ndarray) -> None:
-    """Links inside runs of equal key, all runs at once; root is of the whole array."""
-    gap = 1
-    live = np.flatnonzero(key[:-1] == key[1:])
-    while len(live):
-        a, b = live, live + gap
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= BITS
-        unite(root, a[near], b[near])
-        gap += 1
-        live = live[live + gap < len(key)]
-        live = live[key[live] == key[live + gap]]
-
-
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (key, tile); emits links from each entry to its component's first, per group."""
 
     def solve(key: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        root = np.arange(len(fps))
-        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[edges, len(key)])
-        small = np.repeat(sizes <= 64, sizes)
-        at = np.flatnonzero(small)
-        sub = np.arange(len(at))
-        _small(key[at], fps[at], sub)
-        root[at] = at[sub]
-        for s, n in zip(edges[sizes > 64], sizes[sizes > 64]):
-            root[s : s + n] = s + near_roots(fps[s : s + n])
+        root = near_roots(np.cumsum(np.r_[True, key[1:] != key[:-1]]), fps)
         linked = np.flatnonzero(root != np.arange(len(fps)))
         pair = np.stack([fps[root[linked]].view(np.int64), fps[linked].view(np.int64)])
         return pa.RecordBatch.from_arrays([pa.array(pair.min(0)), pa.array(pair.max(0))], names=["a", "b"])
@@ -238,8 +246,7 @@ def op3_simhash(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of its smallest doc_id, nulls last, and then of the smallest hash of its columns."""
     h, k, d = (free_name(docs, n) for n in ("_hash", "_key", "_doc"))
-    # nulls leave the hash as it is, so where they stand goes in too
-    rows = docs.withColumn(h, F.xxhash64(*[F.col(c) for c in docs.columns], *[F.col(c).isNull() for c in docs.columns]))
+    rows = docs.withColumn(h, whole_hash(docs))
     named = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(h).alias("hash")).alias("doc_id"), "text")
     keep = clustered(named).select(F.col("component_id.id").alias(d), F.col("component_id.hash").alias(k)).distinct()
     own = rows.join(keep, (F.col(h) == F.col(k)) & F.col("doc_id").eqNullSafe(F.col(d)), "left_semi")
