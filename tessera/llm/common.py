@@ -1,59 +1,22 @@
-"""What the training-data operators share: scratch tables, running sums, words."""
+"""What the training-data operators share: row numbers, running sums, words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
+
+from tessera.sources.scratch import BROADCAST_ROWS, kept, small_or_shuffled  # noqa: F401
 
 #: Words are runs of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a table that may still be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
 #: Rows meant for one task of a running sum or a permutation.
 BUCKET_ROWS = 1024
 
-_own_dir: list[str] = []
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return _own_dir[0]
-
-
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete this process's scratch tables; call it once results that read them are written."""
-    while _written:
-        at = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def small_or_shuffled(right: DataFrame, rows: int | None = None) -> DataFrame:
-    """A broadcast hint if the table (kept, so counting is cheap) is within the bound, else none."""
-    n = right.count() if rows is None else rows
-    return F.broadcast(right) if n <= BROADCAST_ROWS else right.hint("merge")
-
-
 def running_start(rows: DataFrame, keys: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
     """Exclusive running sum of value within keys, by order.
 
@@ -86,18 +49,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def reattach(docs: DataFrame, decisions: DataFrame, payload: str) -> tuple[DataFrame, str]:
-    """docs, one row per element of their payload array, and the name the element goes by.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for every row, written so that it stays the row's, and the number's name."""
+    row = free_name(docs, "_row")
+    return kept(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
 
-    decisions: (_doc, _hash, payload), keyed by doc_id and row_hash. Rows of docs
-    that are equal in doc_id and text are one row with as many elements as copies.
-    The new names avoid those that docs has.
+def copy_numbers(rows: DataFrame, key: str, row: str, out: str) -> DataFrame:
+    """Rows equal in key, numbered from 0. A task numbers the rows of a key from one task of their own writing.
+
+    rows is read twice, and row is its number from numbered(): give a kept table.
     """
-    h, d, k, p = (free_name(docs, n) for n in ("_hash", "_doc", "_key", payload))
-    keyed = docs.withColumn(h, row_hash("doc_id", "text")).dropDuplicates(["doc_id", h])
-    own = decisions.select(F.col("_doc").alias(d), F.col("_hash").alias(k), F.col(payload).alias(p))
-    out = keyed.join(own, (F.col(h) == F.col(k)) & F.col("doc_id").eqNullSafe(F.col(d)))
-    return out.withColumn(p, F.explode(p)), p
+    cut = rows.withColumn("_lot", F.shiftright(row, 33)).withColumn("_one", F.lit(1).cast("long"))
+    return running_start(cut, [key], "_lot", [row], "_one", out).drop("_lot", "_one")
+
+
+def whole_hash(docs: DataFrame, *without: str) -> Column:
+    """Hash of all columns that can be hashed; nulls leave xxhash64 as it is, so where they stand goes in too."""
+    cols = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in without and not isinstance(f.dataType, (MapType, VariantType))]
+    return F.xxhash64(*cols, *[c.isNull() for c in cols])
 
 
 def row_hash(*cols: str) -> Column:

@@ -13,10 +13,12 @@ mixed each on its own; extra columns play no part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, WORD, kept, reattach, row_hash, running_start, small_or_shuffled
+from tessera.sources.scratch import kept
+
+from .common import BUCKET_ROWS, WORD, free_name, numbered, running_start, small_or_shuffled, whole_hash
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -28,11 +30,12 @@ GRID = 1024
 GOLDEN = 2654435769
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc, hash, source, size, key): one narrow row per document."""
+def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(doc_id, _row, _hash, source, size, _key): one narrow row per document; row: the number that docs has from numbered()."""
     return docs.select(
-        F.col("doc_id").alias("doc_id"),
-        row_hash("doc_id", "text").alias("_hash"),
+        "doc_id",
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("_row"),
+        whole_hash(docs, row or "").alias("_hash"),
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_key"),
@@ -66,6 +69,12 @@ def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     )
 
 
+def golden_point(i: Column) -> Column:
+    """i * GOLDEN mod 2**32, in halves of i that no long overflows."""
+    low, high = i % 2**16, F.shiftright(i, 16) % 2**16
+    return (low * GOLDEN + high * GOLDEN % 2**16 * 2**16) % 2**32
+
+
 def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(sid, block, slot): each source's blocks up to its quota, spread evenly over the slots."""
     spark = sources.sparkSession
@@ -81,7 +90,7 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         "_cell", F.explode(F.sequence(F.floor(F.col("_lo") * GRID), F.least(F.floor(F.col("_hi") * GRID), F.lit(GRID - 1))))
     )
     points = spark.range(n_slots).select(
-        F.col("id").alias("slot"), ((F.col("id") % 2**32) * GOLDEN % 2**32 / F.lit(float(2**32))).alias("_u")
+        F.col("id").alias("slot"), (golden_point(F.col("id")) / F.lit(float(2**32))).alias("_u")
     )
     points = points.withColumn("_cell", F.floor(F.col("_u") * GRID))
     hits = points.join(small_or_shuffled(cells, n_sources + GRID), "_cell").where("_u >= _lo and _u < _hi")
@@ -102,7 +111,7 @@ def placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
     bucket = F.expr("cast(conv(substr(_key, 1, 8), 16, 10) as bigint)")
     joined = joined.withColumn("_bucket", F.floor(bucket * n_buckets / F.lit(2**32)).cast("long"))
     joined = kept(joined, "mix-rows")
-    return running_start(joined, ["sid"], "_bucket", ["_key", "doc_id", "_hash"], "size", "start").drop("_bucket")
+    return running_start(joined, ["sid"], "_bucket", ["_key", "doc_id", "_hash", "_row"], "size", "start").drop("_bucket")
 
 
 def mix(rows: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -133,33 +142,34 @@ def mix(rows: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Dat
 
 
 def op1_mixing(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs."""
+    """doc_id, size, source_size, target, taken, first_slot, blocks for every row of docs.
+
+    first_slot: where the mix first takes the document; blocks: the slots that hold words of it.
+    """
     slices, rest = mix(sized(docs))
-    kept_cols = ["doc_id", "size", "source_size", "target"]
-    taken = slices.groupBy("sid", "start", *kept_cols).agg(F.sum("n_words").alias("taken"))
-    return taken.select(*kept_cols, "taken").unionByName(rest.select(*kept_cols, F.lit(0).cast("long").alias("taken")))
+    own = ["doc_id", "size", "source_size", "target"]
+    taken = slices.groupBy("_row", *own).agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("blocks"))
+    none = [F.lit(x).cast("long").alias(n) for x, n in ((0, "taken"), (None, "first_slot"), (0, "blocks"))]
+    return taken.select(*own, "taken", "first_slot", "blocks").unionByName(rest.select(*own, *none))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row per document and pass, text cut to the words taken.
+    """docs as the mix takes them, in the order of its slots: a row per document and pass, text cut to the words taken.
 
     Whole documents keep their text unchanged; n_chars, if there, follows the text.
     """
-    slices, _ = mix(sized(docs))
-    per = slices.groupBy("doc_id", "_hash", "sid", "start", "pass", "size").agg(
-        F.min("from_word").alias("_from"), F.sum("n_words").alias("_n")
-    )
-    turns = per.groupBy(F.col("doc_id").alias("_doc"), "_hash").agg(
-        F.collect_list(F.struct("_from", "_n", "size")).alias("_turn")
-    )
-    out, turn = reattach(docs, turns, "_turn")
-    first, n, size = (F.col(f"{turn}.{c}") for c in ("_from", "_n", "size"))
+    rows, row = numbered(docs)
+    slices, _ = mix(sized(rows, row))
+    names = [free_name(rows, n) for n in ("_from", "_n", "_size", "_slot")]
+    turns = slices.groupBy("_row", "pass", "size").agg(F.min("from_word").alias("_from"), F.sum("n_words").alias("_n"), F.min("slot").alias("_slot"))
+    turns = turns.select(F.col("_row").alias(row), *[F.col(c).alias(n) for c, n in zip(("_from", "_n", "size", "_slot"), names)])
+    first, n, size, slot = map(F.col, names)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     part = F.array_join(F.slice(words, first.cast("int") + 1, n.cast("int")), " ")
-    out = out.withColumn("text", F.when(n == size, F.col("text")).otherwise(part))
+    out = rows.join(turns, row).withColumn("text", F.when(n == size, F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.repartitionByRange(slot).sortWithinPartitions(slot, row).select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE = r"""
@@ -175,10 +185,26 @@ l AS (SELECT *, ((SELECT sum(source_size) FROM c)::DOUBLE * 1.5 - (sum(cap) OVER
       FROM c WINDOW o AS (ORDER BY cap / wt, sid ROWS UNBOUNDED PRECEDING)),
 t AS (SELECT source, source_size, least(cap, wt * (SELECT max(lev) FROM l)) AS target FROM l),
 q AS (SELECT *, floor(target + 0.5)::BIGINT AS quota FROM t),
-p AS (SELECT s.doc_id, s.size, q.source_size, q.target, q.quota,
+n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid, ceil(quota / 1024)::BIGINT AS need,
+             sum(quota) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING)::BIGINT / greatest((SELECT sum(quota) FROM q), 1)::BIGINT AS hi,
+             quota / greatest((SELECT sum(quota) FROM q), 1)::BIGINT AS width FROM q),
+points AS (SELECT slot, (slot * 2654435769 % 4294967296) / 4294967296.0::DOUBLE AS u
+           FROM (SELECT unnest(range((SELECT sum(need)::BIGINT FROM n))) AS slot)),
+hits AS (SELECT sid, need, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS block
+         FROM points JOIN n ON u >= hi - width AND u < hi),
+got AS (SELECT sid, count(*) AS m FROM hits GROUP BY sid),
+slots AS (
+  SELECT sid, block, slot FROM hits WHERE block < need
+  UNION ALL
+  SELECT sid, block, (SELECT sum(need)::BIGINT FROM n) + block * (SELECT count(*) FROM n) + sid
+  FROM (SELECT n.sid, unnest(range(coalesce(m, 0), need)) AS block FROM n LEFT JOIN got USING (sid))),
+p AS (SELECT s.doc_id, s.size, n.sid, n.source_size, n.target, n.quota, row_number() OVER () AS id,
              (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS a
-      FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(a + size, quota) - a) + greatest(0, least(a + size + source_size, quota) - a - source_size))::BIGINT AS taken
-FROM p
+      FROM s JOIN n ON s.source IS NOT DISTINCT FROM n.source),
+turns AS (SELECT p.*, a + t * source_size AS lo, least(a + size + t * source_size, quota) AS up FROM p, (VALUES (0), (1)) AS v(t)),
+pieces AS (SELECT *, unnest(range(lo // 1024, (up - 1) // 1024 + 1)) AS block FROM turns WHERE up > lo),
+taken AS (SELECT id, sum(least(up, (block + 1) * 1024) - greatest(lo, block * 1024))::BIGINT AS taken, min(slot)::BIGINT AS first_slot, count(*)::BIGINT AS blocks
+          FROM pieces JOIN slots USING (sid, block) GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, coalesce(blocks, 0)::BIGINT AS blocks
+FROM p LEFT JOIN taken USING (id)
 """

@@ -5,11 +5,12 @@ to shard k is drawn from the multivariate hypergeometric distribution, level by
 level: halves of the super-partitions, then the partitions of each. A partition
 ranks its rows by a random key and cuts the ranking at its drawn counts; each
 shard then ranks what it has got by a second key. Every step is a function of the
-rows and the seed, so a lost task gives the same rows again.
+rows and the seed, so a lost task gives the same rows again. Equal rows are dealt
+apart by their copy numbers.
 
 Law: `rows` (shard sizes differ by one at most). Defined results: a null text has
 size 16 and the CRC-32 of no bytes, 0; repeated rows get slots of their own; an
-empty table gives no rows; extra columns are kept and play no part.
+empty table gives no rows; extra columns are kept and enter the hash that deals a row.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BUCKET_ROWS, kept, reattach, row_hash, running_start
+from tessera.sources.scratch import kept
+
+from .common import BUCKET_ROWS, copy_numbers, numbered, running_start, whole_hash
 
 SHARDS = 40
 SEED = 20_251
@@ -79,18 +82,21 @@ def _draw(seed: int, id_col: str):
     return draw
 
 
-def assign(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, _hash, size, text_crc32, shard, slot) for every row."""
+def assign(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, row: str | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot, _row) for every row; row: the number that docs has from numbered()."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    number = F.col(row) if row else F.monotonically_increasing_id()
     rows = kept(
         docs.select(
-            "doc_id", row_hash("doc_id", "text").alias("_hash"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")
+            "doc_id", number.alias("_row"), whole_hash(docs, row or "").alias("_hash"), (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")
         ),
         "shard-rows",
     )
     n = rows.count()
     n_parts = max(1, -(-n // BUCKET_ROWS))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_hash", F.lit(seed)), F.lit(n_parts)))
+    # equal rows are told apart by their copy number alone, so any of them may bear any
+    rows = copy_numbers(rows, "_hash", "_row", "_copy")
+    rows = kept(rows.withColumn("_part", F.pmod(F.xxhash64("_hash", "_copy", F.lit(seed)), F.lit(n_parts))), "shard-parts")
     parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).withColumn("node", F.floor(F.col("_part") / SUPER))
     sizes = [n // n_shards + (k < n % n_shards) for k in range(n_shards)]
     # one row per super-partition meets here: a 262,144th of the rows
@@ -104,13 +110,13 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFra
     )
     upto = F.transform(F.sequence(F.lit(1), F.lit(n_shards)), lambda i: F.aggregate(F.slice("shards", 1, i), F.lit(0).cast("long"), lambda a, x: a + x))
     matrix = matrix.select("_part", upto.alias("_upto"))
-    local = Window.partitionBy("_part").orderBy(F.xxhash64("_hash", F.lit(seed + 3)), "doc_id")
+    local = Window.partitionBy("_part").orderBy(F.xxhash64("_hash", "_copy", F.lit(seed + 3)), "doc_id")
     cut = rows.withColumn("_rank", F.row_number().over(local) - 1).join(matrix, "_part")
     cut = cut.withColumn("shard", F.size(F.filter("_upto", lambda c: c <= F.col("_rank"))))
-    second = F.shiftrightunsigned(F.xxhash64("_hash", F.lit(seed + 4)), 1)
+    second = F.shiftrightunsigned(F.xxhash64("_hash", "_copy", F.lit(seed + 4)), 1)
     n_sub = max(1, -(-n // (n_shards * BUCKET_ROWS)))
     cut = cut.withColumn("_key", second).withColumn("_sub", F.floor(F.shiftrightunsigned("_key", 32) * F.lit(n_sub) / F.lit(2**31)))
-    cut = kept(cut.select("doc_id", "_hash", "size", "text_crc32", "shard", "_key", "_sub", F.lit(1).cast("long").alias("_one")), "shard-cut")
+    cut = kept(cut.select("doc_id", "_row", "size", "text_crc32", "shard", "_key", "_sub", F.lit(1).cast("long").alias("_one")), "shard-cut")
     return running_start(cut, ["shard"], "_sub", ["_key", "doc_id"], "_one", "slot").drop("_key", "_sub", "_one")
 
 
@@ -123,8 +129,7 @@ def op9_sharding(docs: DataFrame) -> DataFrame:
 
 def sharded_documents(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     """docs with the columns shard and slot; clashing columns of docs are replaced."""
-    per = assign(docs, n_shards).groupBy(F.col("doc_id").alias("_doc"), "_hash")
-    placed = per.agg(F.collect_list(F.struct("shard", "slot")).alias("_place"))
     own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    out, place = reattach(docs.select(*own), placed, "_place")
-    return out.select(*own, F.col(f"{place}.shard").alias("shard"), F.col(f"{place}.slot").alias("slot"))
+    rows, row = numbered(docs.select(*[f"`{c}`" for c in own]))
+    placed = assign(rows, n_shards, row=row).select(F.col("_row").alias(row), "shard", "slot")
+    return rows.join(placed, row).drop(row)
