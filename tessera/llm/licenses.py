@@ -1,7 +1,8 @@
 """License scan: MinHash bands over overlapping windows retrieve notice templates.
 
 A document carries a license if it holds at least 0.8 of the five-word shingles
-of one of the license's notices (see windows.py). Defined results: null, empty
+of one of the license's notices (see windows.py). The notices are a table: short
+lines, file headers and whole texts by default. Defined results: null, empty
 and short texts carry nothing unless they are a notice; repeated rows give
 repeated results; an empty table gives no rows; extra columns play no part.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_or_shuffled
 from .windows import found_in
 
 # Wordings that licenses and their stewards publish for notices.
@@ -36,17 +38,102 @@ NOTICES = [
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
     ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC0-1.0", "has waived all copyright and related or neighboring rights to this work"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons "
+        "to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS "
+        "FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+        "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+        "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "BSD-4-Clause",
+        "All advertising materials mentioning features or use of this software must display the following acknowledgement",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
+        "notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+        "AND FITNESS.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to "
+        "use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+    ),
+    (
+        "GPL-2.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 "
+        "of the License, or (at your option) any later version.",
+    ),
+    (
+        "GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either "
+        "version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+        "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    ),
 ]
 
 
 def notice_table(spark: SparkSession, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
+    """(notice_id, license, text) of the notices above; any table of these columns may stand for it."""
     rows = [(i, name, text) for i, (name, text) in enumerate(notices)]
     return spark.createDataFrame(rows, "notice_id int, license string, text string")
 
 
-def op2_licenses(docs: DataFrame) -> DataFrame:
+def op2_licenses(docs: DataFrame, notices: DataFrame | None = None) -> DataFrame:
     """doc_id, license, notice_id, shingles, shared, containment, first_word of every notice found."""
-    notices = notice_table(docs.sparkSession)
-    out = found_in(docs, notices, "notice_id").withColumn("containment", F.col("shared") / F.col("shingles"))
-    names = F.create_map(*[x for i, (name, _) in enumerate(NOTICES) for x in (F.lit(i), F.lit(name))])
-    return out.select("doc_id", F.element_at(names, F.col("notice_id")).alias("license"), "notice_id", "shingles", "shared", "containment", "first_word")
+    table = notice_table(docs.sparkSession) if notices is None else notices
+    out = found_in(docs, table, "notice_id").withColumn("containment", F.col("shared") / F.col("shingles"))
+    names = table.select("notice_id", "license").distinct()
+    found = out.join(small_or_shuffled(names), "notice_id")
+    return found.select("doc_id", "license", "notice_id", "shingles", "shared", "containment", "first_word")

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources.io import spread
+
 from . import decontaminate, html, knn, licenses, mixing, quality, recurrent, sharding, simhash, substrings
 from .oracles import contained_sql
 
 
 def _on(operator: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
+    """operator over the tables, the first of them dealt to all cores where its files are few."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        first, *others = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables]
+        return operator(spread(first), *others)
+
+    return run
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

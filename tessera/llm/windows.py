@@ -10,7 +10,10 @@ sets of item and document then decide. Items are broadcast in blocks of at most
 BLOCK_ITEMS; a larger table takes one pass over the documents per block.
 
 A text's shingles are its runs of five words (ASCII case and punctuation
-ignored); a text of one to four words is one shingle, an empty one has none.
+ignored), an empty one has none. An item of one to four words is one shingle of its
+own width and is looked up among the documents' runs of that width. Where an item's
+shingles stand scattered over a document, not within one window, the bands may
+miss it; the README has the measured share.
 """
 
 from __future__ import annotations
@@ -48,14 +51,19 @@ class Items:
     def __init__(self, rows: list[tuple[int, bytes]], similarity: float = SIMILARITY):
         self.similarity = similarity
         self.ids, self.sets = [], []
+        #: width -> hash of a run -> items of that very run
+        self.short: dict[int, dict[int, list[int]]] = {}
         hashes, by_unit = WordHashes(), {}
         for key, text in rows:
             words = plain_words(text)
             if not words:
                 continue
             sh = np.unique(shingle_hashes(hashes.of(words), WIDTH))
-            unit = 1 << (len(sh) - 1).bit_length()
-            by_unit.setdefault(unit, []).append((len(self.ids), sh))
+            if len(words) < WIDTH:
+                self.short.setdefault(len(words), {}).setdefault(int(sh[0]), []).append(len(self.ids))
+            else:
+                unit = 1 << (len(sh) - 1).bit_length()
+                by_unit.setdefault(unit, []).append((len(self.ids), sh))
             self.ids.append(key)
             self.sets.append(frozenset(shingle_strings(words, WIDTH)))
         self.factors = multipliers(max([bands_for(u, similarity) for u in by_unit], default=0), 11)
@@ -101,6 +109,16 @@ class Items:
                     found.update((int(d), int(o)) for o in owners[i:j])
         return found
 
+    def short_matches(self, words: list[bytes], hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, first word) of the items below WIDTH words that stand in a text."""
+        for width, index in self.short.items():
+            if len(words) >= width:
+                runs, first = np.unique(shingle_hashes(hashes, width), return_index=True)
+                for h, at in zip(runs.tolist(), first.tolist()):
+                    for item in index.get(h, ()):
+                        if b" ".join(words[at : at + width]) in self.sets[item]:
+                            yield item, at
+
     def matches(self, texts: list[bytes | None], hashes: WordHashes) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, shared shingles, first matching word) of every verified match."""
         rows, size = [], 0
@@ -110,7 +128,11 @@ class Items:
                 rows.append((row, words))
                 size += len(words)
             if rows and (size >= FLAT_WORDS or row == len(texts)):
-                shingles = [shingle_hashes(hashes.of(w), WIDTH) for _, w in rows]
+                words_of = [hashes.of(w) for _, w in rows]
+                shingles = [shingle_hashes(w, WIDTH) for w in words_of]
+                for (number, words), w in zip(rows, words_of) if self.short else ():
+                    for item, at in self.short_matches(words, w):
+                        yield number, item, 1, at
                 last, have = -1, {}
                 for d, item in sorted(self.candidates(shingles)):
                     if d != last:
