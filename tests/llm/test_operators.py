@@ -283,13 +283,23 @@ def test_edited_passage_is_found(spark):
     assert {frozenset((r.doc_id, r.keep_id)) for r in got} == {frozenset((1, 2))}
 
 
-def test_compact_windows_hold_every_subsequence():
-    g = np.random.default_rng(4).permutation(200).astype(np.uint64)
-    wins = substrings.compact_windows(g, 10)
-    for i in range(0, 190, 7):
-        for j in range(i + 9, 200, 5):
-            c = i + int(g[i : j + 1].argmin())
-            assert sum(lo <= i <= c <= j <= hi and p == c for lo, p, hi in wins) == 1
+def _slow_tree(g, first, length):
+    """Places of the nodes of a Cartesian tree that span length or more."""
+    if len(g) < length:
+        return set()
+    c = int(g.argmin())
+    return {first + c} | _slow_tree(g[:c], first, length) | _slow_tree(g[c + 1 :], first + c + 1, length)
+
+
+def test_compact_windows_are_the_nodes_of_the_trees():
+    rng = np.random.default_rng(4)
+    sizes = [200, 9, 10, 1, 47, 500, 3]
+    g = rng.permutation(sum(sizes)).astype(np.uint64) + np.uint64(1)
+    last = np.cumsum(sizes)
+    want = set()
+    for size, end in zip(sizes, last):
+        want |= _slow_tree(g[end - size : end], end - size, 10)
+    assert set(substrings.compact_windows(g, np.repeat(last, sizes), 10)) == want
 
 
 def test_containment_against_brute_force(spark):
