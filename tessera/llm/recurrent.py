@@ -28,7 +28,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +39,13 @@ from .common import BROADCAST_ROWS, binary, held_out, kept, row_hash
 HEAD = BROADCAST_ROWS
 N_CLASSES, PER_CLASS = 32, 64
 HIDDEN = 16
-STEPS, LANES = 24, 96
+STEPS, LANES = 24, 192
+#: Training tokens that a task lays out at a time.
+BUFFER = 2_000_000
+SEGMENT = 1024
 RATE = 0.01
-TRAIN_TASK_ROWS = 500
+#: Training documents of a task, for which there are at most MOST_TASKS a round; FAN_IN tasks' weights are averaged at a time.
+TRAIN_TASK_ROWS, MOST_TASKS, FAN_IN = 1000, 65_536, 32
 #: Rounds of a large corpus, and tasks a round has at least: fewer average too little.
 TRAIN_ROUNDS, ROUND_TASKS = 4, 8
 FLUSH = 200_000
@@ -160,165 +166,231 @@ def new_net(weight: np.ndarray) -> Net:
     return net
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def cell(net: Net, symbol: np.ndarray, h: np.ndarray) -> tuple:
-    gates, back = net.embed[symbol], h @ net.recur
-    rz = _sigmoid(gates[:, : 2 * HIDDEN] + back[:, : 2 * HIDDEN])
-    r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-    c = np.tanh(gates[:, 2 * HIDDEN :] + r * back[:, 2 * HIDDEN :])
-    return h + z * (c - h), r, z, c, back[:, 2 * HIDDEN :]
+def by_gate(w: np.ndarray) -> np.ndarray:
+    """Weights (n, 3H) as (3, n, H), those of the sigmoids halved: a sigmoid is a tanh of half its argument."""
+    out = np.ascontiguousarray(w.reshape(len(w), 3, HIDDEN).transpose(1, 0, 2))
+    out[:2] *= 0.5
+    return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = np.minimum(x, 60)  # float32 holds the exponential of that, so no maximum is needed
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def gate(b: np.ndarray, x: np.ndarray, h: np.ndarray) -> None:
+    """One step of the cell: b (3, lanes, H) from the state, x from the input; b becomes reset, update and candidate, h the new state."""
+    rz, c = b[:2], b[2]
+    rz += x[:2]
+    np.tanh(rz, out=rz)
+    rz *= 0.5
+    rz += 0.5
+    c *= rz[0]
+    c += x[2]
+    np.tanh(c, out=c)
+    h += rz[1] * (c - h)
 
 
-def _picked(x: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """One entry of each row of the log softmax."""
-    np.minimum(x, 60, out=x)
+def _log_sums(x: np.ndarray, column: np.ndarray, safe: bool) -> np.ndarray:
+    """One entry of each row of the log softmax; x is used up."""
+    if not safe:
+        np.minimum(x, 60, out=x)  # float32 holds the exponential of that, so no maximum is needed
     got = x[np.arange(len(x)), column].astype(np.float64)
     return got - np.log(np.exp(x, out=x).sum(1))
 
 
+def _bounded(w: np.ndarray) -> bool:
+    """Whether no state, whose parts lie within -1 and 1, can give outputs above 60."""
+    return bool((np.abs(w[..., :-1, :]).sum(-2) + w[..., -1, :]).max() < 60)
+
+
 def log_probs(net: Net, h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """ln P(symbol | h): class, then word within the class."""
+    order = np.argsort(symbol, kind="stable")
+    h, symbol = h[order], symbol[order].astype(np.int64)
     which, word = symbol // PER_CLASS, symbol % PER_CLASS
-    out = _picked(h @ net.classes[:-1] + net.classes[-1], which)
-    order = np.argsort(which, kind="stable")
-    edges = np.searchsorted(which[order], np.arange(N_CLASSES + 1))
-    for c in range(N_CLASSES):
-        at = order[edges[c] : edges[c + 1]]
-        if len(at):
-            out[at] += _picked(h[at] @ net.words[c, :-1] + net.words[c, -1], word[at])
+    value = _log_sums(h @ net.classes[:-1] + net.classes[-1], which, _bounded(net.classes))
+    edges, safe = np.searchsorted(which, np.arange(N_CLASSES + 1)), _bounded(net.words)
+    for c in np.flatnonzero(np.diff(edges)):
+        part = slice(edges[c], edges[c + 1])
+        value[part] += _log_sums(h[part] @ net.words[c, :-1] + net.words[c, -1], word[part], safe)
+    out = np.empty_like(value)
+    out[order] = value
     return out
 
 
-def train_window(net: Net, seq: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """Gradients of one window: seq is (steps + 1, lanes), live marks predicted places; state in and out."""
-    steps, saved = len(seq) - 1, []
+def train_window(net: Net, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """Gradients of one window of (steps, lanes): live marks predicted places, fresh where a document starts; state in and out."""
+    steps, lanes = inputs.shape
+    gates, recur = by_gate(net.embed)[:, inputs], by_gate(net.recur)
+    r, z, cand, back, before, hs = np.empty((6, steps, lanes, HIDDEN), np.float32)
+    h = h.copy()
     for t in range(steps):
-        new, r, z, c, back = cell(net, seq[t], h)
-        saved.append((h, r, z, c, back, new))
-        h = new
-    hs = np.concatenate([s[5] for s in saved])
-    target, mask = seq[1:].ravel(), live.ravel()
-    dh_out = np.zeros_like(hs)
-    d_classes, d_words = np.zeros_like(net.classes), np.zeros_like(net.words)
-    at = np.flatnonzero(mask)
-    which, word = target[at] // PER_CLASS, target[at] % PER_CLASS
-    p = _log_softmax(hs[at] @ net.classes[:-1] + net.classes[-1])
-    loss = -p[np.arange(len(at)), which].sum()
-    g = np.exp(p)
-    g[np.arange(len(at)), which] -= 1
-    d_classes[:-1], d_classes[-1] = hs[at].T @ g, g.sum(0)
-    dh_out[at] += g @ net.classes[:-1].T
-    order = np.argsort(which, kind="stable")
-    edges = np.searchsorted(which[order], np.arange(N_CLASSES + 1))
-    for c in range(N_CLASSES):
-        k = order[edges[c] : edges[c + 1]]
-        if not len(k):
-            continue
-        x = hs[at[k]]
-        p = _log_softmax(x @ net.words[c, :-1] + net.words[c, -1])
-        loss -= p[np.arange(len(k)), word[k]].sum()
-        g = np.exp(p)
-        g[np.arange(len(k)), word[k]] -= 1
-        d_words[c, :-1], d_words[c, -1] = x.T @ g, g.sum(0)
-        dh_out[at[k]] += g @ net.words[c, :-1].T
-    dh_out = dh_out.reshape(steps, -1, HIDDEN)
-    d_gates, d_back = np.empty((2, steps, len(h), 3 * HIDDEN), np.float32)
-    before = np.empty((steps, len(h), HIDDEN), np.float32)
-    dh = np.zeros_like(h)
+        if fresh[t].any():
+            h[fresh[t]] = 0
+        b = np.matmul(h, recur)
+        before[t], back[t] = h, b[2]
+        gate(b, gates[:, t], h)
+        r[t], z[t], cand[t] = b
+        hs[t] = h
+    flat = lambda x: x.reshape(-1, x.shape[-1])
+    at = np.flatnonzero(live.ravel())
+    # by class, so that each class's rows lie together
+    at = at[np.argsort(targets.ravel()[at], kind="stable")]
+    which, word = targets.ravel()[at] // PER_CLASS, targets.ravel()[at] % PER_CLASS
+    x, k = flat(hs)[at], np.arange(len(at))
+    d_classes, d_words, dx = np.zeros_like(net.classes), np.zeros_like(net.words), np.empty((len(at), HIDDEN), np.float32)
+
+    def softmax(x: np.ndarray, w: np.ndarray, column: np.ndarray, dw: np.ndarray, dx: np.ndarray, add: bool) -> float:
+        p = x @ w[:-1]
+        p += w[-1]
+        np.exp(np.minimum(p, 60, out=p), out=p)  # float32 holds that, so no maximum is needed
+        p /= p.sum(1, keepdims=True)
+        row = k[: len(x)]
+        loss = -float(np.log(p[row, column]).sum())
+        p[row, column] -= 1
+        dw[:-1], dw[-1] = x.T @ p, p.sum(0)
+        if add:
+            dx += p @ w[:-1].T
+        else:
+            np.matmul(p, w[:-1].T, out=dx)
+        return loss
+
+    loss = softmax(x, net.classes, which, d_classes, dx, False)
+    edges = np.searchsorted(which, np.arange(N_CLASSES + 1))
+    for c in np.flatnonzero(np.diff(edges)):
+        part = slice(edges[c], edges[c + 1])
+        loss += softmax(x[part], net.words[c], word[part], d_words[c], dx[part], True)
+    dh_out = np.zeros((steps * lanes, HIDDEN), np.float32)
+    dh_out[at] = dx
+    dh_out = dh_out.reshape(steps, lanes, HIDDEN)
+    # factors of dh that need no state: update gate and candidate
+    to_c, to_z, to_r = z * (1 - cand * cand), (cand - before) * z * (1 - z), back * r * (1 - r)
+    d_back, dh, keep = np.empty((steps, lanes, 3 * HIDDEN), np.float32), np.zeros_like(h), 1 - z
+    d_cand = np.empty((steps, lanes, HIDDEN), np.float32)
     for t in range(steps - 1, -1, -1):
-        prev, r, z, c, back, _ = saved[t]
         dh = dh + dh_out[t]
-        dc = dh * z * (1 - c * c)
-        dz = dh * (c - prev) * z * (1 - z)
-        dr = dc * back * r * (1 - r)
-        d_gates[t] = np.hstack([dr, dz, dc])
-        d_back[t] = np.hstack([dr, dz, dc * r])
-        before[t] = prev
-        dh = dh * (1 - z) + d_back[t] @ net.recur.T
-    flat = lambda x: x.reshape(-1, x.shape[-1])
+        dc = np.multiply(dh, to_c[t], out=d_cand[t])
+        d_back[t, :, :HIDDEN] = dc * to_r[t]
+        d_back[t, :, HIDDEN : 2 * HIDDEN] = dh * to_z[t]
+        d_back[t, :, 2 * HIDDEN :] = dc * r[t]
+        dh = dh * keep[t] + d_back[t] @ net.recur.T
+        if fresh[t].any():
+            dh = dh * ~fresh[t][:, None]
     d_recur = flat(before).T @ flat(d_back)
-    symbols = seq[:-1].ravel()
+    d_back[:, :, 2 * HIDDEN :] = d_cand  # from here on the gates' own gradient
+    symbols = inputs.ravel()
     order = np.argsort(symbols, kind="stable")
     starts = np.flatnonzero(np.r_[True, np.diff(symbols[order]) > 0])
     d_embed = np.zeros_like(net.embed)
-    d_embed[symbols[order][starts]] = np.add.reduceat(flat(d_gates)[order], starts, axis=0)
-    return [d_embed, d_recur, d_classes, d_words], h, float(loss)
+    d_embed[symbols[order][starts]] = np.add.reduceat(flat(d_back)[order], starts, axis=0)
+    return [d_embed, d_recur, d_classes, d_words], h, loss
+
+
+def laid_out(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets, live and fresh places (steps, lanes) of sequences packed into even lanes, one after the other in each.
+
+    A sequence's first symbol is input alone.
+    """
+    lens = np.array([len(d) - 1 for d in docs], np.int64)
+    lanes = packed(lens, most)
+    loads = [int(lens[x].sum()) for x in lanes]
+    shape = (max(loads), len(lanes))
+    inputs, targets, live, fresh = np.full(shape, END, np.int16), np.full(shape, END, np.int16), np.zeros(shape, bool), np.zeros(shape, bool)
+    for i, (x, load) in enumerate(zip(lanes, loads)):
+        first = np.r_[0, np.cumsum(lens[x])[:-1]]
+        targets[:load, i] = np.concatenate([docs[k][1:] for k in x])
+        inputs[:load, i] = np.concatenate([docs[k][:-1] for k in x])
+        live[:load, i] = True
+        fresh[first, i] = True
+    return inputs, targets, live, fresh
 
 
 def train_lanes(net: Net, docs: Iterator[np.ndarray]) -> int:
-    """Adam over windows of LANES streams; a stream takes the next document when one ends. Trains net in place."""
+    """Adam over windows of up to LANES streams of documents, BUFFER tokens laid out at a time. Trains net in place.
+
+    Documents above SEGMENT tokens are learned in pieces, each with a state of its own, so that no lane is much longer than the others.
+    """
     first = [np.zeros_like(p) for p in net.parts()]
     second = [np.zeros_like(p) for p in net.parts()]
-    queue: list[np.ndarray] = [np.zeros(0, np.int64)] * LANES
-    h, done, step = np.zeros((LANES, HIDDEN), np.float32), 0, 0
-    more = True
-    while more or any(len(q) > 1 for q in queue):
-        for i in range(LANES):
-            while more and len(queue[i]) <= 1:
-                doc = next(docs, None)
-                if doc is None:
-                    more = False
-                    break
-                queue[i], h[i] = np.r_[END, doc], 0
-        seq = np.full((STEPS + 1, LANES), END, np.int64)
-        live = np.zeros((STEPS, LANES), bool)
-        for i, q in enumerate(queue):
-            n = min(len(q), STEPS + 1)
-            seq[:n, i] = q[:n]
-            live[: max(0, n - 1), i] = True
-            queue[i] = q[STEPS:] if len(q) > STEPS else q[:0]
-        n = int(live.sum())
-        if not n:
-            continue
-        grads, h, _ = train_window(net, seq, live, h)
-        step += 1
-        done += n
-        for p, g, m, v in zip(net.parts(), grads, first, second):
-            g = np.clip(g / n, -1, 1)
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
+    done, step = 0, 0
+
+    def learn(held: list[np.ndarray]) -> None:
+        nonlocal done, step
+        inputs, targets, live, fresh = laid_out(held, LANES)
+        h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
+        for at in range(0, len(inputs), STEPS):
+            part = slice(at, at + STEPS)
+            grads, h, _ = train_window(net, inputs[part], targets[part], live[part], fresh[part], h)
+            n = int(live[part].sum())
+            step += 1
+            done += n
+            for p, g, m, v in zip(net.parts(), grads, first, second):
+                g *= np.float32(1 / n)
+                np.clip(g, -1, 1, out=g)
+                m *= 0.9
+                m += np.float32(0.1) * g
+                v *= 0.999
+                v += np.float32(0.001) * np.square(g, out=g)
+                np.sqrt(v * np.float32(1 / (1 - 0.999**step)), out=g)
+                g += 1e-6
+                p -= np.float32(RATE / (1 - 0.9**step)) * (m / g)
+
+    held, size = [], 0
+    for doc in docs:
+        whole = np.concatenate([[END], doc])
+        held += [whole[at : at + SEGMENT + 1] for at in range(0, len(doc), SEGMENT)]
+        size += len(doc)
+        if size >= BUFFER:
+            learn(held)
+            held, size = [], 0
+    if held:
+        learn(held)
     return done
 
 
 def trained(train: DataFrame, vocab: Vocabulary) -> Net:
-    """One pass over all documents, in rounds of parallel tasks; a round's weights are averaged by tokens and start the next."""
+    """One pass over all documents, in rounds of parallel tasks; a round's weights are averaged by tokens and start the next.
+
+    Rows go to rounds and tasks by their hash and are sorted there, so the weights
+    do not depend on how the input is cut; rows equal in doc_id and text teach once.
+    """
     net = new_net(vocab.weight)
     rounds = min(TRAIN_ROUNDS, max(1, vocab.n_docs // (TRAIN_TASK_ROWS * ROUND_TASKS)))
-    part = F.pmod(row_hash("doc_id", "text"), F.lit(rounds))
+    rows = train.select("doc_id", row_hash("doc_id", "text").alias("_hash"), binary())
+    n_tasks = min(MOST_TASKS, max(1, -(-vocab.n_docs // (rounds * TRAIN_TASK_ROWS))))
     for r in range(rounds):
-        net = _round(net, train.where(part == r), vocab, max(1, -(-vocab.n_docs // (rounds * TRAIN_TASK_ROWS))))
+        net = _round(net, rows.where(F.pmod("_hash", F.lit(rounds)) == r), vocab, n_tasks)
     return net
 
 
 def _round(net: Net, picked: DataFrame, vocab: Vocabulary, n_tasks: int) -> Net:
     symbols, piece = vocab.symbols, 4096
+    kind = "task long, part long, n long, w binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = net.filled(net.flat())
         texts = (t for b in batches for t in b.column(0).to_pylist())
-        n = train_lanes(own, (np.array([symbols.get(w, OTHER) for w in tokens(t)] + [END]) for t in texts))
-        flat = own.flat().astype(np.float64) * n
+        n = train_lanes(own, (np.array([symbols.get(w, OTHER) for w in tokens(t)] + [END], np.int16) for t in texts))
+        flat = own.flat()
         parts = [flat[i : i + piece] for i in range(0, len(flat), piece)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts))), pa.array([n] * len(parts)), pa.array([p.tobytes() for p in parts])], names=["part", "n", "w"])
-
-    def total(pdf):
-        w = sum(np.frombuffer(x) for x in pdf["w"])
-        return pdf.iloc[:1].assign(n=pdf["n"].sum(), w=w.tobytes())
-
-    sums = picked.select(binary()).repartition(n_tasks).mapInArrow(run, "part long, n long, w binary")
-    rows = sorted(sums.groupBy("part").applyInPandas(total, "part long, n long, w binary").collect())
-    if not rows or not rows[0]["n"]:
+        task = TaskContext.get().partitionId()
+        if n:
+            cols = [pa.array([task] * len(parts)), pa.array(range(len(parts))), pa.array([n] * len(parts)), pa.array([p.tobytes() for p in parts])]
+            yield pa.RecordBatch.from_arrays(cols, names=["task", "part", "n", "w"])
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("task")
+        n = pdf["n"].sum()
+        w = sum(np.frombuffer(x, np.float32) * (k / n) for x, k in zip(pdf["w"], pdf["n"]))
+        return pdf.iloc[:1].assign(task=pdf["task"].iloc[0] // FAN_IN, n=n, w=w.astype(np.float32).tobytes())
+
+    # dealt by the hash of the row, which dropDuplicates then finds in place
+    dealt = picked.repartition(n_tasks, "doc_id", "_hash").dropDuplicates(["doc_id", "_hash"]).sortWithinPartitions("_hash", "doc_id")
+    sums = dealt.select("text").mapInArrow(run, kind)
+    # weights meet FAN_IN at a time, so no task holds more of them however many tasks there are
+    while n_tasks > 1:
+        sums = sums.groupBy("part", F.floor(F.col("task") / FAN_IN)).applyInPandas(mean, kind)
+        n_tasks = -(-n_tasks // FAN_IN)
+    rows = sorted(sums.select("part", "n", "w").collect())
+    if not rows:
         return net
-    out = net.filled(np.concatenate([np.frombuffer(r["w"]) / r["n"] for r in rows]))
+    out = net.filled(np.concatenate([np.frombuffer(r["w"], np.float32) for r in rows]))
     out.seen = net.seen + rows[0]["n"]
     return out
 
@@ -326,11 +398,11 @@ def _round(net: Net, picked: DataFrame, vocab: Vocabulary, n_tasks: int) -> Net:
 # ── scoring ────────────────────────────────────────────────────────────────
 
 
-def packed(lens: np.ndarray) -> list[list[int]]:
+def packed(lens: np.ndarray, most: int = MOST_LANES) -> list[list[int]]:
     """Sequences dealt to lanes, long ones first and each to the emptiest lane, so that all lanes end together."""
     if not len(lens):
         return []
-    n = int(np.clip(lens.sum() // max(int(lens.max()), 1), 1, MOST_LANES))
+    n = int(np.clip(lens.sum() // max(int(lens.max()), 1), 1, most))
     heap = [(0, i) for i in range(n)]
     lanes: list[list[int]] = [[] for _ in range(n)]
     for k in np.argsort(-lens, kind="stable"):
@@ -354,20 +426,25 @@ def score_sequences(net: Net, seqs: list[np.ndarray]) -> np.ndarray:
         symbol[: loads[i], i] = np.concatenate([seqs[k] for k in x])
         fresh[np.r_[0, np.cumsum(lens[x])[:-1]], i] = True
     value = np.zeros((steps, n))
-    h, last = np.zeros((n, HIDDEN), np.float32), np.full(n, END, np.int16)
+    embed, recur = by_gate(net.embed), by_gate(net.recur)
+    h, last = np.zeros((n, HIDDEN), np.float32), np.full((1, n), END, np.int16)
     hs = np.empty((SPAN, n, HIDDEN), np.float32)
     for start in range(0, steps, SPAN):
         span = min(SPAN, steps - start)
+        now = symbol[start : start + span]
+        before = np.concatenate([last, now[:-1]])
+        before[fresh[start : start + span]] = END
+        gates, last = embed[:, before], now[-1:]
         live = np.arange(start, start + span)[:, None] < loads
         for t in range(span):
             m = int(live[t].sum())
             new = fresh[start + t, :m]
+            x = h[:m]
             if new.any():
-                h[:m][new] = 0
-            h[:m] = cell(net, last[:m], h[:m])[0]
-            last[:m] = symbol[start + t, :m]
-            hs[t, :m] = h[:m]
-        value[start : start + span][live] = log_probs(net, hs[:span][live], symbol[start : start + span][live].astype(np.int64))
+                x[new] = 0
+            gate(np.matmul(x, recur), gates[:, t, :m], x)
+            hs[t, :m] = x
+        value[start : start + span][live] = log_probs(net, hs[:span][live], now[live])
     for i, x in enumerate(lanes):
         out[x] = np.add.reduceat(value[: loads[i], i], np.r_[0, np.cumsum(lens[x])[:-1]])
     return out
