@@ -47,7 +47,10 @@ def _resamples(values: DataFrame, iterations: int, seed: int) -> DataFrame:
     bits = F.md5(F.concat_ws("|", F.lit(seed), "metric", F.col("ord").cast("string"), "block"))
     rows = rows.select("metric", "value", "block", bits.alias("bits"))
     rows = rows.select("metric", "value", "block", F.posexplode(F.array(*[F.substring("bits", 4 * j + 1, 4) for j in range(8)])).alias("j", "u"))
-    times = sum((F.col("u") >= bound).cast("int") for bound in POISSON)
+    times = F.when(F.col("u") < POISSON[0], 0)
+    for k, bound in enumerate(POISSON[1:], 1):
+        times = times.when(F.col("u") < bound, k)
+    times = times.otherwise(len(POISSON))
     rows = rows.select("metric", "value", (F.col("block") * 8 + F.col("j")).alias("iter"), times.alias("times")).where(F.col("iter") < iterations)
     sums = rows.groupBy("metric", "iter").agg((F.sum(F.col("value") * F.col("times")) / F.nullif(F.sum("times"), F.lit(0))).alias("mean"))
     plain = values.groupBy("metric").agg(F.avg("value").alias("plain"))

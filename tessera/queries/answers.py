@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -194,10 +194,10 @@ jp AS (SELECT sample_id, avg(coalesce(s0, 3)) AS m, var_pop(coalesce(s0, 3)) AS
 
 
 def _verdicts(s, d) -> tuple[DataFrame, DataFrame]:
-    """Batches of four items and verdict lists in the shapes judges reply with."""
-    rows = qa(s, d).select("query_id").withColumn("batch_id", F.floor(F.col("query_id") / 400)).distinct()
-    items = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list("query_id")).alias("q")).select("batch_id", F.posexplode(F.slice("q", 1, 4)).alias("n", "query_id"))
-    items = items.select("batch_id", (F.col("n") + 1).alias("number"), "query_id")
+    """Batches of four items, all of them, and verdict lists in the shapes judges reply with."""
+    rows = qa(s, d).select("query_id").distinct().withColumn("_r", F.floor(F.col("query_id") / 400))
+    place = F.row_number().over(Window.partitionBy("_r").orderBy("query_id")) - 1
+    items = rows.select((F.col("_r") * 100 + F.floor(place / 4)).alias("batch_id"), (place % 4 + 1).alias("number"), "query_id")
     one = lambda n: F.format_string('{"item": "Item %d", "correctness": "%s", "faithfulness": "minor"}', n, F.element_at(F.array(F.lit("Correct"), F.lit("partial"), F.lit("wrong")), F.expr("cast(batch_id % 3 + 1 as int)")))
     shift = F.when(F.col("batch_id") % 2 == 0, 0).otherwise(7)
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: one(i + shift)), ", ")
@@ -283,6 +283,23 @@ fa AS (SELECT query_id, CASE WHEN s = '' THEN 0 WHEN len(w) = 0 THEN 1 ELSE len(
 _FACT = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(translate(lower(answer), '−–×₂*®™©', '--x2'), ', and ', ' and '),
   '(\d),(\d{3})', '\1\2', 'g'), '(\d),(\d{3})', '\1\2', 'g'), '(\d+)\.0+([^\d]|$)', '\1\2', 'g'), '(\d+\.\d*?[1-9])0+([^\d]|$)', '\1\2', 'g'), '\s*(?:°\s*c\b|degrees? celsius)', '°c', 'g'), '\s+', ' ', 'g'))"""
 
+
+
+def sql_fact(t: str) -> str:
+    return _FACT.replace("lower(answer)", f"lower(coalesce({t}, ''))")
+
+
+_PRESENT = "needle <> '' AND regexp_matches(hay, '(^|[^0-9a-z])' || regexp_escape(needle) || '($|[^0-9a-z])')"
+_TWO = "array_to_string(string_split({}, ' ')[1:2], ' ')"
+_RECALL = f"""
+fc AS (SELECT query_id, {sql_fact('answer')} AS hay, unnest([0, 0, 1]) AS fact, unnest([{_TWO.format('gold')}, 'never said', {_TWO.format('question')}]) AS wording FROM qa),
+fn AS (SELECT query_id, fact, hay, {sql_fact('wording')} AS needle FROM fc),
+fp AS (SELECT query_id, fact, bool_or({_PRESENT}) AS present FROM fn GROUP BY query_id, fact),
+rc AS (SELECT query_id, count(*) FILTER (present) / count(*) AS recall, bool_or(present) FILTER (fact = 0) AS present FROM fp GROUP BY query_id)"""
+_VERDICTS = """
+itm AS (SELECT query_id, query_id // 400 * 100 + n // 4 AS batch_id, n % 4 + 1 AS number
+        FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id // 400 ORDER BY query_id) - 1 AS n FROM (SELECT DISTINCT query_id FROM qa)))"""
+
 ORACLES: dict[str, str] = {
     "gm1_norm_tokens": _with(_QA) + f"SELECT query_id, len({sql_norm('answer')})::INTEGER AS n_tokens, md5(array_to_string({sql_norm('answer')}, ' ')) AS tokens_md5 FROM qa",
     "gm2_strip_sources": _with(_QA) + f"SELECT query_id, md5({sql_strip('answer')}) AS stripped_md5 FROM qa",
@@ -292,6 +309,13 @@ ORACLES: dict[str, str] = {
     "gm6_relevance": _with(_QA, _F.format(sql_norm("question"), sql_norm(sql_strip("answer")))) + f"SELECT query_id, {sql_f1('x', 'y')} AS relevance FROM nt",
     "gm7_correctness": _with(_QA, _F.format(sql_norm(sql_strip("answer")), sql_norm("gold"))) + f"SELECT query_id, {sql_f1('x', 'y')} AS correctness FROM nt",
     "gm8_fact_text": _with(_QA) + f"SELECT query_id, md5({_FACT}) AS fact_md5 FROM qa",
+    "gm8_fact_present": _with(_QA, _RECALL) + "SELECT query_id, present FROM rc",
+    "gm9_fact_recall": _with(_QA, _RECALL) + "SELECT query_id, recall FROM rc",
+    "gm11_answer_metrics": _with(_QA, _FAITH, _RECALL, f"nt AS (SELECT query_id, {sql_norm('question')} AS q, {sql_norm(sql_strip('answer'))} AS x, {sql_norm('gold')} AS y, gold FROM qa)") + f"""
+, v AS (SELECT query_id, unnest(['faithfulness', 'answer_relevance', 'hallucination_score', 'answer_correctness', 'answer_fact_recall', 'answer_fact_recall_all']) AS metric,
+          unnest([round_even(f, 4), round_even({sql_f1('q', 'x')}, 4), round_even(1 - f, 4), CASE WHEN length(gold) > 0 THEN round_even({sql_f1('x', 'y')}, 4) END, round_even(recall, 4), (recall = 1)::DOUBLE]) AS value
+        FROM fa JOIN nt USING (query_id) JOIN rc USING (query_id))
+SELECT * FROM v WHERE value IS NOT NULL""",
     "gm10_hallucination": _with(_QA, _FAITH) + "SELECT query_id, round_even(1 - f, 4) AS hallucination FROM fa",
     "gd2_pii_redact": f"SELECT doc_id AS chunk_id, md5({sql_redact('text')}) AS redacted_md5 FROM documents",
     "gd3_contains_pii": f"SELECT doc_id AS chunk_id, {sql_redact('text')} <> text AS has_pii FROM documents",
@@ -335,5 +359,13 @@ f AS (SELECT m.query_id, chunk_id, min(pos) AS pos, any_value(content) AS conten
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos)::INTEGER AS position, chunk_id, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS content_snippet FROM f""",
     "jg2_judge_faithfulness": _with(_QA, _JUDGE) + "SELECT sample_id, round_even((CASE WHEN a > 3 * greatest(c, 1) THEN greatest(m - 1, 1) ELSE m END - 1) / 4, 4) AS score, round_even(v, 4) AS variance, v > 1 AS warning FROM jp",
     "jg3_judge_relevance": _with(_QA, _JUDGE) + "SELECT sample_id, (coalesce(s0, 3) - 1) / 4 AS relevance FROM jr WHERE p = 1",
+    "jg4_parse_verdicts": _with(_QA, _VERDICTS) + """
+SELECT batch_id, CASE WHEN batch_id % 5 <> 2 THEN number - 1 END::INTEGER AS pos, CASE WHEN batch_id % 5 <> 2 THEN 'Item ' || (number + batch_id % 2 * 7) END AS item,
+       CASE WHEN batch_id % 5 <> 2 THEN [1.0, 0.5, NULL][batch_id % 3 + 1] END::DOUBLE AS correctness, CASE WHEN batch_id % 5 <> 2 THEN 0.5 END::DOUBLE AS faithfulness,
+       CASE WHEN batch_id % 5 = 2 THEN 'no list' WHEN batch_id % 3 = 2 THEN 'unknown label' END AS error
+FROM itm WHERE batch_id % 5 <> 2 OR number = 1""",
+    "jg5_align_verdicts": _with(_QA, _VERDICTS) + """
+, j AS (SELECT *, CASE WHEN batch_id % 5 <> 2 THEN [1.0, 0.5, NULL][batch_id % 3 + 1] END::DOUBLE AS correctness FROM itm)
+SELECT batch_id, number, query_id, correctness, CASE WHEN correctness IS NOT NULL THEN 0.5 END::DOUBLE AS faithfulness, CASE WHEN correctness IS NULL THEN 'no verdict' END AS judge_error FROM j""",
     "jg6_rows_to_judge": _with(_QA) + "SELECT query_id FROM qa WHERE query_id % 3 = 0",
 }

@@ -170,7 +170,7 @@ def _qa_replies(s, d) -> DataFrame:
 def _assembled(s, d) -> DataFrame:
     replies = _qa_replies(s, d)
     lines = golden.parse_qa(replies.select("batch", "reply")).withColumn("pos", F.xxhash64("question")).withColumn("pos", F.length("question"))
-    batches = corpus(s, d).where("chunk_id < 160").select(F.floor(F.col("chunk_id") / 4).cast("int").alias("batch"), (F.col("chunk_id") % 4).cast("int").alias("idx"), "chunk_id", F.col("document_id").alias("document_name"))
+    batches = corpus(s, d).select(F.floor(F.col("chunk_id") / 4).cast("int").alias("batch"), (F.col("chunk_id") % 4).cast("int").alias("idx"), "chunk_id", F.col("document_id").alias("document_name"))
     return golden.assemble_samples(lines, batches, 20).select("sample_index", "question", F.array_join(F.transform("source_chunk_ids", lambda x: x.cast("string")), ",").alias("chunks"), F.array_join("source_documents", ",").alias("documents"))
 
 
@@ -204,7 +204,7 @@ def _fact_holders(s, d) -> DataFrame:
 
 
 def _accepted(s, d) -> DataFrame:
-    return table(s, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("ord"), F.col("source").alias("document_name"))
+    return table(s, d, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("document_name"))
 
 
 def _golden_samples(s, d) -> DataFrame:
@@ -271,13 +271,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _E = (INDEX, BM25, _CANDS, _LABELS)
 _RM = {
     "rm2_context_precision": "CASE WHEN len(labels) > 0 THEN list_sum(labels) / len(labels) ELSE 0 END",
-    "rm3_context_recall": "CASE WHEN len(g) > 0 AND len(list_intersect(g, seen)) >= 0.5 * len(g) THEN 1.0 ELSE 0.0 END",
+    "rm3_context_recall": "covered",
     "rm4_hit_rate": "coalesce(list_max(labels), 0)",
     "rm5_mrr": "CASE WHEN list_contains(labels, 1) THEN 1 / list_position(labels, 1) ELSE 0 END",
     "rm6_ndcg": "CASE WHEN list_contains(labels, 1) THEN list_sum(list_transform(range(1, len(labels) + 1), lambda i: labels[i] / log2(i + 1))) / list_sum(list_transform(range(1, list_sum(labels)::BIGINT + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END",
     "rm7_precision": "coalesce(list_sum(labels), 0) / 10",
-    "rm8_recall": "coalesce(list_max(labels), 0)",
-    "rm9_full_support": "coalesce(list_max(labels), 0)",
+    "rm8_recall": "recall",
+    "rm9_full_support": "CASE WHEN recall = 1 THEN 1 ELSE 0 END",
 }
 
 ORACLES: dict[str, str] = {k: _with(*_E) + f"SELECT query_id, round_even(({v})::DOUBLE, 4) AS v FROM evalrows" for k, v in _RM.items()} | {
@@ -335,7 +335,7 @@ WITH q AS (SELECT item_id // 4 AS batch, length(text) AS pos, text AS question,
 f AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lower(question) ORDER BY batch, pos) = 1),
 c AS (SELECT batch, pos, question, unnest(range(0, 2)) AS k, unnest(ch) AS idx FROM f),
 j AS (SELECT c.batch, c.pos, c.question, string_agg(doc_id::VARCHAR, ',' ORDER BY k, doc_id) AS chunks, array_to_string(list_sort(list_distinct(list(source))), ',') AS documents
-      FROM c JOIN documents d ON d.doc_id < 160 AND d.doc_id // 4 = c.batch AND d.doc_id % 4 = c.idx GROUP BY ALL)
+      FROM c JOIN documents d ON d.doc_id // 4 = c.batch AND d.doc_id % 4 = c.idx GROUP BY ALL)
 SELECT (row_number() OVER (ORDER BY batch, pos) - 1)::INTEGER AS sample_index, question, chunks, documents FROM j QUALIFY row_number() OVER (ORDER BY batch, pos) <= 20""",
     "gs5_passage_pool": _with(_PARAS) + f"""
 SELECT chunk_id, document_name FROM par WHERE length(content) BETWEEN 150 AND 511 AND NOT regexp_matches(content, '{golden.JUNK}')
@@ -348,7 +348,7 @@ j AS (SELECT passage_id, chunk_id, round(shared / (len(p) + len(c) - shared), 6)
 SELECT * FROM j WHERE jaccard >= 0.5""",
     "gs11_rejection_report": "SELECT source AS document_name, CASE WHEN length(text) < 400 THEN 'malformed' WHEN lang <> 'en' THEN 'fact also stated elsewhere' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY ALL",
     "gs12_split_dev_test": """
-WITH a AS (SELECT doc_id AS ord, source AS document_name FROM documents WHERE doc_id % 3 = 0),
+WITH a AS (SELECT doc_id AS ord, source AS document_name FROM documents),
 r AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY document_name ORDER BY ord) <= floor(100 / (SELECT count(DISTINCT document_name) FROM a))),
 s AS (SELECT *, row_number() OVER (PARTITION BY document_name ORDER BY ('0x' || substr(md5('42|' || ord), 1, 8))::BIGINT, ord) AS i, count(*) OVER (PARTITION BY document_name) AS n FROM r)
 SELECT ord, document_name, CASE WHEN i <= round_even(0.3 * n, 0) THEN 'dev' ELSE 'test' END AS split FROM s""",

@@ -13,12 +13,12 @@ from tessera.functions import text as T
 from tessera.operators import answer, fusion, graph, ingest, lexical, traces
 from tessera.plans import retrieval as P
 from tessera.sources import io
-from tessera.sources.scratch import shared_dir
+from tessera.sources.scratch import kept, shared_dir
 from tessera.streaming import streams
 
 from .evaluation import _PARAS, paragraphs
 from .retrieval import _index, _with
-from .tables import BM25, INDEX, corpus, questions, table, vectors
+from .tables import BM25, INDEX, corpus, questions, table, vectors, vector_queries, sql_list
 
 
 def _path(spark: SparkSession, tag: str) -> str:
@@ -158,8 +158,6 @@ def _name_graph(s, d) -> DataFrame:
 
 
 def _ppr(s, d) -> DataFrame:
-    from tessera.sources.scratch import kept
-
     edges = kept(_name_graph(s, d), "name-graph")
     return graph.ppr(graph.seeds(questions(s, d), edges), edges, 10)
 
@@ -182,6 +180,24 @@ def _pl1_rerank(s, d) -> DataFrame:
     return P.retrieve(q, c, P.RetrievalConfig(mode="hybrid_rerank"))
 
 
+def _pl1_graph(s, d) -> DataFrame:
+    """The graph arm beside the others, over the names in the chunks."""
+    q, c = _both(s, d)
+    edges = kept(_name_graph(s, d), "name-graph")
+    return P.retrieve(q, P.Corpus(c.chunks, c.index, edges), P.RetrievalConfig(mode="hybrid", strategy="graph"))
+
+
+def _pl1_agentic(s, d) -> DataFrame:
+    """Every question split in two searches and asked on once, each hop a hybrid retrieval over hashed embeddings."""
+    hashed = lambda df, text: ingest.embed(df, text, ingest.hashing_embedder(32), 32)
+    chunks = kept(hashed(corpus(s, d), "content"), "embedded")
+    half = lambda n: F.array_join(F.slice(F.split("text", r"\s+"), n, 4), " ")
+    split = F.concat(F.lit("1. "), half(1), F.lit("\n2. "), half(3))
+    reply = lambda df, c: df.withColumn("reply", F.when(F.startswith(c, F.lit("Break")), split).when(F.col("query_id") % 3 == 0, "DONE").otherwise(half(2)))
+    cfg = P.RetrievalConfig(mode="hybrid", strategy="agentic", complete=reply, embed=lambda df: hashed(df, "text"))
+    return P.retrieve(hashed(questions(s, d), "text"), P.Corpus(chunks, lexical.stored(lexical.build_index(chunks))), cfg)
+
+
 def _pl2(s, d) -> DataFrame:
     q, c = _both(s, d)
     cfg = P.RetrievalConfig(mode="hybrid")
@@ -294,12 +310,11 @@ lg AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, value * 10 AS lat, value / 100
 
 def _entries(s, d) -> DataFrame:
     at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(F.col("chunk_id") % 100).cast("int"))
-    return vectors(s, d).where("chunk_id >= 20").select(F.col("chunk_id").alias("key"), "embedding", at.alias("cached_at"))
+    return vectors(s, d).where("chunk_id % 50 > 0").select(F.col("chunk_id").alias("key"), "embedding", at.alias("cached_at"))
 
 
 def _looked_up(s, d) -> DataFrame:
-    q = vectors(s, d).where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "embedding")
-    return traces.cache_lookup(q, _entries(s, d), "2024-01-01 01:30:00", 0.35)
+    return traces.cache_lookup(vector_queries(s, d), _entries(s, d), "2024-01-01 01:30:00", 0.35)
 
 
 def _put(s, d) -> DataFrame:
@@ -429,6 +444,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ge4_ppr": _ppr,
     "pl1_retrieve_hybrid": _pl1,
     "pl1_retrieve_rerank": _pl1_rerank,
+    "pl1_retrieve_graph": _pl1_graph,
+    "pl1_retrieve_agentic": _pl1_agentic,
     "pl2_inspect": _pl2,
     "ex8_retrieval_ab": _ab,
     "tr1_sample_traces": lambda s, d: traces.sample_traces(raw_spans(s, d), 0.25).select("trace_id", "span_id"),
@@ -461,6 +478,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "ge1_entities": rf"""
+WITH t AS (SELECT doc_id AS chunk_id, regexp_extract_all(coalesce(text, ''), '(?s)(.*?)({graph.TOKEN})', 1) AS gaps, regexp_extract_all(coalesce(text, ''), '(?s)(.*?)({graph.TOKEN})', 2) AS tokens FROM documents),
+r AS (SELECT chunk_id, unnest(range(len(tokens))) AS n, unnest(gaps) AS gap, unnest(tokens) AS token FROM t),
+m AS (SELECT chunk_id, n, lower(token) AS entity, regexp_matches(token, '[0-9]|.[A-Z]') AS coded, regexp_matches(token, '^[A-Z]') AS named,
+        regexp_replace(gap, '[\s\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{3000}}]+$', '') AS gap
+      FROM r WHERE regexp_matches(token, '[A-Za-z]') AND length(token) >= 2 AND NOT list_contains({sql_list(graph.NOT_NAMES)}, lower(token)))
+SELECT chunk_id, entity, bool_or(coded OR CASE WHEN gap = '' THEN n > 0 ELSE NOT contains('{graph.SENTENCE_END.strip()}', right(gap, 1)) END) AS proven
+FROM m WHERE coded OR named GROUP BY chunk_id, entity""",
     "sr1_read_corpus": "SELECT doc_id, lang, source FROM documents",
     "sr2_read_golden": "SELECT CASE item_id % 9 WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'missing question' ELSE 'good' END AS reason, count(*) AS n FROM benchmark WHERE item_id % 9 <> 3 GROUP BY ALL",
     "sr5_mime": "SELECT doc_id AS chunk_id, ['application/pdf', 'text/plain', 'text/markdown', 'text/html', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'text/csv', 'application/octet-stream', 'application/octet-stream'][doc_id % 8 + 1] AS mime_type FROM documents",
@@ -515,15 +540,15 @@ SELECT hits, misses, round(hits / (hits + misses), 4) AS hit_rate, round(hits *
 , p AS (SELECT day, count(*) AS n FROM lg GROUP BY day)
 SELECT day, n, round(n / 86400, 6) AS qps, NULL::DOUBLE AS peak_qps FROM p UNION ALL SELECT NULL, sum(n)::BIGINT, round(sum(n) / ({DAYS} * 86400), 6), round(max(n) / 86400, 6) FROM p""",
     "ca1_cache_lookup": """
-WITH e AS (SELECT vec_id AS key, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id >= 20 AND vec_id % 100 > 30 AND embedding IS NOT NULL),
-s AS (SELECT q.vec_id AS query_id, key, round(list_cosine_similarity(q.embedding::DOUBLE[], e), 6) AS sim FROM embeddings q, e WHERE q.vec_id < 20 AND q.embedding IS NOT NULL),
+WITH e AS (SELECT vec_id AS key, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 > 0 AND vec_id % 100 > 30 AND embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, key, round(list_cosine_similarity(q.embedding::DOUBLE[], e), 6) AS sim FROM embeddings q, e WHERE q.vec_id % 50 = 0 AND q.embedding IS NOT NULL),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, key) = 1)
-SELECT vec_id AS query_id, coalesce(sim >= 0.35, false) AS hit, CASE WHEN sim >= 0.35 THEN key END AS key, CASE WHEN sim >= 0.35 THEN round(sim, 4) END AS similarity FROM embeddings LEFT JOIN b ON b.query_id = vec_id WHERE vec_id < 20""",
+SELECT vec_id AS query_id, coalesce(sim >= 0.35, false) AS hit, CASE WHEN sim >= 0.35 THEN key END AS key, CASE WHEN sim >= 0.35 THEN round(sim, 4) END AS similarity FROM embeddings LEFT JOIN b ON b.query_id = vec_id WHERE vec_id % 50 = 0""",
     "ca2_cache_put": """
 WITH n AS (SELECT substr(sha256(text), 1, 16) AS key, 'new' AS answer, epoch_us(TIMESTAMP '2024-01-01') + (20 + item_id % 3) * 60000000 AS t, 1 AS w FROM benchmark
   UNION ALL SELECT substr(sha256(text), 1, 16), (item_id % 7)::VARCHAR, epoch_us(TIMESTAMP '2024-01-01') + item_id * 60000000, 0 FROM benchmark WHERE item_id % 2 = 0)
 SELECT key, answer, t AS cached_us FROM n QUALIFY row_number() OVER (PARTITION BY key ORDER BY t DESC, w DESC) = 1""",
-    "ca3_live_entries": "SELECT vec_id AS key FROM embeddings WHERE vec_id >= 20 AND vec_id % 100 > 30",
+    "ca3_live_entries": "SELECT vec_id AS key FROM embeddings WHERE vec_id % 50 > 0 AND vec_id % 100 > 30",
     "st1_rate_limit": """
 WITH e AS (SELECT *, event_type IN ('purchase', 'signup') AS w, epoch(ts)::BIGINT AS s0, floor(epoch(ts))::BIGINT AS s FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id, s // 86400 ORDER BY ts, event_id) AS k FROM e)

@@ -436,3 +436,26 @@ def test_waterfall_of_any_depth_and_with_a_cycle(spark):
     spans = spans.select("trace_id", "span_id", "parent_span_id", F.timestamp_seconds("s").alias("start_time"), F.timestamp_seconds(F.col("s") + 100).alias("end_time"))
     got = sorted((r.depth, r.span_id) for r in traces.waterfall(spans).collect())
     assert got == [(i, f"s{i:03d}") for i in range(40)]
+
+
+def test_strategies_need_what_they_use(spark):
+    from tessera.plans import retrieval as P
+
+    with pytest.raises(ValueError):
+        RetrievalConfig(strategy="agentic")
+    queries = spark.createDataFrame([(1, "a", [1.0])], "query_id long, text string, embedding array<float>")
+    chunks = spark.createDataFrame([(1, "a b", [1.0])], "chunk_id long, content string, embedding array<float>")
+    with pytest.raises(ValueError):
+        P.retrieve(queries, P.Corpus(chunks, None), RetrievalConfig(mode="dense", strategy="graph"))
+
+
+def test_agentic_merges_the_hops(spark):
+    from tessera.operators import lexical
+    from tessera.plans import retrieval as P
+
+    chunks = spark.createDataFrame([(1, "red apples", [1.0, 0.0]), (2, "blue berries", [0.0, 1.0]), (3, "green pears", [0.5, 0.5])], "chunk_id long, content string, embedding array<float>")
+    vec = lambda df: df.withColumn("embedding", F.when(F.contains("text", F.lit("blue")), F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).cast("array<float>"))
+    reply = lambda df, c: df.withColumn("reply", F.when(F.startswith(c, F.lit("Break")), F.lit("1. red apples\\n2. blue berries")).otherwise("DONE"))
+    cfg = RetrievalConfig(mode="hybrid", strategy="agentic", complete=reply, embed=vec, top_k=3)
+    got = P.retrieve(vec(spark.createDataFrame([(7, "apples and berries")], "query_id long, text string")), P.Corpus(chunks, lexical.build_index(chunks)), cfg).collect()
+    assert {r.chunk_id for r in got if r.rank <= 2} == {1, 2} and {r.query_id for r in got} == {7}
