@@ -52,9 +52,12 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataF
     """DN1: exact cosine top-k of every (query_id, embedding) over (chunk_id, embedding).
 
     Queries are broadcast in blocks; each task multiplies its chunks with them and
-    passes on k rows per query, which one ranked window merges.
+    passes on k rows per query, which one ranked window merges. Vectors of another
+    length than the longest query's take no part.
     """
     queries = queries.where("embedding is not null").select("query_id", "embedding")
+    width = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
+    queries = queries.where(F.size("embedding") == width)
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
@@ -62,16 +65,15 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataF
     found = None
     for b in range(blocks):
         rows = queries.where(part == b).collect()
-        ids, width = [r[0] for r in rows], max([len(r[1]) for r in rows], default=1)
+        ids = [r[0] for r in rows]
         shared = queries.sparkSession.sparkContext.broadcast((ids, _matrix([r[1] for r in rows], width)))
 
-        def local(batches: Iterator[pa.RecordBatch], shared=shared, width=width) -> Iterator[pa.RecordBatch]:
+        def local(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
-                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                x = vectors.reshape(batch.num_rows, -1).astype(np.float64) if len(vectors) == batch.num_rows * width else _matrix(batch.column(1).to_pylist(), width)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width).astype(np.float64)
                 size = np.linalg.norm(x, axis=1, keepdims=True)
                 score = q @ np.divide(x, size, out=np.zeros_like(x), where=size > 0).T
                 m = min(k, batch.num_rows)
@@ -80,7 +82,7 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataF
                 i, j = np.nonzero(score >= edge[:, None])  # ties at the edge go on to the merge
                 yield pa.RecordBatch.from_arrays([pa.array([ids[t] for t in i]), batch.column(0).take(pa.array(j)), pa.array(score[i, j])], names=["query_id", "chunk_id", "score"])
 
-        vectors = chunks.where("embedding is not null").select("chunk_id", "embedding")
+        vectors = chunks.where(F.size("embedding") == width).select("chunk_id", "embedding")
         new = vectors.mapInArrow(local, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
         found = new if found is None else found.union(new)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))

@@ -36,6 +36,16 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan._jdf.rdd().getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, lines numbered from 1. Parts of a file are counted and numbered each by a task of its own."""
+    part = ["file", "block"]
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    sizes = lines.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    inside = F.row_number().over(Window.partitionBy(*part).orderBy("id"))
+    return lines.withColumn("at", inside).join(sizes.select(*part, before.alias("before")), part).select("file", (F.col("before") + F.col("at")).cast("int").alias("line"), "value")
+
+
 def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """SR2: golden samples and rejected lines of JSONL files.
 
@@ -43,14 +53,14 @@ def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     lines without a question and, with line 0, files without any sample. Blank lines
     are skipped. Lines of one file are numbered in the order they stand in it.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
-    rows = raw.select("file", F.posexplode("lines").alias("pos", "value")).select("file", (F.col("pos") + 1).alias("line"), "value").where(F.trim("value") != "")
+    rows = numbered_lines(spark, path).where(F.trim("value") != "")
     parsed = rows.withColumn("valid", F.try_parse_json("value").isNotNull()).withColumn("s", F.from_json("value", GOLDEN_SCHEMA))
     asked = F.coalesce(F.length(F.trim("s.question")), F.lit(0)) > 0
     reason = F.when(~F.col("valid"), "invalid JSON").when(~asked, "missing question")
     parsed = parsed.withColumn("reason", reason)
     good = parsed.where("reason is null").select("file", "line", "s.*")
-    empty = raw.select("file").join(good.select("file").distinct(), "file", "left_anti").select("file", F.lit(0).alias("line"), F.lit("no samples").alias("reason"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    empty = files.join(good.select("file").distinct(), "file", "left_anti").select("file", F.lit(0).alias("line"), F.lit("no samples").alias("reason"))
     return good, parsed.where("reason is not null").select("file", "line", "reason").unionByName(empty)
 
 
