@@ -387,11 +387,15 @@ def _round(net: Net, picked: DataFrame, vocab: Vocabulary, n_tasks: int) -> Net:
     while n_tasks > 1:
         sums = sums.groupBy("part", F.floor(F.col("task") / FAN_IN)).applyInPandas(mean, kind)
         n_tasks = -(-n_tasks // FAN_IN)
-    rows = sorted(sums.select("part", "n", "w").collect())
+    # one row per part, or a few where Spark dealt the rows to more tasks than it was asked to
+    rows = sorted(sums.select("part", "task", "n", "w").collect())
     if not rows:
         return net
-    out = net.filled(np.concatenate([np.frombuffer(r["w"], np.float32) for r in rows]))
-    out.seen = net.seen + rows[0]["n"]
+    total, flat = sum(r["n"] for r in rows if r["part"] == 0), []
+    for part in range(rows[-1]["part"] + 1):
+        flat.append(sum(np.frombuffer(r["w"], np.float32) * (r["n"] / total) for r in rows if r["part"] == part))
+    out = net.filled(np.concatenate(flat))
+    out.seen = net.seen + total
     return out
 
 
