@@ -26,6 +26,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -363,10 +364,15 @@ def _round(net: Net, picked: DataFrame, vocab: Vocabulary, n_tasks: int) -> Net:
     symbols, piece = vocab.symbols, 4096
     kind = "task long, part long, n long, w binary"
 
+    def coded(words: list[bytes]) -> np.ndarray:
+        out = np.full(len(words) + 1, END, np.int16)
+        out[:-1] = np.fromiter(map(symbols.get, words, repeat(OTHER)), np.int16, len(words))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = net.filled(net.flat())
         texts = (t for b in batches for t in b.column(0).to_pylist())
-        n = train_lanes(own, (np.array([symbols.get(w, OTHER) for w in tokens(t)] + [END], np.int16) for t in texts))
+        n = train_lanes(own, (coded(tokens(t)) for t in texts))
         flat = own.flat()
         parts = [flat[i : i + piece] for i in range(0, len(flat), piece)]
         task = TaskContext.get().partitionId()
@@ -454,13 +460,6 @@ def score_sequences(net: Net, seqs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-class _Places(dict):
-    """Places of the head's words; any other word has place 0."""
-
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
 _SCORED = "doc_id {kind}, _hash long, n_tokens long, n_known long, base_score double, score double, tail array<struct<word: binary, n: long>>"
 
 
@@ -473,16 +472,21 @@ def scored(docs: DataFrame, shared) -> DataFrame:
         norm = np.log10(vocab.n_tokens + 0.5 * (vocab.n_types + 1))
         outside = np.log10(vocab.rest)
         ends = np.log10(vocab.n_docs + 0.5)
-        place = _Places(zip(vocab.head, range(1, len(vocab.head) + 1)))
+        place = dict(zip(vocab.head, range(1, len(vocab.head) + 1))).get  # any other word has place 0
         symbol = np.array([OTHER, *[vocab.symbols.get(w, OTHER) for w in vocab.head]], np.int16)
         log = np.log10(np.array([0.5, *vocab.head.values()]) + 0.5)
         log[0] = 0.0
 
+        def tails(counters: tuple[Counter, ...]) -> pa.Array:
+            ends = np.r_[0, np.cumsum([len(c) for c in counters])].astype(np.int32)
+            words, counts = pa.array([w for c in counters for w in c], pa.binary()), pa.array([k for c in counters for k in c.values()], pa.int64())
+            return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([words, counts], ["word", "n"]))
+
         def flush(rows: list) -> pa.RecordBatch:
             lnp = score_sequences(net, [r[2] for r in rows]) / np.log(10)
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], kind_of), pa.array(cols[1], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.float64()), pa.array(lnp + np.array(cols[6])), pa.array(cols[7], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                [pa.array(cols[0], kind_of), pa.array(cols[1], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.float64()), pa.array(lnp + np.array(cols[6])), tails(cols[7])],
                 names=["doc_id", "_hash", "n_tokens", "n_known", "base_score", "score", "tail"],
             )
 
@@ -491,12 +495,12 @@ def scored(docs: DataFrame, shared) -> DataFrame:
             kind_of = b.schema.types[0]
             for doc, key, text in zip(*[b.column(i).to_pylist() for i in range(3)]):
                 words = tokens(text)
-                at = np.fromiter(map(place.__getitem__, words), np.int32, len(words))
+                at = np.fromiter(map(place, words, repeat(0)), np.int32, len(words))
                 seq = np.r_[symbol[at], np.int16(END)]
                 far = np.flatnonzero(at == 0)
                 known = float(log[at].sum())
                 others = log[at[(seq[:-1] == OTHER)]].sum() - (seq[:-1] == OTHER).sum() * outside
-                tail = [{"word": w, "n": k} for w, k in Counter([words[i] for i in far]).items()]
+                tail = Counter([words[i] for i in far])
                 n = len(words) + 1
                 rows.append((doc, key, seq, n, len(words) - len(far) + (vocab.n_docs > 0), known + ends - n * norm, others, tail))
                 size += n
