@@ -124,6 +124,41 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(acc + np.uint64(w))
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BYTES = np.random.default_rng(29).integers(1, 2**63, 256, dtype=np.uint64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base of running sums, and of its inverse."""
+    if len(_powers[0]) < n:
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(2 * n, x)]) for x in (_BASE, _INVERSE)]
+    return _powers[0][:n], _powers[1][:n]
+
+
+class Runs:
+    """Hashes of any runs of h, from running sums of a polynomial."""
+
+    def __init__(self, h: np.ndarray):
+        power, self.back = powers(len(h) + 1)
+        self.total = np.r_[np.uint64(0), np.cumsum(h.astype(np.uint64) * power[:-1])]
+
+    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return mixed((self.total[hi] - self.total[lo]) * self.back[lo])
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the plain_words of texts, one after the other, and how many each text has; no word becomes an object."""
+    joined = b" ".join([(t or b"").translate(PLAIN) for t in texts])
+    b = np.frombuffer(joined, np.uint8)
+    inside = np.concatenate([[False], b != 32, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edges[::2], edges[1::2]
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    return Runs(_BYTES[b])(first, last), np.bincount(np.searchsorted(ends, first, "right"), minlength=len(texts))
+
+
 def shingle_strings(words: list[bytes], width: int) -> list[bytes]:
     if not words:
         return []

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from tessera.llm import decontaminate, html, knn, licenses, mixing, queries, quality, recurrent, sharding, simhash, substrings, windows
-from tessera.llm.common import plain_words, shingle_strings
+from tessera.llm.common import plain_words, shingle_strings, word_hashes
 
 
 @pytest.fixture(scope="module")
@@ -673,3 +673,11 @@ def test_recall_of_edited_passages(spark):
     got = {frozenset((r.doc_id, r.keep_id)) for r in substrings.op7_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     print("edited passages found:", len(got & pairs), "of", len(pairs))
     assert got <= pairs and len(got) >= 0.9 * len(pairs)
+
+
+def test_word_hashes_are_of_the_plain_words():
+    texts = [b"One two, THREE-four", None, b"", b"  .. ", "wört two".encode(), b"four three"]
+    got, counts = word_hashes(texts)
+    words = [w for t in texts for w in plain_words(t)]
+    assert counts.tolist() == [len(plain_words(t)) for t in texts]
+    assert len({(w, h) for w, h in zip(words, got.tolist())}) == len(set(words)) == len(set(got.tolist()))
