@@ -36,6 +36,18 @@ def running_start(rows: DataFrame, keys: list[str], bucket: str, order: list, va
     )
 
 
+def in_order(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """rows numbered from 0 in a total order. Each range is sorted and numbered by its own task and written; ranges are offset by the sizes of those before."""
+    at = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "in-order")
+    at = at.withColumn("_range", F.shiftright("_place", 33))
+    # a row for each range, as many as there are shuffle partitions
+    sizes = at.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    offsets = sizes.select("_range", before.alias("_before"))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.join(F.broadcast(offsets), "_range").withColumn(out, F.col("_before") + inside).drop("_range", "_place", "_before")
+
+
 def held_out(doc_id: Column, remainder: int) -> Column:
     """crc32 of the id as text, modulo 5, is remainder; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == remainder

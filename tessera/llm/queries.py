@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.sources.io import spread
 
-from . import decontaminate, html, knn, licenses, mixing, quality, recurrent, sharding, simhash, substrings
+from . import decontaminate, fingerprints, html, importance, knn, licenses, mixing, quality, recurrent, sharding, simhash, substrings, whitening
 from .oracles import contained_sql
 
 
@@ -33,6 +33,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extract": _on(html.op8_extract, "pages"),
     "op9_sharding": _on(sharding.op9_sharding, "documents"),
     "op10_decontaminate": _on(decontaminate.op10_decontaminate, "documents", "benchmark"),
+    "op11_whitening": _on(whitening.op11_whitening, "embeddings"),
+    # its two passes number the rows of the scan alike, so nothing is dealt between
+    "op12_fingerprints": lambda spark, sf_dir: fingerprints.op12_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")),
+    "op13_importance": _on(importance.op13_importance, "documents", "benchmark"),
 }
 
 ORACLES: dict[str, str] = {
@@ -46,4 +50,5 @@ ORACLES: dict[str, str] = {
         "(SELECT DISTINCT item_id AS id, '' AS name, text FROM benchmark) AS t",
         "doc_id, id AS item_id, shingles AS item_shingles, shared, shared / shingles AS containment, first_word",
     ),
+    "op13_importance": importance.ORACLE,
 }
