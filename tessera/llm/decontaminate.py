@@ -2,9 +2,9 @@
 
 A document is contaminated by an item if it holds at least 0.8 of the item's
 distinct five-word shingles (see windows.py for the search and its bounds).
-Defined results: null or empty texts on either side match nothing; a document
-shorter than five words matches items of the very same words; repeated documents
-give repeated rows, repeated items (equal id and text) count once; empty tables
+An item of one to four words is one shingle of its own width, found wherever a
+document holds that run of words. Defined results: null or empty texts on either side
+match nothing; repeated documents give repeated rows, repeated items (equal id and text) count once; empty tables
 give no rows; extra columns play no part.
 """
 

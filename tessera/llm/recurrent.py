@@ -11,8 +11,9 @@ Scoring carries the state through the whole document.
 
 Counts of the HEAD most frequent words are broadcast (a fixed bound); counts of
 all others are joined by shuffle, so any vocabulary size works the same way.
-Weights learn from every training document once, in up to TRAIN_ROUNDS rounds: each
-starts from the averaged weights of the round before.
+Weights learn from every training document once, in rounds whose number grows with
+the logarithm of the documents: each starts from the averaged weights of the round
+before.
 
 Defined results: null text is the empty text, which is one end token; repeated
 rows score alike; with no training documents every count is 0 and scores are
@@ -41,14 +42,14 @@ HEAD = BROADCAST_ROWS
 N_CLASSES, PER_CLASS = 32, 64
 HIDDEN = 16
 STEPS, LANES = 24, 192
-#: Training tokens that a task lays out at a time.
-BUFFER = 2_000_000
+#: Training tokens that a task lays out at a time, and the weight updates that they are good for at least: few tokens get fewer lanes.
+BUFFER, UPDATES = 2_000_000, 100
 SEGMENT = 1024
 RATE = 0.01
 #: Training documents of a task, for which there are at most MOST_TASKS a round; FAN_IN tasks' weights are averaged at a time.
 TRAIN_TASK_ROWS, MOST_TASKS, FAN_IN = 1000, 65_536, 32
-#: Rounds of a large corpus, and tasks a round has at least: fewer average too little.
-TRAIN_ROUNDS, ROUND_TASKS = 4, 8
+#: Tasks that a round has at least: fewer average too little. A corpus of twice the size has one round more.
+ROUND_TASKS = 8
 FLUSH = 200_000
 CHUNK_TOKENS = 4_000_000
 MOST_LANES, SPAN = 512, 64
@@ -313,7 +314,8 @@ def train_lanes(net: Net, docs: Iterator[np.ndarray]) -> int:
 
     def learn(held: list[np.ndarray]) -> None:
         nonlocal done, step
-        inputs, targets, live, fresh = laid_out(held, LANES)
+        lanes = max(1, min(LANES, sum(map(len, held)) // (STEPS * UPDATES)))
+        inputs, targets, live, fresh = laid_out(held, lanes)
         h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
         for at in range(0, len(inputs), STEPS):
             part = slice(at, at + STEPS)
@@ -352,7 +354,7 @@ def trained(train: DataFrame, vocab: Vocabulary) -> Net:
     do not depend on how the input is cut; rows equal in doc_id and text teach once.
     """
     net = new_net(vocab.weight)
-    rounds = min(TRAIN_ROUNDS, max(1, vocab.n_docs // (TRAIN_TASK_ROWS * ROUND_TASKS)))
+    rounds = (1 + vocab.n_docs // (TRAIN_TASK_ROWS * ROUND_TASKS)).bit_length()
     rows = train.select("doc_id", row_hash("doc_id", "text").alias("_hash"), binary())
     n_tasks = min(MOST_TASKS, max(1, -(-vocab.n_docs // (rounds * TRAIN_TASK_ROWS))))
     for r in range(rounds):

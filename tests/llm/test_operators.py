@@ -389,8 +389,11 @@ def test_containment_against_brute_force(spark):
             body[at:at] = t
         rows.append((i, " ".join(body)))
     rows += [(200, items[0][1]), (201, items[1][1].title() + "!")]
-    sets = lambda t: set(shingle_strings(plain_words(t.encode()), 5))
-    want = {(i, k) for i, t in rows for k, s in items if len(sets(s) & sets(t)) >= 0.8 * len(sets(s))}
+    # an item of fewer words than five is one shingle of its own width, and looked up among the runs of that width
+    sets = lambda t, n: set(shingle_strings(plain_words(t.encode()), n)) if len(t.split()) >= n else set()
+    width = lambda s: min(5, len(s.split()))
+    want = {(i, k) for i, t in rows for k, s in items if len(sets(s, width(s)) & sets(t, width(s))) >= 0.8 * len(sets(s, width(s)))}
+    assert {k for _, k in want} >= {0, 1} and len({i for i, k in want if k == 1}) > 2
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.op10_decontaminate(docs, bench).collect()}
     assert got == want
