@@ -1,13 +1,17 @@
-"""Text scalars: analyser, token sets, answer normalisation, hashes. All inlined by Catalyst."""
+"""Text scalars: analyser, token sets, answer normalisation, hashes. All but the analyser are inlined by Catalyst."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.stemmer import Stems
+
 # Common English function words.
 STOPWORDS = (
     "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down "
@@ -15,9 +19,6 @@ STOPWORDS = (
     "once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until "
     "up very was we were what when where which while who whom why will with you your"
 ).split()
-#: Light suffix stemmer: the shortest stem of three letters or more before one of these endings, longest first.
-ENDINGS = ("ingly", "edly", "ing", "ies", "ed", "es", "ly", "s")
-STEM = rf"^(.{{3,}}?)(?:{'|'.join(ENDINGS)})$"
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -35,20 +36,31 @@ def string_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+class Analyzer:
+    """LX1 in a worker: terms of lower-case texts, each distinct word stemmed once."""
+
+    def __init__(self):
+        self.words, self.stops, self.stems = re.compile(r"[^\W_]+").findall, frozenset(STOPWORDS), Stems()
+
+    def terms(self, lowered: str) -> list[str]:
+        return [self.stems[w] for w in self.words(lowered) if w not in self.stops]
+
+
+@cache
+def analyzer() -> Analyzer:
+    """The worker's own, which remembers stems from one batch to the next."""
+    return Analyzer()
+
+
 def analyze_col(text: Column | str) -> Column:
-    """LX1: lower-case words without stopwords, stemmed, one per position."""
-    words = F.regexp_extract_all(F.lower(col(text)), F.lit(WORD), F.lit(0))
-    meant = F.filter(words, lambda w: ~w.isin(STOPWORDS))
-    return F.transform(meant, stem_col)
-
-
-def stem_col(w: Column) -> Column:
-    """What STEM keeps of a word, by its ending alone: no pattern runs per word."""
-    fits = lambda end: F.endswith(w, F.lit(end)) & (F.length(w) >= len(end) + 3)
-    out = F.when(fits(ENDINGS[0]), F.substring(w, F.lit(1), F.length(w) - len(ENDINGS[0])))
-    for end in ENDINGS[1:]:
-        out = out.when(fits(end), F.substring(w, F.lit(1), F.length(w) - len(end)))
-    return out.otherwise(w)
+    """LX1: lower-case words without stopwords, stemmed (Snowball English), one per position."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        terms = analyzer().terms
+        return pd.Series([None if t is None else terms(t) for t in s], dtype=object)
+
+    return run(F.lower(col(text)))
 
 
 def est_tokens_col(text: Column | str, empty_is_zero: bool = False) -> Column:

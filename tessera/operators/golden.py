@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fact_present_col, fact_text_col, hash_int, jaccard_col, word_set_col
+from tessera.sources.scratch import kept, small_or_shuffled
 
 GROUP, LEAST_TOKENS = 4, 60
 # Fixed value: citations, preprints and links mark a paragraph as junk.
@@ -66,18 +67,23 @@ def passage_pool(chunks: DataFrame) -> DataFrame:
 def near_dupes(chunks: DataFrame, passages: DataFrame, least: float = NEAR) -> DataFrame:
     """GS6: (passage_id, chunk_id, jaccard) of word sets, at least 0.5 alike.
 
-    Prefix filter: similar sets share one of the passage's rarest words, as many
-    as the bound allows to differ, so only those words are joined.
+    Prefix filter on both sides: in the order of rarity, similar sets share one of the
+    first words of each, as many as the bound allows to differ. Only those words are
+    joined, between sets whose sizes allow the bound; sets are made once and stored.
     """
-    c = chunks.select("chunk_id", word_set_col("content").alias("c"))
-    p = passages.select("passage_id", word_set_col("content").alias("p"))
-    freq = c.select(F.explode("c").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
-    words = p.select("passage_id", F.size("p").alias("n"), F.explode("p").alias("w")).join(freq, "w", "left")
-    place = F.row_number().over(Window.partitionBy("passage_id").orderBy(F.coalesce("f", F.lit(0)), "w"))
-    # |p & c| >= least * |p|, so one of the first n - ceil(least * n) + 1 words is shared
-    rare = words.withColumn("i", place).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("passage_id", "w")
-    cand = c.select("chunk_id", F.explode("c").alias("w")).join(rare, "w").select("passage_id", "chunk_id").distinct()
-    both = cand.join(p, "passage_id").join(c, "chunk_id")
+    sets = lambda df, key: kept(df.select(key, word_set_col("content").alias("w")).where("size(w) > 0"), "word-sets")
+    c, p = sets(chunks, "chunk_id"), sets(passages, "passage_id")
+    freq = kept(c.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("f")), "word-counts")
+
+    def firsts(side: DataFrame, key: str, n: str) -> DataFrame:
+        """The rarest words of each set: |x & y| >= least * |x|, so one of the first n - ceil(least * n) + 1 is shared."""
+        words = side.select(key, F.size("w").alias(n), F.explode("w").alias("word")).join(freq, "word", "left")
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("f", F.lit(0)), "word"))
+        return words.withColumn("i", place).where(F.col("i") <= F.col(n) - F.ceil(F.col(n) * least) + 1).select(key, n, "word")
+
+    met = firsts(c, "chunk_id", "nc").join(kept(firsts(p, "passage_id", "np"), "passage-words"), "word")
+    met = met.where((F.col("nc") >= F.ceil(F.col("np") * least)) & (F.col("np") >= F.ceil(F.col("nc") * least))).select("passage_id", "chunk_id").distinct()
+    both = met.join(p.withColumnRenamed("w", "p"), "passage_id").join(c.withColumnRenamed("w", "c"), "chunk_id")
     return both.select("passage_id", "chunk_id", F.round(jaccard_col(F.col("c"), F.col("p")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
@@ -94,7 +100,7 @@ def facts_in(facts: DataFrame, chunks: DataFrame) -> DataFrame:
     hay = chunks.select("chunk_id", fact_text_col("content").alias("hay"))
     met = hay.select("chunk_id", F.explode(F.array_distinct(words(F.col("hay")))).alias("w")).join(needles, "w").drop("w")
     bare = needles.where("w is null").drop("w")  # wordings without an ASCII word: few, checked against every chunk
-    both = met.join(hay, "chunk_id").unionByName(hay.join(F.broadcast(bare), F.contains("hay", "needle")))
+    both = met.join(hay, "chunk_id").unionByName(hay.join(small_or_shuffled(kept(bare, "bare-facts")), F.contains("hay", "needle")))
     whole = F.concat(F.lit(r"(?<![0-9a-z])\Q"), F.col("needle"), F.lit(r"\E(?![0-9a-z])"))
     return both.where(F.regexp_like("hay", whole)).select("fact_id", "chunk_id").distinct()
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from tessera.functions.text import est_tokens_col
 TITLE, HEADING, HEADING_CHARS = 1.4, 1.15, 200
 MIN_CHARS = 10
 SIZE, OVERLAP = 512, 50
-# The separator ladder, coarse to fine.
+# Where a sentence ends, and the separator ladder, coarse to fine.
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "")
 
 
@@ -47,30 +50,31 @@ def drop_short(elements: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     return elements.where(F.length(F.regexp_replace("content", r"^\s+|\s+$", "")) >= least)
 
 
-def _pack(pieces: list[str], sep: str, size: int, overlap: int) -> Iterator[list[str]]:
-    """Groups of whole pieces of about size characters, each starting with the last ones of the group before."""
-    group, used = [], 0
-    for p in pieces:
-        if group and used + len(p) + len(sep) > size:
-            yield group
-            keep = 0
-            tail: list[str] = []
-            while len(tail) < len(group) and keep + len(group[-1 - len(tail)]) <= overlap:
-                keep += len(group[-1 - len(tail)])
-                tail.append(group[-1 - len(tail)])
-            group, used = tail[::-1], keep
-        group.append(p)
-        used += len(p) + len(sep)
-    if group:
-        yield group
+def spans_over(sizes: np.ndarray, most: int, overlap: int, glue: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of pieces that fill up to most, each begun with those of the run before that fit into overlap.
+
+    Ends and beginnings are binary searches in running sums. A new piece counts with its
+    glue, one carried over without; a run takes at least one new piece.
+    """
+    plain = np.concatenate([[0], np.cumsum(sizes)])
+    glued = plain + glue * np.arange(len(plain))
+    first = taken = 0
+    while taken < len(sizes):
+        room = most - (plain[taken] - plain[first])
+        end = max(taken + 1, int(np.searchsorted(glued, glued[taken] + room, "right")) - 1)
+        yield first, end
+        back = int(np.searchsorted(plain, plain[end] - overlap, "left"))
+        first, taken = max(back, first), end
 
 
 def split_recursive(text: str, size: int = SIZE, overlap: int = OVERLAP, ladder: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Split at the coarsest separator present; what is still too long goes one rung down."""
-    sep = next((s for s in ladder if s == "" or s in text), ladder[-1])
+    rung = next((i for i, s in enumerate(ladder) if s == "" or s in text), len(ladder) - 1)
+    sep = ladder[rung]
+    pieces = text.split(sep) if sep else text
     out = []
-    for group in _pack(text.split(sep) if sep else list(text), sep, size, overlap):
-        joined = sep.join(group)
+    for first, end in spans_over(np.fromiter(map(len, pieces), np.int64, len(pieces)), size, overlap, len(sep)):
+        joined = sep.join(pieces[first:end])
         out += split_recursive(joined, size, overlap, ladder[1:]) if len(joined) > size and len(ladder) > 1 else [joined]
     return out
 
@@ -115,33 +119,37 @@ def chunk_hierarchical(
     )
 
 
-def pack_sentences(text: str, words: int = 190, overlap: int = 60) -> list[str]:
-    """Windows of whole sentences; each starts with the last sentences of the one before, up to overlap words."""
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
-    sizes = [len(s.split()) for s in sentences]
-    out, at = [], 0
-    while at < len(sentences):
-        end = at + 1
-        while end < len(sentences) and sum(sizes[at : end + 1]) <= words:
-            end += 1
-        out.append(" ".join(sentences[at:end]))
-        if end == len(sentences):
-            break
-        start = end
-        while start - 1 > at and sum(sizes[start - 1 : end]) <= overlap:
-            start -= 1
-        at = start
-    return out
+def sentence_runs(text: str, words: int = 190, overlap: int = 60) -> list[str]:
+    """Runs of whole sentences of up to words words, or of one longer sentence; each begins with the last of the run before, up to overlap words."""
+    sentences = [s for s in SENTENCE.split(text.strip()) if s]
+    ends = [0, *np.cumsum([len(s.split()) for s in sentences]).tolist()]
+    return [" ".join(sentences[a:b]) for a, b in _sentence_spans(ends, words, overlap)]
+
+
+def _sentence_spans(ends: list[int], words: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(first, end) from the running word counts: where a run ends and the next begins are both places in them."""
+    first, last = 0, len(ends) - 1
+    while first < last:
+        end = max(first + 1, bisect_right(ends, ends[first] + words) - 1)
+        yield first, end
+        if end == last:
+            return
+        first = min(end, max(first + 1, bisect_left(ends, ends[end] - overlap)))
 
 
 def sentence_windows(docs: DataFrame, words: int = 190, overlap: int = 60) -> DataFrame:
     """IG6: (doc_id, window_index, content)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: pack_sentences(t, words, overlap) if t else [])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sentence_runs(t.as_py() or "", words, overlap) for t in b.column(1)]
+            n = np.array([len(x) for x in found], np.int64)
+            doc = b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([doc, pa.array(index.astype(np.int32)), pa.array([w for x in found for w in x], pa.string())], names=["doc_id", "window_index", "content"])
 
-    return docs.select("doc_id", F.posexplode(run("content")).alias("window_index", "content"))
+    return docs.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, window_index int, content string")
 
 
 PROMPT_CHARS = 8000

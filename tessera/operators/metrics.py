@@ -171,6 +171,8 @@ def answer_metrics(rows: DataFrame) -> DataFrame:
 
 #: Words of the run that leads from a passage to the documents that may hold it.
 ANCHOR = 4
+#: Passages without a whole word that meet every chunk at a time.
+BARE_BLOCK = 200
 
 
 def holders(chunks: DataFrame, passages: DataFrame) -> DataFrame:
@@ -179,29 +181,33 @@ def holders(chunks: DataFrame, passages: DataFrame) -> DataFrame:
     The words inside a passage, all but its first and last, stand whole in whatever
     holds it. Its first ANCHOR of them, hashed, meet the chunks' runs of as many words
     in an equi-join; `contains` then decides. Passages with fewer words inside use
-    their longest one; those with none are compared with every chunk.
+    their longest one. Every chunk is read once for the keys of both kinds, its words
+    hashed once each. Passages with no word inside meet every chunk, in blocks of
+    BARE_BLOCK of them.
     """
     asked = kept(passages.where("length(text) > 0").select("query_id", "text", F.split("text", r"\s+").alias("_w")), "passages")
     n = F.size("_w") - 2
     longest = F.array_max(F.transform(F.slice("_w", 2, n), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    words = F.split("content", r"\s+")
-    run = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - ANCHOR + 1), lambda i: F.xxhash64(F.slice(w, i, ANCHOR)))
-    runs = T.bind(lambda w: F.when(F.size(w) >= ANCHOR, run(w)), words)
-    sides = [
-        (asked.where(n >= ANCHOR).withColumn("_key", F.xxhash64(F.slice("_w", 2, ANCHOR))), F.array_distinct(runs)),
-        (asked.where((n > 0) & (n < ANCHOR)).withColumn("_key", F.xxhash64(longest)), F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))),
-    ]
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    run = lambda h, i: F.xxhash64(*[F.element_at(h, i + j) for j in range(ANCHOR)])
+    own = F.when(n >= ANCHOR, run(hashed(F.slice("_w", 2, ANCHOR)), F.lit(1))).otherwise(F.xxhash64(longest))
+    anchors = kept(asked.where(n > 0).select("query_id", own.alias("_key"), (n >= ANCHOR).alias("_long")), "anchors")
+    sizes = {r["_long"]: r["count"] for r in anchors.groupBy("_long").count().collect()}
     found = None
-    for anchors, keys in sides:
-        anchors = kept(anchors.select("query_id", "_key"), "anchors")
-        size = anchors.count()
-        if not size:
-            continue
-        hits = chunks.select("chunk_id", F.explode(keys).alias("_key")).join(small_or_shuffled(anchors, size), "_key").select("query_id", "chunk_id").distinct()
-        found = hits if found is None else found.unionByName(hits)
-    bare = asked.where(n <= 0)
-    out = chunks.join(small_or_shuffled(bare), F.expr("contains(content, text)")).select("query_id", "chunk_id")
+    if sizes:
+        runs = lambda h: F.when(F.size(h) >= ANCHOR, F.transform(F.sequence(F.lit(1), F.size(h) - ANCHOR + 1), lambda i: run(h, i))).otherwise(F.array().cast("array<long>"))
+        kinds = [kind for is_long, kind in ((True, runs), (False, lambda h: h)) if is_long in sizes]
+        keys = T.bind(lambda h: F.array_distinct(F.concat(*[k(h) for k in kinds])), hashed(F.split("content", r"\s+")))
+        hits = chunks.select("chunk_id", F.explode(keys).alias("_key")).join(small_or_shuffled(anchors.select("query_id", "_key"), sum(sizes.values())), "_key")
+        found = hits.select("query_id", "chunk_id").distinct()
+        found = chunks.select("chunk_id", "content").join(found, "chunk_id").join(small_or_shuffled(asked.select("query_id", "text")), "query_id").where("contains(content, text)").select("query_id", "chunk_id")
+    bare = asked.where(n <= 0).select("query_id", "text")
+    blocks = -(-bare.count() // BARE_BLOCK)
+    for b in range(blocks):
+        block = [tuple(r) for r in bare.where(F.pmod(F.xxhash64("query_id", "text"), F.lit(blocks)) == b).collect()]
+        table = F.array(*[F.struct(F.lit(q).alias("query_id"), F.lit(t).alias("text")) for q, t in block])
+        met = chunks.select("chunk_id", F.explode(F.filter(table, lambda x: F.contains(F.col("content"), x["text"]))).alias("_q")).select("_q.query_id", "chunk_id")
+        found = met if found is None else found.unionByName(met)
     if found is None:
-        return out
-    both = chunks.select("chunk_id", "content").join(found, "chunk_id").join(small_or_shuffled(asked.select("query_id", "text")), "query_id")
-    return both.where("contains(content, text)").select("query_id", "chunk_id").unionByName(out)
+        found = asked.select("query_id").crossJoin(chunks.select("chunk_id").limit(0))
+    return found

@@ -477,6 +477,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ud3_chunk_udtf": _udtf,
 }
 
+#: White space beyond ASCII too.
+_SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 ORACLES: dict[str, str] = {
     "ge1_entities": rf"""
 WITH t AS (SELECT doc_id AS chunk_id, regexp_extract_all(coalesce(text, ''), '(?s)(.*?)({graph.TOKEN})', 1) AS gaps, regexp_extract_all(coalesce(text, ''), '(?s)(.*?)({graph.TOKEN})', 2) AS tokens FROM documents),
@@ -497,6 +500,15 @@ FROM m WHERE coded OR named GROUP BY chunk_id, entity""",
     "ig1_classify_blocks": "WITH " + _LAYOUT,
     "ig2_drop_short": _with(_PARAS) + r"SELECT chunk_id, content FROM par WHERE length(regexp_replace(content, '^\s+|\s+$', '', 'g')) >= 10",
     "ig5_est_tokens": "SELECT doc_id AS chunk_id, greatest(1, length(text) // 4)::INTEGER AS n, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END::INTEGER AS n_cost FROM documents",
+    "ig6_sentence_windows": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '([.!?]){_SPACE}+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS s FROM documents),
+n AS (SELECT doc_id, s, list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '{_SPACE}+'), lambda w: w <> ''))) AS k FROM d WHERE len(s) > 0),
+t AS (SELECT doc_id, s, list_transform(range(len(k) + 1), lambda i: coalesce(list_sum(k[1:i]), 0)::BIGINT) AS upto FROM n),
+w AS (SELECT doc_id, s, upto, 0::BIGINT AS i, 0::BIGINT AS low, greatest(1, len(list_filter(upto, lambda u: u <= 190)) - 1)::BIGINT AS high FROM t
+      UNION ALL
+      SELECT doc_id, s, upto, i + 1, b, greatest(b + 1, len(list_filter(upto, lambda u: u <= upto[b + 1] + 190)) - 1) FROM (
+        SELECT *, least(high, greatest(low + 1, len(list_filter(upto, lambda u: u < upto[high + 1] - 60))))::BIGINT AS b FROM w WHERE high < len(s)))
+SELECT doc_id, i::INTEGER AS window_index, array_to_string(s[low + 1:high], ' ') AS content FROM w""",
     "ig9_list_documents": """
 WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
 SELECT o_orderkey AS doc_id, CASE WHEN n IS NULL THEN 'failed' ELSE 'completed' END AS status, o_orderdate AS created_at, coalesce(n, 0) AS chunk_count, CASE WHEN n IS NULL THEN 'No text chunks extracted' END AS error_message

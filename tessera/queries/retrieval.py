@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from tessera.functions.text import analyze_col
 from tessera.operators import dense, fusion, lexical, metrics
 from tessera.operators.dense import Filters
+from tessera.operators.index_store import LexicalStore
+from tessera.sources.scratch import shared_dir
 
-from .tables import BM25, FTS, INDEX, KNN, corpus, questions, sql_tokens, table, vector_queries, vectors
+from .tables import BM25, DOC_WORDS, FTS, INDEX, KNN, corpus, questions, stems_sql, table, vector_queries, vectors
 
 K = 10
 TOP = 50
@@ -25,6 +28,17 @@ def _bm25(spark, d, k=TOP, index=None) -> DataFrame:
     return lexical.bm25_topk(questions(spark, d), index or lexical.stored(_index(spark, d)), k)
 
 
+def _kept_up(spark, d) -> DataFrame:
+    """The index of all documents but every tenth, reached by batches: a first load with some stale texts, their corrections and the rest, a compaction, deletions."""
+    store, chunks = LexicalStore(spark, f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}"), corpus(spark, d).select("chunk_id", "content")
+    stale = F.when(F.col("chunk_id") % 3 == 1, F.concat(F.lit("stale words before "), "content")).otherwise(F.col("content"))
+    store.apply(0, chunks.where("chunk_id % 3 < 2").withColumn("content", stale))
+    store.apply(1, chunks.where("chunk_id % 3 > 0"))
+    store.compact()
+    store.apply(2, delete=chunks.where("chunk_id % 10 = 7").select("chunk_id"))
+    return store.index().postings
+
+
 def _fts(spark, d, k=TOP, index=None) -> DataFrame:
     return lexical.fts_topk(questions(spark, d), index or _index(spark, d), k)
 
@@ -65,12 +79,15 @@ def _postfiltered(spark, d) -> DataFrame:
 
 
 def _recall(spark, d) -> DataFrame:
-    """Of the LSH index, against the exact search over the same queries and vectors."""
-    return dense.ann_recall(dense.knn(vector_queries(spark, d), vectors(spark, d), K), _ann(spark, d), K).select(F.round("recall", 6).alias("recall"), "queries")
+    """Of the index, against the exact search over the same queries and vectors, with the shares of pairs it looked at and scored."""
+    asked, index = vector_queries(spark, d), dense.build_ann(vectors(spark, d), K)
+    recall = dense.ann_recall(dense.knn(asked, vectors(spark, d), K), dense.ann_knn(asked, index, K), K)
+    both = recall.crossJoin(F.broadcast(dense.ann_effort(asked, index, K)))  # one row each
+    return both.select(F.round("recall", 6).alias("recall"), "queries", F.round("looked_at", 6).alias("looked_at"), F.round("scored", 6).alias("scored"))
 
 
 def _ann(spark, d) -> DataFrame:
-    return dense.ann_knn(vector_queries(spark, d), vectors(spark, d), K)
+    return dense.ann_knn(vector_queries(spark, d), dense.build_ann(vectors(spark, d), K), K)
 
 
 def _eval_rows(spark, d) -> DataFrame:
@@ -98,10 +115,12 @@ def _replies(spark, d) -> tuple[DataFrame, DataFrame]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship_bm25_ndcg": flagship,
-    "lx1_analyze": lambda s, d: corpus(s, d).select("chunk_id", F.size(analyze_col("content")).alias("n_tokens"), F.md5(F.array_join(analyze_col("content"), " ")).alias("tokens_md5")),
+    "lx1_analyze": lambda s, d: corpus(s, d).select("chunk_id", analyze_col("content").alias("t")).select("chunk_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5")),
     "lx2_inverted_index": lambda s, d: _index(s, d).postings,
+    "lx2_kept_up_index": _kept_up,
     "lx3_bm25_idf": lambda s, d: lexical.bm25_idf(_index(s, d)).select("term", "df", F.round("idf", 6).alias("idf")),
     "lx4_bm25_topk": lambda s, d: _bm25(s, d, K),
+    "lx4_bm25_effort": lambda s, d: lexical.bm25_effort(questions(s, d), _index(s, d), K),
     "lx5_fts_topk": lambda s, d: _fts(s, d, K),
     "dn1_exact_knn": lambda s, d: dense.knn(vector_queries(s, d), vectors(s, d), K),
     "dn2_prefilter": _prefiltered,
@@ -158,8 +177,11 @@ def _with(*ctes: str) -> str:
 
 ORACLES: dict[str, str] = {
     "flagship_bm25_ndcg": _with(INDEX, BM25, _QRELS, _NDCG) + "SELECT count(*) AS queries, round(avg(ndcg), 6) AS mean_ndcg FROM ndcg",
-    "lx1_analyze": f"SELECT doc_id AS chunk_id, len({sql_tokens('text')})::INTEGER AS n_tokens, md5(array_to_string({sql_tokens('text')}, ' ')) AS tokens_md5 FROM documents",
+    "lx1_analyze": _with(DOC_WORDS, "wl AS (SELECT DISTINCT unnest(w) AS word FROM docw)", stems_sql("wl")) + """
+, p AS (SELECT chunk_id, string_agg(stem, ' ' ORDER BY pos) AS t FROM (SELECT chunk_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM docw) JOIN stems USING (word) GROUP BY chunk_id)
+SELECT chunk_id, len(w)::INTEGER AS n_tokens, md5(CASE WHEN w IS NOT NULL THEN coalesce(t, '') END) AS tokens_md5 FROM docw LEFT JOIN p USING (chunk_id)""",
     "lx2_inverted_index": _with(INDEX) + "SELECT term, chunk_id, tf, dl FROM postings",
+    "lx2_kept_up_index": _with(INDEX) + "SELECT term, chunk_id, tf, dl FROM postings WHERE chunk_id % 10 <> 7",
     "lx3_bm25_idf": _with(INDEX.replace(" AS (SELECT", " AS MATERIALIZED (SELECT")) + "SELECT term, df, round(idf, 6) AS idf FROM idfs",
     "lx4_bm25_topk": _with(INDEX, BM25) + "SELECT * FROM bm25 WHERE rank <= 10",
     "lx5_fts_topk": _with(INDEX, FTS) + "SELECT * FROM fts WHERE rank <= 10",

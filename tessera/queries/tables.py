@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import STEM, STOPWORDS
+from tessera.functions.stemmer import stems_sql
+from tessera.functions.text import STOPWORDS
 from tessera.sources.io import spread
 
 
@@ -43,22 +44,25 @@ def sql_list(values) -> str:
     return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"
 
 
-def sql_tokens(text: str) -> str:
-    """LX1 as a DuckDB expression."""
-    words = rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+')"
-    return rf"list_transform(list_filter({words}, lambda w: NOT list_contains({STOPS}, w)), lambda w: regexp_replace(w, '{STEM}', '\1'))"
+def sql_words(text: str) -> str:
+    """Lower-case words without stopwords as a DuckDB expression; stems_sql() has the stems."""
+    return rf"list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+'), lambda w: NOT list_contains({STOPS}, w))"
 
 
+DOC_WORDS = f"docw AS (SELECT doc_id AS chunk_id, {sql_words('text')} AS w FROM documents)"
+
 INDEX = f"""
-tok AS (SELECT doc_id AS chunk_id, {sql_tokens('text')} AS tokens FROM documents),
-stats AS (SELECT count(*) AS n_chunks, avg(len(tokens)) AS avgdl FROM tok),
-terms AS (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS term FROM tok),
+{DOC_WORDS},
+qw AS (SELECT item_id AS query_id, {sql_words('text')} AS w FROM benchmark),
+wl AS (SELECT DISTINCT word FROM (SELECT unnest(w) AS word FROM docw UNION ALL SELECT unnest(w) AS word FROM qw)),
+{stems_sql('wl')},
+stats AS (SELECT count(*) AS n_chunks, avg(len(w)) AS avgdl FROM docw),
+terms AS (SELECT chunk_id, dl, stem AS term FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS word FROM docw) JOIN stems USING (word)),
 postings AS (SELECT term, chunk_id, count(*)::INTEGER AS tf, any_value(dl)::INTEGER AS dl FROM terms GROUP BY term, chunk_id),
 dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 raws AS (SELECT term, df, ln(n_chunks - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
 idfs AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws),
-qterms AS (SELECT query_id, term, count(*) AS qtf
-           FROM (SELECT item_id AS query_id, unnest({sql_tokens('text')}) AS term FROM benchmark) GROUP BY ALL)"""
+qterms AS (SELECT query_id, stem AS term, count(*) AS qtf FROM (SELECT query_id, unnest(w) AS word FROM qw) JOIN stems USING (word) GROUP BY ALL)"""
 
 BM25 = """
 bm25_s AS (

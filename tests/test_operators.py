@@ -5,8 +5,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import stemmer
 from tessera.functions import text as T
 from tessera.operators import answer, dense, fusion, golden, graph, guard, ingest, lexical, metrics, multihop, stats, traces
+from tessera.operators.index_store import LexicalStore
 from tessera.plans.retrieval import RetrievalConfig
 
 
@@ -81,7 +83,104 @@ def test_common_terms_get_the_floor(spark):
 
 
 def test_analyser(spark):
-    assert one(spark, T.analyze_col("t"), t="The runners' running, and Funding!") == ["runner", "runn", "fund"]
+    assert one(spark, T.analyze_col("t"), t="The runners' running, and Funding!") == ["runner", "run", "fund"]
+    assert one(spark, T.analyze_col("t"), t="Synchronous 2024 Straße, ADMISSION_fee; naïve") == ["synchron", "2024", "straße", "admiss", "fee", "naïv"]
+
+
+def test_stemmer_on_published_pairs():
+    # Words and stems of the algorithm's published sample vocabulary.
+    words = (
+        "consign consigned consigning consignment consist consisted consistency consistent consistently consisting consists consolation consolations consolatory console consoled consoles "
+        "consolidate consolidated consolidating consoling consolingly consols consonant consort consorted consorting conspicuous conspicuously conspiracy conspirator conspirators conspire "
+        "conspired conspiring constable constables constance constancy constant knack knackeries knacks knag knave knaves knavish kneaded kneading knee kneel kneeled kneeling kneels knees "
+        "knell knelt knew knick knif knife knight knightly knights knit knits knitted knitting knives knob knobs knock knocked knocker knockers knocking knocks knopp knot knots"
+    )
+    stems = (
+        "consign consign consign consign consist consist consist consist consist consist consist consol consol consolatori consol consol consol "
+        "consolid consolid consolid consol consol consol conson consort consort consort conspicu conspicu conspiraci conspir conspir conspir "
+        "conspir conspir constabl constabl constanc constanc constant knack knackeri knack knag knave knave knavish knead knead knee kneel kneel kneel kneel knee "
+        "knell knelt knew knick knif knife knight knight knight knit knit knit knit knive knob knob knock knock knocker knocker knock knock knopp knot knot"
+    )
+    assert [stemmer.stem(w) for w in words.split()] == stems.split()
+
+
+def test_stemmer_says_what_its_sql_says():
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(1)
+    ends = [*stemmer.STEP_2, *stemmer.STEP_3, *stemmer.STEP_4, *"s ed ing ly eed ingly ies ied y e ll sses edly eedly bb at us".split()]
+    words = {"".join(rng.choice("abcdeilnorstuyywxzñ9") for _ in range(rng.randrange(1, 7))) + "".join(rng.choice(ends) for _ in range(rng.randrange(3))) for _ in range(20_000)}
+    words |= {*stemmer.WHOLE, *stemmer.KEPT_AFTER_PLURAL, "generate", "generally", "communism", "arsenal"}
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame({"word": sorted(words)}))
+    got = con.execute(f"WITH wl AS (SELECT word FROM given), {stemmer.stems_sql('wl')} SELECT word, stem FROM stems").fetchall()
+    assert dict(got) == {w: stemmer.stem(w) for w in words}
+
+
+def _chunks(spark, rows):
+    return spark.createDataFrame(rows, "chunk_id long, content string")
+
+
+def test_bm25_by_bounds_equals_all_postings(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    pool = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 120)))) for i in range(400)] + [(900, None), (901, ""), (902, "w1 " * 300)]
+    queries = spark.createDataFrame([(q, " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for q in range(30)] + [(98, "unseen words only"), (99, None)], "query_id long, text string")
+    index = lexical.stored(lexical.build_index(_chunks(spark, rows)))
+    terms = lexical.query_terms(queries).join(lexical.bm25_idf(index), "term")
+    want = {tuple(r) for r in lexical.ranked(lexical._partial(index, terms), 7).collect()}
+    for seeds in (50, 1):
+        monkeypatch.setattr(lexical, "SEEDS", seeds)
+        assert {tuple(r) for r in lexical.bm25_topk(queries, index, 7).collect()} == want
+    effort = lexical.bm25_effort(queries, index, 7).agg(F.sum("postings"), F.sum("postings_read")).first()
+    assert effort[1] < effort[0]
+
+
+def test_bm25_where_every_term_is_common(spark):
+    """Idfs below 0: a term may take from a score, so bounds have two sides."""
+    index = lexical.build_index(_chunks(spark, [(i, "red green" + " blue" * (i % 2)) for i in range(6)]))
+    queries = spark.createDataFrame([(1, "red blue"), (2, "red")], "query_id long, text string")
+    stored = lexical.stored(index)
+    want = {tuple(r) for r in lexical.ranked(lexical._partial(stored, lexical.query_terms(queries).join(lexical.bm25_idf(stored), "term")), 3).collect()}
+    assert {tuple(r) for r in lexical.bm25_topk(queries, index, 3).collect()} == want
+
+
+def _figures(index):
+    forward = {(r.chunk_id, r.dl, tuple(sorted(map(tuple, r.words)))) for r in index.forward.collect()}
+    stats = index.stats.first()
+    return forward, {tuple(r) for r in index.postings.collect()}, {(r.term, r.df) for r in index.terms.collect()}, stats.n_chunks, stats.avgdl and pytest.approx(stats.avgdl)
+
+
+def test_index_kept_up_equals_a_rebuild(spark, tmp_path):
+    store = LexicalStore(spark, str(tmp_path / "store"))
+    assert store.index().postings.count() == 0
+    texts = {i: f"alpha beta w{i} w{i % 3} " * (1 + i % 4) for i in range(20)}
+    store.apply(0, _chunks(spark, list(texts.items()) + [(50, None), (51, "")]))
+    texts |= {50: None, 51: ""}
+    change = {3: "gamma delta", 50: "found now", 30: "alpha new"}
+    for again in range(2):  # a batch run twice counts once
+        store.apply(1, _chunks(spark, list(change.items())), spark.createDataFrame([(5,), (77,), (30,)], "chunk_id long"))
+    texts = {k: v for k, v in (texts | change).items() if k != 5}
+    check = lambda: _figures(store.index()) == _figures(lexical.stored(lexical.build_index(_chunks(spark, list(texts.items())))))
+    assert check()
+    store.compact()
+    assert check()
+    store.apply(1, _chunks(spark, [(3, "must not count")]))  # compacted already
+    store.vacuum()
+    store.apply(2, _chunks(spark, [(5, "back again alpha")]), spark.createDataFrame([(0,)], "chunk_id long"))
+    texts = {k: v for k, v in texts.items() if k} | {5: "back again alpha"}
+    assert check()
+    queries = spark.createDataFrame([(1, "alpha again"), (2, "delta w4")], "query_id long, text string")
+    fresh = lexical.build_index(_chunks(spark, list(texts.items())))
+    assert {tuple(r) for r in lexical.bm25_topk(queries, store.index(), 3).collect()} == {tuple(r) for r in lexical.bm25_topk(queries, fresh, 3).collect()}
+    store.apply(3, delete=_chunks(spark, list(texts.items())).select("chunk_id"))
+    store.compact()
+    assert store.index().postings.count() == 0 and store.index().stats.first().n_chunks == 0
 
 
 def test_knn_matmul_matches_the_expression(spark, sf):
@@ -101,14 +200,49 @@ def test_ann_recall_on_clustered_vectors(spark):
     x = np.vstack([c + rng.normal(0, 0.15, (60, 16)) for c in rng.normal(size=(8, 16))]).astype(np.float32)
     v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "chunk_id long, embedding array<float>")
     q = v.where("chunk_id % 12 = 0").withColumnRenamed("chunk_id", "query_id")
-    assert dense.ann_recall(dense.knn(q, v, 10), dense.ann_knn(q, v, 10), 10).first().recall >= 0.9
+    index = dense.build_ann(v, 10)
+    assert dense.ann_recall(dense.knn(q, v, 10), dense.ann_knn(q, index, 10), 10).first().recall >= 0.9
+    effort = dense.ann_effort(q, index, 10).first()
+    assert effort.looked_at < 0.5 and effort.scored <= 100 / 480
 
 
 @pytest.mark.parametrize("asked", ["chunk_id % 50 = 0", "chunk_id < 20"])
 def test_ann_recall_on_the_given_vectors(spark, sf, asked):
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
     q = v.where(asked).withColumnRenamed("chunk_id", "query_id")
-    assert dense.ann_recall(dense.knn(q, v, 10), dense.ann_knn(q, v, 10), 10).first().recall >= 0.9
+    assert dense.ann_recall(dense.knn(q, v, 10), dense.ann_knn(q, dense.build_ann(v, 10), 10), 10).first().recall >= 0.9
+
+
+def test_ann_codes_give_the_nearest_of_their_values():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres, books = rng.normal(size=(4, 5)), rng.normal(size=(3, dense.VALUES, 2))
+    x = rng.normal(size=(50, 5))
+    cell, code = dense._coded(x, centres, books)
+    assert (cell == (x @ centres.T).argmax(1)).all()
+    left = np.pad(x - centres[cell], ((0, 0), (0, 1))).reshape(50, 3, 2)
+    for i in range(50):
+        for p in range(3):
+            d = ((left[i, p] - books[p]) ** 2).sum(1)
+            assert d[code[i, p]] == d.min()
+
+
+def test_ann_on_odd_vectors(spark):
+    """Nulls, zeros, repeated rows, vectors of another length, one row, none."""
+    schema = "chunk_id long, embedding array<float>"
+    rows = [(i, [1.0, float(i % 3), 0.0]) for i in range(12)] + [(20, None), (21, [1.0]), (22, [0.0, 0.0, 0.0]), (3, [1.0, 0.0, 0.0])]
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, None), (3, [1.0])], "query_id long, embedding array<float>")
+    got = dense.ann_knn(q, dense.build_ann(spark.createDataFrame(rows, schema), 5), 5).collect()
+    assert [(r.query_id, r.rank, r.chunk_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 0, 1.0), (1, 2, 3, 1.0), (1, 3, 3, 1.0), (1, 4, 6, 1.0), (1, 5, 9, 1.0)]
+    assert dense.ann_knn(q, dense.build_ann(spark.createDataFrame(rows[:1], schema), 5), 5).count() == 1
+    assert dense.ann_knn(q, dense.build_ann(spark.createDataFrame([], schema), 5), 5).count() == 0
+
+
+def test_knn_takes_the_width_of_most_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0])], "chunk_id long, embedding array<float>")
+    q = spark.createDataFrame([(7, [1.0, 0.0]), (8, [1.0, 0.0, 5.0])], "query_id long, embedding array<float>")
+    assert [(r.query_id, r.chunk_id) for r in dense.knn(q, v, 1).collect()] == [(7, 1)]
 
 
 # ── ranking metrics ────────────────────────────────────────────────────────
@@ -405,11 +539,30 @@ def test_chunks_cover_the_text():
 
 def test_sentence_windows():
     text = " ".join(f"This is sentence number {i} here." for i in range(100))
-    got = ingest.pack_sentences(text)
+    got = ingest.sentence_runs(text)
     assert all(len(w.split()) <= 190 for w in got) and all(any(f"number {i} here." in w for w in got) for i in range(100))
     assert all(set(a.split()) & set(b.split()) for a, b in zip(got, got[1:]))
 
 
+def test_runs_of_pieces_one_by_one():
+    """Ends and beginnings against their definition, tried one piece at a time."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(200):
+        sizes = [rng.randrange(1, 30) for _ in range(rng.randrange(0, 40))]
+        most, overlap, glue = rng.randrange(1, 90), rng.randrange(0, 30), rng.randrange(3)
+        want, first, taken = [], 0, 0
+        while taken < len(sizes):
+            used = lambda end: sum(sizes[first:end]) + glue * (end - taken)  # noqa: B023, E731
+            end = max([taken + 1, *[e for e in range(taken + 2, len(sizes) + 1) if used(e) <= most]])
+            want.append((first, end))
+            first, taken = min(f for f in range(first, end + 1) if sum(sizes[f:end]) <= overlap), end
+        assert list(ingest.spans_over(np.array(sizes, np.int64), most, overlap, glue)) == want
+
+
 def test_hierarchy(spark):
     text = ". ".join(f"sentence number {i} has a few words in it" for i in range(60))
     got = ingest.chunk_hierarchical(spark.createDataFrame([(1, 0, text)], "doc_id long, ordinal int, content string")).orderBy("chunk_index").collect()
