@@ -7,6 +7,8 @@ from math import exp, factorial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.quantiles import quantiles
+
 ITERATIONS, CONFIDENCE, SEED = 1000, 0.95, 42
 CI_ITERATIONS = 2000
 # Metrics for which less is better, and the default gate.
@@ -120,16 +122,8 @@ def ci_gate(metrics: DataFrame, thresholds: dict[str, float]) -> DataFrame:
 
 
 def nearest_ranks(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """(key, one column per share): sorted[int(share * n)] of each key's values, the last one beyond the end.
-
-    Values are counted before they are ranked, so a task holds a key's distinct ones alone.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    own = Window.partitionBy(key)
-    counts = counts.withColumn("_all", F.sum("_n").over(own)).withColumn("_upto", F.sum("_n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    at = lambda q: F.least(F.floor(F.col("_all") * F.lit(q)), F.col("_all") - 1)
-    pick = lambda q: F.max(F.when((F.col("_upto") - F.col("_n") <= at(q)) & (at(q) < F.col("_upto")), F.col(value)))
-    return counts.groupBy(key).agg(*[pick(q).alias(name) for name, q in shares.items()])
+    """(key, one column per share): sorted[int(share * n)] of each key's values, the last one beyond the end."""
+    return quantiles(rows, [key], value, shares, nearest=True).drop("n")
 
 
 def bootstrap_ci(values: DataFrame, iterations: int = CI_ITERATIONS, seed: int = SEED) -> DataFrame:
@@ -170,7 +164,7 @@ def summarize_bench(rows: DataFrame, iterations: int = CI_ITERATIONS) -> DataFra
     """EX12: (mode, metric, pos, value) -> (mode, metric, n, mean, low, high, p50)."""
     key = F.concat_ws("/", "mode", "metric")
     ci = bootstrap_ci(rows.select(key.alias("metric"), "value", F.col("pos").alias("ord")), iterations)
-    mid = rows.groupBy("mode", "metric").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"))
+    mid = quantiles(rows, ["mode", "metric"], "value", {"p50": 0.5}).select("mode", "metric", F.round("p50", 6).alias("p50"))
     return mid.withColumn("_k", key).join(ci.withColumnRenamed("metric", "_k"), "_k").select("mode", "metric", "n", "mean", "low", "high", "p50")
 
 
@@ -192,11 +186,11 @@ def protocol_candidates(qrels: DataFrame, ranked: DataFrame, n: int = 100) -> Da
 def sweep_report(requests: DataFrame) -> DataFrame:
     """EX14: per config, medians of time to first token, total and characters, ms per character, failures; fastest first."""
     ok = F.col("error").isNull()
-    mid = lambda c: F.percentile(F.when(ok, F.col(c)), F.lit(0.5))
-    out = requests.groupBy("config").agg(
-        F.round(mid("ttft_ms"), 4).alias("ttft_ms"), F.round(mid("total_ms"), 4).alias("total_ms"), F.round(mid("chars"), 4).alias("chars"),
-        F.count_if(ok).alias("n"), F.count_if(~ok).alias("failures"),
-    )
+    cells = ", ".join(f"'{c}', cast(`{c}` as double)" for c in ("ttft_ms", "total_ms", "chars"))
+    mids = quantiles(requests.where(ok).selectExpr("config", f"stack(3, {cells}) as (what, value)"), ["config", "what"], "value", {"p50": 0.5})
+    mids = mids.groupBy("config").agg(*[F.round(F.max(F.when(F.col("what") == c, F.col("p50"))), 4).alias(c) for c in ("ttft_ms", "total_ms", "chars")])
+    counts = requests.groupBy("config").agg(F.count_if(ok).alias("n"), F.count_if(~ok).alias("failures"))
+    out = counts.join(mids, "config", "left").select("config", "ttft_ms", "total_ms", "chars", "n", "failures")
     return out.withColumn("ms_per_char", F.round(F.col("total_ms") / F.nullif("chars", F.lit(0.0)), 4)).orderBy("ttft_ms", "config")
 
 
@@ -212,8 +206,9 @@ def latency_table(requests: DataFrame) -> DataFrame:
 
 def cache_speedup(requests: DataFrame, hit: str = "hit", miss: str = "miss") -> DataFrame:
     """EX15: median miss over median hit."""
-    mid = lambda m: F.percentile(F.when(F.col("mode") == m, F.col("latency_ms")), F.lit(0.5))
-    return requests.agg(F.round(mid(hit), 4).alias("hit_p50"), F.round(mid(miss), 4).alias("miss_p50"), F.round(mid(miss) / mid(hit), 4).alias("speedup"))
+    mids = quantiles(requests.where(F.col("mode").isin(hit, miss)), ["mode"], "latency_ms", {"p50": 0.5})
+    mid = lambda m: F.max(F.when(F.col("mode") == m, F.col("p50")))
+    return mids.agg(F.round(mid(hit), 4).alias("hit_p50"), F.round(mid(miss), 4).alias("miss_p50"), F.round(mid(miss) / mid(hit), 4).alias("speedup"))
 
 
 def catalogue(df: DataFrame, key: str, limit: int = 50) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.dense import knn
+from tessera.operators.quantiles import quantiles
+from tessera.sources.scratch import kept
 
 # USD per million input and output tokens, in the order prefixes are tried.
 PRICING = [
@@ -103,32 +105,50 @@ def get_trace(traces: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 def waterfall(spans: DataFrame) -> DataFrame:
     """TR7: (trace_id, ord, span_id, depth, offset_pct, width_pct): depth first, siblings by start; orphans are roots.
 
-    Levels are joined one by one until a level is empty; each carries the path of
-    start times and ids that sorts it, and a span whose id is in its own path ends there.
+    Every span opens and closes once on a walk through its trace, which is a linked
+    list: an opening leads to the first child's or to its own close, a close to the
+    next sibling's opening or to the parent's close. Sums from each step to the end of
+    the list, found by doubling pointers, give place (openings) and depth (openings
+    less closes): as many rounds as the longest walk has binary digits, whatever the
+    depth. Children hang on the first of spans with equal ids, a repeat below that one
+    is left out, and spans that no root leads to (parents in a circle) have no place.
     """
-    from tessera.sources.scratch import kept
-
     own = Window.partitionBy("trace_id")
     t0, t1 = F.min(F.unix_micros("start_time")).over(own), F.max(F.unix_micros("end_time")).over(own)
     total = F.greatest((t1 - t0) / 1000, F.lit(1.0))
     offset = (F.unix_micros("start_time") - t0) / 1000 / total * 100
     width = F.greatest((F.unix_micros("end_time") - F.unix_micros("start_time")) / 1000 / total * 100, F.lit(0.5))
-    flat = spans.select("trace_id", "span_id", "parent_span_id", "start_time", F.round(offset, 4).alias("offset_pct"), F.round(width, 4).alias("width_pct"))
-    ids = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_has")).distinct()
-    flat = kept(flat.join(ids, ["trace_id", "parent_span_id"], "left").withColumn("parent", F.when(F.col("_has"), F.col("parent_span_id"))).drop("_has", "parent_span_id"), "waterfall")
-    step = F.struct("start_time", "span_id")
-    level = flat.where("parent is null").withColumn("path", F.array(step)).withColumn("depth", F.lit(0))
-    out, depth = level, 0
-    while True:
-        depth += 1
-        up = level.select("trace_id", F.col("span_id").alias("parent"), F.col("path").alias("_path"))
-        level = flat.join(up, ["trace_id", "parent"]).where(~F.exists("_path", lambda x: x["span_id"] == F.col("span_id"))).withColumn("path", F.concat("_path", F.array(step))).withColumn("depth", F.lit(depth)).drop("_path")
-        level = kept(level, "waterfall")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    place = F.row_number().over(own.orderBy("path"))
-    return out.select("trace_id", place.alias("ord"), "span_id", "depth", "offset_pct", "width_pct")
+    copy = F.row_number().over(Window.partitionBy("trace_id", "span_id").orderBy("start_time", "end_time", "parent_span_id"))
+    flat = spans.select(
+        "trace_id", "span_id", "parent_span_id", "start_time", F.round(offset, 4).alias("offset_pct"), F.round(width, 4).alias("width_pct"),
+        copy.alias("_copy"), F.count(F.lit(1)).over(own).alias("_spans"), F.monotonically_increasing_id().alias("node"),
+    )
+    flat = kept(flat, "waterfall")
+    first = flat.where("_copy = 1").select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("node").alias("up"))
+    tree = flat.join(first, ["trace_id", "parent_span_id"], "left")
+    # siblings in order, the roots of a trace among themselves; up stays null for roots
+    order = Window.partitionBy("trace_id", "up").orderBy("start_time", "span_id", "node")
+    tree = kept(tree.select("trace_id", "node", "up", "_spans", F.lead("node").over(order).alias("after"), (F.row_number().over(order) == 1).alias("eldest")), "waterfall-tree")
+    child = tree.where("eldest and up is not null").select(F.col("up").alias("node"), F.col("node").alias("child"))
+    opens, closes = lambda c: F.col(c) * 2, lambda c: F.col(c) * 2 + 1
+    opened = tree.join(child, "node", "left").select(opens("node").alias("step"), F.coalesce(opens("child"), closes("node")).alias("next"), F.lit(1).alias("n"), F.lit(1).alias("d"))
+    closed = tree.select(closes("node").alias("step"), F.coalesce(opens("after"), closes("up")).alias("next"), F.lit(0).alias("n"), F.lit(-1).alias("d"))
+    walk = kept(opened.unionByName(closed), "waterfall-walk")
+    longest = tree.agg(F.max("_spans")).first()[0] or 0
+    for _ in range((2 * longest).bit_length()):
+        on = walk.select(F.col("step").alias("next"), F.col("next").alias("_next"), F.col("n").alias("_n"), F.col("d").alias("_d"))
+        # a pointer past the end stays null; steps that came to the end are not joined again
+        going = walk.where("next is not null").join(on, "next").select("step", F.col("_next").alias("next"), (F.col("n") + F.col("_n")).alias("n"), (F.col("d") + F.col("_d")).alias("d"))
+        walk = kept(walk.where("next is null").unionByName(going), "waterfall-walk")
+    ended = walk.where("next is null").select(F.expr("step div 2").alias("node"), (F.col("step") % 2 == 0).alias("_open"), "n", (-F.col("d")).alias("depth"))
+    opened = ended.where("_open").drop("_open")
+    # a repeat of an id below the span of that id ends the walk there
+    repeats = flat.where("_copy > 1").select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("node").alias("again")).join(first, ["trace_id", "parent_span_id"])
+    at = lambda df, key, n: df.select(F.col("node").alias(key), F.col("n").alias(n))
+    repeats = repeats.join(at(opened, "again", "_n"), "again").join(at(opened, "up", "_from"), "up").join(at(ended.where("NOT _open"), "up", "_to"), "up")
+    placed = flat.join(opened, "node").join(repeats.where("_n < _from and _n > _to").select(F.col("again").alias("node")), "node", "left_anti")
+    place = F.row_number().over(own.orderBy(F.desc("n")))
+    return placed.select("trace_id", place.alias("ord"), "span_id", "depth", "offset_pct", "width_pct")
 
 
 def resolve_feedback(feedback: DataFrame, traces: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -159,10 +179,10 @@ def _since(queries: DataFrame, days: int, now: str) -> DataFrame:
 
 
 def latency(queries: DataFrame, days: int, now: str) -> DataFrame:
-    """AN1: linear p50, p95, p99 and count per UTC day and, with a null day, overall; one rollup."""
-    p = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = _since(queries, days, now).where("latency_ms is not null").rollup("day").agg(p.alias("p"), F.count(F.lit(1)).alias("n"))
-    return out.select("day", *[F.round(F.col("p")[i], 4).alias(c) for i, c in enumerate(("p50", "p95", "p99"))], "n")
+    """AN1: linear p50, p95, p99 and count per UTC day and, with a null day, overall. Exact, and no group's values meet in one task."""
+    rows = _since(queries, days, now).where("latency_ms is not null").select("latency_ms", F.explode(F.array(F.struct(F.lit(False).alias("whole"), "day"), F.struct(F.lit(True).alias("whole"), F.lit(None).cast("date").alias("day")))).alias("part"))
+    out = quantiles(rows.select("part.whole", "part.day", "latency_ms"), ["whole", "day"], "latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return out.select("day", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")], "n")
 
 
 def latency_sketch(queries: DataFrame, days: int, now: str, accuracy: int = 10_000) -> DataFrame:

@@ -9,6 +9,7 @@ from tessera.functions import stemmer
 from tessera.functions import text as T
 from tessera.operators import answer, dense, fusion, golden, graph, guard, ingest, lexical, metrics, multihop, stats, traces
 from tessera.operators.index_store import LexicalStore
+from tessera.operators.quantiles import quantiles
 from tessera.plans.retrieval import RetrievalConfig
 
 
@@ -591,6 +592,66 @@ def test_waterfall_of_any_depth_and_with_a_cycle(spark):
     assert got == [(i, f"s{i:03d}") for i in range(40)]
 
 
+def _spans_of(spark, rows):
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, s long")
+    return df.select("trace_id", "span_id", "parent_span_id", F.timestamp_seconds("s").alias("start_time"), F.timestamp_seconds(F.col("s") + 1).alias("end_time"))
+
+
+def test_waterfall_of_a_long_chain_takes_few_rounds(spark):
+    import time
+
+    rows = [("t", f"s{i:05d}", f"s{i - 1:05d}" if i else None, i) for i in range(5000)]
+    began = time.time()
+    got = {r.span_id: (r.ord, r.depth) for r in traces.waterfall(_spans_of(spark, rows)).collect()}
+    assert got == {f"s{i:05d}": (i + 1, i) for i in range(5000)} and time.time() - began < 60
+
+
+def test_waterfall_against_a_walk(spark):
+    """Random forests with orphans, equal starts and, in one trace, a circle that no root leads to."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for t in "abcd":
+        for i in range(60):
+            rows.append((t, f"{t}{i:02d}", rng.choice([None, "lost", *[f"{t}{j:02d}" for j in range(i)]]), rng.randrange(8)))
+    rows += [("d", "c1", "c2", 3), ("d", "c2", "c1", 3), ("d", "c3", "c1", 3)]
+    want, ids = set(), {(t, s) for t, s, _, _ in rows}
+
+    def walk(t, parent, depth, n):
+        kids = sorted((st, s) for u, s, p, st in rows if u == t and (p == parent if parent else p is None or (t, p) not in ids))
+        for _, s in kids:
+            n += 1
+            want.add((t, s, n, depth))
+            n = walk(t, s, depth + 1, n)
+        return n
+
+    for t in "abcd":
+        walk(t, None, 0, 0)
+    got = {(r.trace_id, r.span_id, r.ord, r.depth) for r in traces.waterfall(_spans_of(spark, rows)).collect()}
+    assert got == want
+    assert traces.waterfall(_spans_of(spark, [])).count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    import random
+
+    rng = random.Random(11)
+    values = {"a": [rng.lognormvariate(0, 9) * rng.choice([-1, 1]) for _ in range(900)], "b": [5.0] * 700 + [1e308, -1e308], "c": [3.25], "d": [0.0, -0.0, float("inf"), 1e-320, float("-inf")], None: [float(i % 7) for i in range(60)]}
+    rows = spark.createDataFrame([(k, v) for k, x in values.items() for v in x] + [("a", None), ("e", None)], "k string, v double")
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.k: r for r in quantiles(rows, ["k"], "v", shares, nearest=True).collect()}
+    assert got.keys() == values.keys()
+    for k, x in values.items():
+        x = sorted(x)
+        assert [got[k][c] for c in shares] == [x[min(int(len(x) * q), len(x) - 1)] for q in shares.values()] and got[k].n == len(x)
+    want = {r.k: r.p for r in rows.where("k <> 'd' and k <> 'b' or k is null").groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, shares.values()))).alias("p")).collect() if r.p}
+    linear = {r.k: r for r in quantiles(rows, ["k"], "v", shares).collect()}
+    for k, p in want.items():
+        assert [linear[k][c] for c in shares] == pytest.approx(p)
+    assert quantiles(rows.limit(0), ["k"], "v", shares).count() == 0
+
+
 def test_strategies_need_what_they_use(spark):
     from tessera.plans import retrieval as P
 
