@@ -8,7 +8,8 @@ whose target exceeds its size goes round its stream again.
 
 Defined results: null text has size 0; a null source is a source, ordered last;
 sizes of 0 take nothing; an empty table gives an empty mix; repeated rows are
-mixed each on its own; extra columns play no part.
+mixed each on its own; extra columns play no part. Targets and shares are windows over
+the table of sources, a row for each.
 """
 
 from __future__ import annotations
@@ -105,11 +106,19 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each document with its source's figures and its place (start) in its source's stream."""
+    """Each document with its source's figures and its place (start) in its source's stream.
+
+    The streams are cut by the ids' MD5; the rows of an id that has more of them than a
+    bucket holds (null ids count as one) are dealt to buckets of their own. rows: kept.
+    """
     joined = rows.alias("r").join(small_or_shuffled(sources).alias("s"), F.expr("r.source <=> s.source")).drop(F.col("s.source"))
     n_buckets = F.ceil(F.col("n_rows") / BUCKET_ROWS)
     bucket = F.expr("cast(conv(substr(_key, 1, 8), 16, 10) as bigint)")
-    joined = joined.withColumn("_bucket", F.floor(bucket * n_buckets / F.lit(2**32)).cast("long"))
+    hot = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET_ROWS)
+    hot = kept(hot.select("_key", F.ceil(F.col("_n") / BUCKET_ROWS).alias("_parts")), "mix-hot")
+    joined = joined.join(small_or_shuffled(hot), "_key", "left")
+    part = F.floor(F.pmod(F.xxhash64("_row"), F.lit(2**32)) * F.coalesce("_parts", F.lit(1)) / F.lit(2**32))
+    joined = joined.withColumn("_bucket", F.floor(bucket * n_buckets / F.lit(2**32)).cast("long") * 2**31 + part.cast("long")).drop("_parts")
     joined = kept(joined, "mix-rows")
     return running_start(joined, ["sid"], "_bucket", ["_key", "doc_id", "_hash", "_row"], "size", "start").drop("_bucket")
 

@@ -72,6 +72,21 @@ def test_mixed_documents_come_in_the_order_of_their_slots(spark):
     assert 5 < sum(first) < 35  # the sources take turns
 
 
+def test_rows_of_one_id_are_many_buckets(spark, monkeypatch):
+    """A third of all rows without an id: the stream still has each word once, and no bucket holds them all."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 64)
+    rows = [(None if i % 3 == 0 else i, "w " * (i % 7), "a") for i in range(1500)]
+    sized = mixing.kept(mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string")), "t")
+    seen = []
+    real = mixing.running_start
+    monkeypatch.setattr(mixing, "running_start", lambda df, *a: seen.append(df) or real(df, *a))
+    got = sorted((r.start, r.size) for r in mixing.placed(sized, mixing.targets(sized)).collect())
+    assert len(got) == 1500 and got[0][0] == 0 and sum(n for _, n in got) == sum(i % 7 for i in range(1500))
+    filled = [g for g in got if g[1]]
+    assert all(a + n == b for (a, n), (b, _) in zip(filled, filled[1:]))
+    assert seen[0].groupBy("_bucket").count().agg({"count": "max"}).first()[0] < 150
+
+
 def test_golden_points_do_not_overflow(spark):
     ids = [0, 1, 2, 2**32 - 1, 2**32, 5 * 10**10 + 7]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(mixing.golden_point(mixing.F.col("i"))).collect()]
