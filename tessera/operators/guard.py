@@ -39,14 +39,18 @@ def _col(c: Column | str) -> Column:
 
 
 def pii_scan(df: DataFrame, col: str) -> DataFrame:
-    """GD1: df with pii: array of (type, original, start, end), offsets in code points of the raw text."""
+    """GD1: df with pii: array of (type, original, start, end), offsets in code points of the raw text.
+
+    Only texts in which the JVM finds a pattern (GD3) are sent to Python for the offsets.
+    """
     patterns = [(name, re.compile(p)) for name, _, p in PII]
 
     @F.pandas_udf("array<struct<type: string, original: string, start: int, end: int>>")
     def spans(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"type": n, "original": m.group(), "start": m.start(), "end": m.end()} for n, p in patterns for m in p.finditer(t or "")])
+        found = lambda t: [{"type": n, "original": m.group(), "start": m.start(), "end": m.end()} for n, p in patterns for m in p.finditer(t)]
+        return pd.Series([found(t) if t else [] for t in s], dtype=object)
 
-    return df.withColumn("pii", spans(col))
+    return df.withColumn("pii", spans(F.when(contains_pii_col(col), _col(col))))
 
 
 def pii_counts_col(c: Column | str) -> Column:

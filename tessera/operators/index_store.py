@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tessera.operators.lexical import Index, forward_of, gain_col, postings_of
-from tessera.sources.scratch import kept, small_or_shuffled
+from tessera.sources.scratch import exists, kept, small_or_shuffled
 
 WORDS = "array<struct<term: string, tf: int>>"
 
@@ -34,20 +34,16 @@ class LexicalStore:
             "generations": "generation long, upto long",
         }
 
-    def _exists(self, path: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
-
     def _generation(self) -> tuple[int, int]:
         """The generation to read, and the last batch that it holds."""
-        if not self._exists(f"{self.path}/generations"):
+        if not exists(self.spark, f"{self.path}/generations"):
             return 0, -1
         rows = self.spark.read.schema(self.schemas["generations"]).parquet(f"{self.path}/generations")
         return max(map(tuple, rows.collect()), default=(0, -1))  # a row for each compaction
 
     def _table(self, name: str) -> DataFrame:
         folder = f"{self.path}/generation={self._generation()[0]}/{name}"
-        if not self._exists(folder):
+        if not exists(self.spark, folder):
             return self.spark.createDataFrame([], self.schemas[name])
         return self.spark.read.schema(self.schemas[name]).parquet(folder)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import golden, metrics, stats
 
-from .answers import _F, _QA, qa, sql_f1, sql_norm
+from .answers import _F, _PRESENT, _QA, qa, sql_f1, sql_fact, sql_norm
 from .retrieval import _CANDS, _LABELS, _QRELS, _bm25, _eval_rows, _with, qrels
 from .tables import BM25, INDEX, corpus, questions, sql_list, table
 
@@ -268,6 +268,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gs15_revise": _revised,
 }
 
+_WORDS_SET = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> ''))"
+#: Drafts of golden rows, what states their facts, and the near-duplicates of their passages, by plain comparison of all with all.
+_GOLD_FACTS = f"""
+{_QRELS},
+hel AS (SELECT query_id, min(chunk_id) AS gold_id FROM qrels GROUP BY query_id),
+wds AS (SELECT item_id AS draft_id, gold_id, regexp_split_to_array(text, '\\s+') AS w FROM benchmark JOIN hel ON query_id = item_id),
+dra AS (SELECT draft_id, gold_id, CASE draft_id % 3 WHEN 0 THEN array_to_string(w[3:8], ' ') WHEN 1 THEN 'nowhere said' ELSE w[1] END AS fact,
+          CASE WHEN draft_id % 2 = 0 THEN 'What of ' || w[1] ELSE 'Is it ' || array_to_string(w[3:8], ' ') END AS question FROM wds),
+hay AS MATERIALIZED (SELECT doc_id AS chunk_id, {sql_fact('text')} AS hay FROM documents),
+ned AS (SELECT draft_id, gold_id, {sql_fact('fact')} AS needle, {sql_fact('question')} AS asked, length(trim(fact)) < 2 AS short FROM dra),
+hld AS (SELECT draft_id, gold_id, chunk_id FROM ned, hay WHERE contains(hay, needle) AND {_PRESENT}),
+sts AS MATERIALIZED (SELECT doc_id AS chunk_id, {_WORDS_SET.format('text')} AS w FROM documents),
+shr AS (SELECT gold_id, chunk_id, count(*) AS n FROM (SELECT gold_id, unnest(w) AS x FROM sts JOIN (SELECT DISTINCT gold_id FROM dra) ON chunk_id = gold_id) JOIN (SELECT chunk_id, unnest(w) AS x FROM sts) USING (x) GROUP BY ALL),
+nea AS (SELECT gold_id, shr.chunk_id FROM shr JOIN sts g ON g.chunk_id = gold_id JOIN sts c ON c.chunk_id = shr.chunk_id WHERE round(n / (len(g.w) + len(c.w) - n), 6) >= 0.5),
+els AS (SELECT draft_id, gold_id, chunk_id FROM hld WHERE NOT EXISTS (SELECT 1 FROM nea WHERE nea.gold_id = hld.gold_id AND nea.chunk_id = hld.chunk_id)),
+jud AS (SELECT draft_id, short, EXISTS (SELECT 1 FROM hld WHERE hld.draft_id = ned.draft_id AND hld.chunk_id = ned.gold_id) AS own,
+          EXISTS (SELECT 1 FROM els WHERE els.draft_id = ned.draft_id) AS other, {_PRESENT.replace('hay', 'asked')} AS told FROM ned),
+rsn AS (SELECT draft_id, own, CASE WHEN short THEN 'malformed fact' WHEN NOT own THEN 'fact not in its passage' WHEN other THEN 'fact also stated elsewhere' WHEN told THEN 'question contains its answer' END AS reason FROM jud)"""
+
 _E = (INDEX, BM25, _CANDS, _LABELS)
 _RM = {
     "rm2_context_precision": "CASE WHEN len(labels) > 0 THEN list_sum(labels) / len(labels) ELSE 0 END",
@@ -346,6 +365,18 @@ c AS (SELECT chunk_id, list_distinct(list_filter(regexp_split_to_array(lower(con
 i AS (SELECT passage_id, chunk_id, count(*) AS shared FROM (SELECT passage_id, unnest(p) AS w FROM p) JOIN (SELECT chunk_id, unnest(c) AS w FROM c) USING (w) GROUP BY ALL),
 j AS (SELECT passage_id, chunk_id, round(shared / (len(p) + len(c) - shared), 6) AS jaccard FROM i JOIN p USING (passage_id) JOIN c USING (chunk_id))
 SELECT * FROM j WHERE jaccard >= 0.5""",
+    "gs7_fact_holders": _with(_GOLD_FACTS) + "SELECT DISTINCT draft_id AS fact_id, gold_id AS passage_id, chunk_id FROM els",
+    "gs8_check_single": _with(_GOLD_FACTS) + "SELECT draft_id, reason FROM rsn",
+    "gs9_check_multi": f"""
+WITH w AS (SELECT item_id AS draft_id, regexp_split_to_array(text, '\\s+') AS w FROM benchmark),
+f AS (SELECT draft_id, unnest([0, 1]) AS k, unnest([array_to_string(w[1:5], ' '), CASE WHEN draft_id % 2 = 0 THEN array_to_string(w[6:10], ' ') ELSE 'nowhere said' END]) AS fact,
+        CASE WHEN draft_id % 5 = 0 THEN array_to_string(w[1:5], ' ') ELSE 'Which two?' END AS question FROM w),
+n AS (SELECT draft_id, k, question, {sql_fact('fact')} AS needle, {sql_fact('question')} AS asked FROM f),
+h AS MATERIALIZED (SELECT doc_id AS chunk_id, {sql_fact('text')} AS hay FROM documents),
+b AS (SELECT draft_id FROM (SELECT draft_id, chunk_id, count(DISTINCT k) AS m FROM n, h WHERE contains(hay, needle) AND {_PRESENT} GROUP BY ALL) WHERE m = 2),
+t AS (SELECT draft_id, any_value(question) AS question, bool_or({_PRESENT.replace('hay', 'asked')}) AS told FROM n GROUP BY draft_id)
+SELECT draft_id, CASE WHEN length(trim(question)) = 0 THEN 'malformed' WHEN told THEN 'question contains an answer' WHEN draft_id IN (SELECT draft_id FROM b) THEN 'one chunk states both facts' END AS reason FROM t""",
+    "gs10_check_records": _with(_GOLD_FACTS) + "SELECT draft_id, CASE WHEN draft_id % 7 = 0 THEN 'gold context not in corpus' WHEN NOT own THEN 'fact not in its passage' ELSE reason END AS reason FROM rsn",
     "gs11_rejection_report": "SELECT source AS document_name, CASE WHEN length(text) < 400 THEN 'malformed' WHEN lang <> 'en' THEN 'fact also stated elsewhere' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY ALL",
     "gs12_split_dev_test": """
 WITH a AS (SELECT doc_id AS ord, source AS document_name FROM documents),

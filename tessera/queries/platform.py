@@ -16,8 +16,9 @@ from tessera.sources import io
 from tessera.sources.scratch import kept, shared_dir
 from tessera.streaming import streams
 
+from .answers import _QA, _SCORED, sql_f1, sql_norm, sql_redact
 from .evaluation import _PARAS, paragraphs
-from .retrieval import _index, _with
+from .retrieval import _SET, _index, _jaccard, _with
 from .tables import BM25, INDEX, corpus, questions, table, vectors, vector_queries, sql_list
 
 
@@ -561,6 +562,16 @@ WITH n AS (SELECT substr(sha256(text), 1, 16) AS key, 'new' AS answer, epoch_us(
   UNION ALL SELECT substr(sha256(text), 1, 16), (item_id % 7)::VARCHAR, epoch_us(TIMESTAMP '2024-01-01') + item_id * 60000000, 0 FROM benchmark WHERE item_id % 2 = 0)
 SELECT key, answer, t AS cached_us FROM n QUALIFY row_number() OVER (PARTITION BY key ORDER BY t DESC, w DESC) = 1""",
     "ca3_live_entries": "SELECT vec_id AS key FROM embeddings WHERE vec_id % 50 > 0 AND vec_id % 100 > 30",
+    "st3_stream_rollup": _with(_SPANS) + """
+, l AS (SELECT trace_id, max(st) AS last FROM spn GROUP BY trace_id)
+SELECT trace_id, name, status, start_time, end_time, total_tokens, total_cost_usd, span_count FROM trc JOIN l USING (trace_id)
+WHERE last + 300000000 <= (SELECT max(st) FROM spn) - 60000000""",
+    "st4_stream_latency": """
+WITH q AS (SELECT ts::DATE AS day, value * 10 AS lat, ts FROM events)
+SELECT day, count(*) AS n, round(sum(lat), 4) AS latency_sum, quantile_disc(lat, 0.5) AS p50, quantile_disc(lat, 0.95) AS p95, quantile_disc(lat, 0.99) AS p99
+FROM q GROUP BY day HAVING day + INTERVAL 1 DAY <= (SELECT max(ts) FROM q) - INTERVAL 1 HOUR""",
+    "ud1_sql_functions": _with(_QA, f"src AS (SELECT query_id AS conv_id, 0 AS turn, answer AS t FROM qa)", _SCORED, f"nt AS (SELECT query_id, {sql_norm('question')} AS x, {sql_norm('answer')} AS y, {_SET.format('question')} AS a, {_SET.format('answer')} AS b, answer FROM qa)") + f"""
+SELECT query_id, {_jaccard('a', 'b')}::DOUBLE AS jaccard, {sql_f1('x', 'y')} AS f1, greatest(1, length(answer) // 4)::INTEGER AS n_tokens, {sql_redact('answer')} = answer AS clean, confidence FROM nt JOIN con ON conv_id = query_id""",
     "st1_rate_limit": """
 WITH e AS (SELECT *, event_type IN ('purchase', 'signup') AS w, epoch(ts)::BIGINT AS s0, floor(epoch(ts))::BIGINT AS s FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id, s // 86400 ORDER BY ts, event_id) AS k FROM e)

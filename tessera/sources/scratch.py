@@ -41,6 +41,11 @@ def kept_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete one scratch table, whose readers have all been written."""
     if path in _written:

@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tessera.operators import ingest, traces
 from tessera.operators.guard import PII
+from tessera.sources.scratch import exists
 
 WRITES = ("POST", "PUT", "PATCH", "DELETE")
 TAIL = 96
@@ -181,7 +182,10 @@ def stream_cache(queries: DataFrame, cache_path: str, out_path: str, checkpoint:
     """ST5: each micro-batch is looked up in the entries of the batches before; answered misses become entries.
 
     queries: (query_id, query, embedding, ts); answer adds the column answer to misses.
-    Entries live under cache_path/batch=n: a batch that is run again overwrites its own.
+    Entries live under cache_path/slot=t/batch=n, t counting spans of ttl seconds: a
+    batch reads the slots that can hold live entries and no others, however long the
+    stream runs, and one that is run again overwrites its own. vacuum_cache() deletes
+    the rest.
     """
     columns = "key string, query string, answer string, embedding array<float>, cached_at timestamp"
 
@@ -190,17 +194,34 @@ def stream_cache(queries: DataFrame, cache_path: str, out_path: str, checkpoint:
         df = df.persist()
         now = df.agg(F.max("ts")).first()[0]
         if now is not None:
-            old = spark.read.schema(f"{columns}, batch int").parquet(cache_path).where(F.col("batch") < n).drop("batch") if n else spark.createDataFrame([], columns)
+            old = spark.createDataFrame([], columns)
+            if exists(spark, cache_path):
+                since = F.floor((F.unix_timestamp(F.lit(now)) - ttl) / ttl)
+                old = spark.read.schema(f"{columns}, slot long, batch long").parquet(cache_path).where((F.col("slot") >= since) & (F.col("batch") < n)).drop("slot", "batch")
             looked = traces.cache_lookup(df.select("query_id", "embedding"), old, str(now), threshold, ttl)
             looked.write.mode("overwrite").parquet(f"{out_path}/batch={n}")
+            looked = spark.read.schema(looked.schema).parquet(f"{out_path}/batch={n}")
             missed = df.join(looked.where(~F.col("hit")).select("query_id"), "query_id", "left_semi")
             new = answer(missed).select(traces.cache_key_col(F.col("query")).alias("key"), "query", "answer", F.col("embedding").cast("array<float>").alias("embedding"), F.col("ts").alias("cached_at"))
-            new.write.mode("overwrite").parquet(f"{cache_path}/batch={n}")
+            new = new.withColumn("slot", F.floor(F.unix_timestamp("cached_at") / ttl)).withColumn("batch", F.lit(n).cast("long"))
+            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "batch").parquet(cache_path)
         df.unpersist()
 
     return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def vacuum_cache(spark: SparkSession, cache_path: str, now: str, ttl: int = traces.CACHE_TTL) -> int:
+    """Delete the slots of ST5 whose entries have all expired at now; how many. No earlier batch may have to run again."""
+    if not exists(spark, cache_path):
+        return 0
+    slots = spark.read.schema("key string, slot long, batch long").parquet(cache_path).select("slot").distinct()
+    dead = slots.where(F.col("slot") < F.floor((F.unix_timestamp(F.lit(now).cast("timestamp")) - ttl) / ttl)).collect()
+    for r in dead:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{cache_path}/slot={r['slot']}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(dead)
+
+
 def stream_ingest(source: DataFrame, sink: str, status_path: str, checkpoint: str, embedder: Callable | None = None, dim: int = 64) -> StreamingQuery:
     """ST6: new documents (doc_id, content) become chunks exactly once, with a status row each.
 

@@ -110,6 +110,19 @@ def test_stream_cache_uses_earlier_batches_only(spark, tmp_path):
     q.awaitTermination()
     got = {r.query_id: r.hit for r in spark.read.parquet(f"{tmp_path}/hits").collect()}
     assert got == {1: False, 2: False, 3: True, 4: False}
+    slots = lambda: {r.slot for r in spark.read.parquet(f"{tmp_path}/entries").select("slot").distinct().collect()}
+    assert len(slots()) == 2  # what the last batch reads does not grow with what expired before
+    assert streams.vacuum_cache(spark, f"{tmp_path}/entries", "2024-01-01 03:00:00") == 1 and len(slots()) == 1
+
+
+def test_stream_cache_with_late_and_empty_batches(spark, tmp_path):
+    """A first batch without times, and one that comes late: entries of its own time still hit."""
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(1, "a", [1.0, 0.0], None), (2, "a", [1.0, 0.0], t0), (3, "a", [1.0, 0.0], t0 + dt.timedelta(hours=5)), (4, "a", [1.0, 0.0], t0 + dt.timedelta(minutes=9))]
+    df = spark.createDataFrame(data, "query_id long, query string, embedding array<float>, ts timestamp")
+    src = stream_of(df, tmp_path, ["query_id = 1", "query_id = 2", "query_id = 3", "query_id = 4"])
+    streams.stream_cache(src, f"{tmp_path}/entries", f"{tmp_path}/hits", f"{tmp_path}/cp", lambda d: d.withColumn("answer", F.lit("x")), 0.9).awaitTermination()
+    assert {r.query_id: r.hit for r in spark.read.parquet(f"{tmp_path}/hits").collect()} == {2: False, 3: False, 4: True}
 
 
 def test_ingest_stream_is_exactly_once(spark, tmp_path):
