@@ -41,7 +41,7 @@ from .common import BROADCAST_ROWS, binary, held_out, kept, row_hash
 HEAD = BROADCAST_ROWS
 N_CLASSES, PER_CLASS = 32, 64
 HIDDEN = 16
-STEPS, LANES = 24, 384
+STEPS, LANES = 24, 512
 #: Training tokens that a task lays out at a time, and the weight updates that they are good for at least: few tokens get fewer lanes.
 BUFFER, UPDATES = 2_000_000, 100
 SEGMENT = 1024
@@ -50,7 +50,7 @@ RATE = 0.01
 TRAIN_TASK_ROWS, MOST_TASKS, FAN_IN = 2000, 65_536, 32
 #: Tasks that a round has at least: fewer average too little. A corpus of twice the size has one round more.
 ROUND_TASKS = 4
-FLUSH = 200_000
+FLUSH = 400_000
 CHUNK_TOKENS = 4_000_000
 MOST_LANES, SPAN = 512, 64
 OTHER, END = 0, 1
