@@ -135,15 +135,17 @@ def test_bm25_by_bounds_equals_all_postings(spark, monkeypatch):
     index = lexical.stored(lexical.build_index(_chunks(spark, rows)))
     terms = lexical.query_terms(queries).join(lexical.bm25_idf(index), "term")
     want = {tuple(r) for r in lexical.ranked(lexical._partial(index, terms), 7).collect()}
-    for seeds in (50, 1):
+    for seeds, direct in ((50, 10**9), (50, 0), (1, 0)):
         monkeypatch.setattr(lexical, "SEEDS", seeds)
+        monkeypatch.setattr(lexical, "DIRECT", direct)
         assert {tuple(r) for r in lexical.bm25_topk(queries, index, 7).collect()} == want
     effort = lexical.bm25_effort(queries, index, 7).agg(F.sum("postings"), F.sum("postings_read")).first()
     assert effort[1] < effort[0]
 
 
-def test_bm25_where_every_term_is_common(spark):
+def test_bm25_where_every_term_is_common(spark, monkeypatch):
     """Idfs below 0: a term may take from a score, so bounds have two sides."""
+    monkeypatch.setattr(lexical, "DIRECT", 0)
     index = lexical.build_index(_chunks(spark, [(i, "red green" + " blue" * (i % 2)) for i in range(6)]))
     queries = spark.createDataFrame([(1, "red blue"), (2, "red")], "query_id long, text string")
     stored = lexical.stored(index)
