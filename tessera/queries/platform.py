@@ -41,9 +41,15 @@ def _golden(s, d) -> DataFrame:
 
 
 def _intake(s, d) -> DataFrame:
+    """The texts as files, one per source, as plain text and as CSV; the larger of them over a limit of 0.05 MB."""
     path = _path(s, "intake")
-    corpus(s, d).select("content").repartition(4).write.text(path)
-    return io.intake(s, path + "/*", 50).select("mime_type", "accepted", "reason", (F.col("length") > 0).alias("filled"))
+    texts = corpus(s, d).select("content", F.coalesce("document_id", F.lit("none")).alias("source")).repartition("source")
+    texts.select(F.coalesce("content", F.lit("")).alias("value"), "source").write.partitionBy("source").text(path + "/txt")
+    texts.select("content", "source").write.partitionBy("source").csv(path + "/csv")
+    got = io.intake(s, path + "/*/*/part-*", 0.05)
+    name = F.regexp_extract("path", r"/source=([^/]*)/", 1)
+    size = F.when(F.col("mime_type") == "text/plain", F.col("length"))
+    return got.select(name.alias("source"), "mime_type", size.alias("length"), "accepted", "reason")
 
 
 def _mime(s, d) -> DataFrame:
@@ -61,9 +67,7 @@ def _result_rows(s, d) -> DataFrame:
 
 def _results_file(s, d) -> DataFrame:
     path = _path(s, "results")
-    modes = io.result_table(_result_rows(s, d))
-    one = modes.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("mode", "metrics")))).alias("value"))  # a result file is one object
-    one.write.text(path)
+    io.write_result_files(_result_rows(s, d), path)
     return io.read_results(s, path)
 
 
@@ -481,17 +485,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: White space beyond ASCII too.
 _SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
-ORACLES: dict[str, str] = {
-    "ge1_entities": rf"""
+_SQL_NAMES = rf"""
 WITH t AS (SELECT doc_id AS chunk_id, regexp_extract_all(coalesce(text, ''), '(?s)(.*?)({graph.TOKEN})', 1) AS gaps, regexp_extract_all(coalesce(text, ''), '(?s)(.*?)({graph.TOKEN})', 2) AS tokens FROM documents),
 r AS (SELECT chunk_id, unnest(range(len(tokens))) AS n, unnest(gaps) AS gap, unnest(tokens) AS token FROM t),
 m AS (SELECT chunk_id, n, lower(token) AS entity, regexp_matches(token, '[0-9]|.[A-Z]') AS coded, regexp_matches(token, '^[A-Z]') AS named,
         regexp_replace(gap, '[\s\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{3000}}]+$', '') AS gap
       FROM r WHERE regexp_matches(token, '[A-Za-z]') AND length(token) >= 2 AND NOT list_contains({sql_list(graph.NOT_NAMES)}, lower(token)))
 SELECT chunk_id, entity, bool_or(coded OR CASE WHEN gap = '' THEN n > 0 ELSE NOT contains('{graph.SENTENCE_END.strip()}', right(gap, 1)) END) AS proven
-FROM m WHERE coded OR named GROUP BY chunk_id, entity""",
+FROM m WHERE coded OR named GROUP BY chunk_id, entity"""
+
+
+def _sql_ppr(k: int) -> str:
+    """The walk over names, one step after the other."""
+    steps = ["m0 AS MATERIALIZED (SELECT query_id, entity, r AS m FROM st)"]
+    spread = "(SELECT query_id, chunk_id, sum(m * to_chunk) AS c FROM m{} JOIN g USING (entity) GROUP BY ALL)"
+    for i in range(graph.ITERATIONS):
+        steps.append(f"b{i} AS MATERIALIZED (SELECT query_id, entity, sum(c * to_entity) AS b FROM {spread.format(i)} JOIN g USING (chunk_id) GROUP BY ALL)")
+        steps.append(f"m{i + 1} AS MATERIALIZED (SELECT query_id, entity, {graph.RESTART} * coalesce(r, 0) + (1 - {graph.RESTART})::DOUBLE * coalesce(b, 0) AS m FROM b{i} FULL JOIN st USING (query_id, entity))")
+    return _with(
+        f"nm AS MATERIALIZED ({_SQL_NAMES})",
+        "n AS (SELECT count(*) AS n FROM documents)",
+        f"gd AS (SELECT entity, count(*) AS df FROM nm, n GROUP BY entity, n HAVING bool_or(proven) AND count(*) <= greatest(2, floor({graph.MAX_DF} * n)))",
+        "e AS (SELECT entity, chunk_id, ln(n::DOUBLE / df) AS idf FROM nm JOIN gd USING (entity), n)",
+        "g AS MATERIALIZED (SELECT chunk_id, entity, idf, coalesce(idf / nullif(sum(idf) OVER (PARTITION BY entity), 0), 0) AS to_chunk, coalesce(idf / nullif(sum(idf) OVER (PARTITION BY chunk_id), 0), 0) AS to_entity FROM e)",
+        r"qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\-]*[a-z0-9]|[a-z]')) AS entity FROM benchmark)",
+        "st AS MATERIALIZED (SELECT query_id, entity, coalesce(idf / nullif(sum(idf) OVER (PARTITION BY query_id), 0), 0) AS r FROM qt JOIN (SELECT DISTINCT entity, idf FROM g) USING (entity))",
+        *steps,
+        f"sc AS (SELECT query_id, chunk_id, round(c, 6) AS score FROM {spread.format(graph.ITERATIONS)})",
+    ) + f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank, chunk_id, score FROM sc WHERE score > 0 QUALIFY rank <= {k}"
+
+
+ORACLES: dict[str, str] = {
+    "ge1_entities": _SQL_NAMES,
     "sr1_read_corpus": "SELECT doc_id, lang, source FROM documents",
     "sr2_read_golden": "SELECT CASE item_id % 9 WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'missing question' ELSE 'good' END AS reason, count(*) AS n FROM benchmark WHERE item_id % 9 <> 3 GROUP BY ALL",
+    "sr4_intake": """
+WITH t AS (SELECT coalesce(source, 'none') AS source, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS length FROM documents GROUP BY ALL),
+f AS (SELECT source, 'text/plain' AS mime_type, length, CASE WHEN length > 52428 THEN 'too large' END AS reason FROM t UNION ALL SELECT source, 'text/csv', NULL, 'unsupported type' FROM t)
+SELECT source, mime_type, length, reason IS NULL AS accepted, reason FROM f""",
     "sr5_mime": "SELECT doc_id AS chunk_id, ['application/pdf', 'text/plain', 'text/markdown', 'text/html', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'text/csv', 'application/octet-stream', 'application/octet-stream'][doc_id % 8 + 1] AS mime_type FROM documents",
     "sr6_read_results": "SELECT 'm' || label AS mode, 'first' AS metric, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS pos, round(embedding[1]::DOUBLE, 6) AS value FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL",
     "sk1_write_chunks": "SELECT label, count(*) AS n FROM embeddings WHERE embedding IS NOT NULL GROUP BY label",
@@ -516,6 +547,7 @@ SELECT o_orderkey AS doc_id, CASE WHEN n IS NULL THEN 'failed' ELSE 'completed'
 FROM orders LEFT JOIN c ON l_orderkey = o_orderkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 100""",
     "ig10_delete_documents": "SELECT 'documents' AS \"table\", count(*) AS deleted FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'chunks', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0)",
     "ge2_build_graph": _with(INDEX, _GRAPH) + "SELECT chunk_id, entity, round(idf, 6) AS idf, round(to_chunk, 6) AS to_chunk, round(to_entity, 6) AS to_entity FROM g",
+    "ge4_ppr": _sql_ppr(10),
     "ge3_seeds": _with(INDEX, _GRAPH) + r"""
 , t AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\-]*[a-z0-9]|[a-z]')) AS entity FROM benchmark)
 SELECT query_id, entity FROM t WHERE entity IN (SELECT entity FROM g)""",

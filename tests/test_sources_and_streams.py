@@ -55,6 +55,49 @@ def test_results_round_trip(spark, tmp_path):
     assert [tuple(r) for r in io.read_results(spark, f"{tmp_path}/f.json").orderBy("pos").collect()] == [("m", "ndcg", 0, 0.5), ("m", "ndcg", 1, 1.0)]
 
 
+RESULTS = {
+    "bm25, \"fast\" {a": {
+        "n": 3, "latency_ms_p50": 1.5, "note": "x, [1, 2], {", "ndcg": {"mean": 0.5, "ci": [0.1, 0.9]},
+        "per_query": {"ndcg": [0.5 + i / 8192 for i in range(700)], "none": [], "a,b:[7,8": [1, None, -2.5e-3], "one": [4]},
+    },
+    "empty": {},
+    "plain": {"hits": [1.0, 0.0], "é\\\\,": [3]},
+}
+
+
+@pytest.mark.parametrize("split, indent", [("128m", None), ("97", None), ("61", 2)])
+def test_result_files_are_read_in_parts(spark, tmp_path, split, indent):
+    import json
+
+    for name in "ab":
+        (tmp_path / f"{name}.json").write_text(json.dumps(RESULTS, indent=indent, ensure_ascii=name == "a"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = [tuple(r) for r in io.read_results(spark, f"{tmp_path}/*.json").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = []
+    for mode, body in RESULTS.items():
+        arrays = body.get("per_query", {k: v for k, v in body.items() if isinstance(v, list)})
+        want += [(mode, m, i, v) for m, values in arrays.items() for i, v in enumerate(values)]
+    assert sorted(got, key=repr) == sorted([(a, b, c, None if v is None else float(v)) for a, b, c, v in want] * 2, key=repr)
+
+
+def test_written_result_files_are_json(spark, tmp_path):
+    import json
+
+    data = [(m, k, i, None if i == 1 else i / 4) for m in ('a "x", {', "b") for k in ("hit", "rr") for i in range(3)]
+    df = spark.createDataFrame(data, "mode string, metric string, pos long, value double")
+    io.write_result_files(df.repartition(3), f"{tmp_path}/r")
+    files = [json.loads(f.read_text()) for f in (tmp_path / "r").glob("*/part-*.txt")]
+    assert sorted(k for f in files for k in f) == ['a "x", {', "b"]
+    assert all(body == {"n": 3, "per_query": {"hit": [0.0, None, 0.5], "rr": [0.0, None, 0.5]}} for f in files for body in f.values())
+    assert sorted(map(tuple, io.read_results(spark, f"{tmp_path}/r/*").collect()), key=repr) == sorted(data, key=repr)
+
+
 def test_rate_limit_stream_matches_batch(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     data = [(i, t0 + dt.timedelta(seconds=7 * i), f"c{i % 3}", "s", "POST" if i % 5 else "GET") for i in range(90)]
