@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions import sql as U
 from tessera.functions import text as T
-from tessera.operators import answer, fusion, graph, ingest, lexical, traces
+from tessera.operators import answer, fusion, graph, ingest, lexical, stats, traces
 from tessera.plans import retrieval as P
 from tessera.sources import io
 from tessera.sources.scratch import kept, shared_dir
 from tessera.streaming import streams
 
 from .answers import _QA, _SCORED, sql_f1, sql_norm, sql_redact
-from .evaluation import _PARAS, paragraphs
+from .evaluation import _DIFFS, _P, _PARAS, _boot, paragraphs
 from .retrieval import _SET, _index, _jaccard, _with
 from .tables import BM25, INDEX, corpus, questions, table, vectors, vector_queries, sql_list
 
@@ -216,13 +216,21 @@ def _ab(s, d) -> DataFrame:
     return P.retrieval_ab(samples, c, P.RetrievalConfig(mode="dense"), P.RetrievalConfig(mode="hybrid"))
 
 
-_HYBRID = """
+
+def _sql_hybrid(depth: int, more: str = "") -> str:
+    """The arms to a depth and their fusion."""
+    return f"""
 q AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id WHERE embedding IS NOT NULL),
 ds AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE embedding IS NOT NULL AND vec_id IN (SELECT doc_id FROM documents)),
-dn AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank, chunk_id, score FROM ds QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 20),
-arms AS (SELECT query_id, 'dense' AS arm, rank, chunk_id, score FROM dn UNION ALL SELECT query_id, 'sparse', rank, chunk_id, score FROM bm25 WHERE rank <= 20),
+dn AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank, chunk_id, score FROM ds QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= {depth}),
+arms AS (SELECT query_id, 'dense' AS arm, rank, chunk_id, score FROM dn UNION ALL SELECT query_id, 'sparse', rank, chunk_id, score FROM bm25 WHERE rank <= {depth}{more}),
 fu AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 6) AS rrf, min(struct_pack(arm := arm, rank := rank)) AS f, max(CASE arm WHEN 'dense' THEN score END) AS dense, max(CASE arm WHEN 'sparse' THEN score END) AS sparse FROM arms GROUP BY ALL)"""
 
+
+_HYBRID = _sql_hybrid(20)
+_TOP10 = """
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, f)::INTEGER AS rank, chunk_id, rrf AS score FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, f) <= 10"""
+
 # ── traces ─────────────────────────────────────────────────────────────────
 
 
@@ -358,7 +366,7 @@ def _drained(s, stream: DataFrame, tag: str) -> DataFrame:
 
 
 def _limit_stream(s, d) -> DataFrame:
-    return _drained(s, streams.rate_limit_stream(_as_stream(s, _requests(s, d), "requests", "ts"), 2, 86_400), "limited")
+    return _drained(s, streams.rate_limit_stream(_as_stream(s, _requests(s, d), "requests", "ts"), 2, 86_400), "limited").select("request_id", "allowed", "retry_after")
 
 
 def tokens(s, d) -> DataFrame:
@@ -495,14 +503,14 @@ SELECT chunk_id, entity, bool_or(coded OR CASE WHEN gap = '' THEN n > 0 ELSE NOT
 FROM m WHERE coded OR named GROUP BY chunk_id, entity"""
 
 
-def _sql_ppr(k: int) -> str:
-    """The walk over names, one step after the other."""
+def _ppr_steps(k: int) -> list[str]:
+    """ppr: the walk over names, one step after the other, and its k best chunks."""
     steps = ["m0 AS MATERIALIZED (SELECT query_id, entity, r AS m FROM st)"]
     spread = "(SELECT query_id, chunk_id, sum(m * to_chunk) AS c FROM m{} JOIN g USING (entity) GROUP BY ALL)"
     for i in range(graph.ITERATIONS):
         steps.append(f"b{i} AS MATERIALIZED (SELECT query_id, entity, sum(c * to_entity) AS b FROM {spread.format(i)} JOIN g USING (chunk_id) GROUP BY ALL)")
         steps.append(f"m{i + 1} AS MATERIALIZED (SELECT query_id, entity, {graph.RESTART} * coalesce(r, 0) + (1 - {graph.RESTART})::DOUBLE * coalesce(b, 0) AS m FROM b{i} FULL JOIN st USING (query_id, entity))")
-    return _with(
+    return [
         f"nm AS MATERIALIZED ({_SQL_NAMES})",
         "n AS (SELECT count(*) AS n FROM documents)",
         f"gd AS (SELECT entity, count(*) AS df FROM nm, n GROUP BY entity, n HAVING bool_or(proven) AND count(*) <= greatest(2, floor({graph.MAX_DF} * n)))",
@@ -512,8 +520,21 @@ def _sql_ppr(k: int) -> str:
         "st AS MATERIALIZED (SELECT query_id, entity, coalesce(idf / nullif(sum(idf) OVER (PARTITION BY query_id), 0), 0) AS r FROM qt JOIN (SELECT DISTINCT entity, idf FROM g) USING (entity))",
         *steps,
         f"sc AS (SELECT query_id, chunk_id, round(c, 6) AS score FROM {spread.format(graph.ITERATIONS)})",
-    ) + f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank, chunk_id, score FROM sc WHERE score > 0 QUALIFY rank <= {k}"
-
+        f"ppr AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank, chunk_id, score FROM sc WHERE score > 0 QUALIFY rank <= {k})",
+    ]
+
+
+#: Two rankings of the same questions, judged by the question's own text.
+_AB = (
+    "runs AS (SELECT 'a' AS run, query_id, rank, chunk_id FROM dn WHERE rank <= 10 UNION ALL SELECT 'b', query_id, rank, chunk_id FROM (" + _TOP10 + "))",
+    f"jw AS (SELECT run, query_id, rank, {_SET.format('d.text')} AS c, {_SET.format('b.text')} AS g FROM runs JOIN documents d ON doc_id = chunk_id JOIN benchmark b ON item_id = query_id)",
+    f"jl AS (SELECT run, query_id, rank, ({_jaccard('c', 'g')} >= 0.5)::INTEGER AS l FROM jw)",
+    "jr AS (SELECT run, query_id, coalesce(list(l ORDER BY rank) FILTER (rank IS NOT NULL), []) AS labels FROM (SELECT item_id AS query_id, run FROM benchmark JOIN embeddings ON vec_id = item_id, (VALUES ('a'), ('b')) t(run)) LEFT JOIN jl USING (run, query_id) GROUP BY ALL)",
+    "jm AS (SELECT run, query_id, coalesce(list_max(labels), 0) AS hit, CASE WHEN list_contains(labels, 1) THEN 1 / list_position(labels, 1) ELSE 0 END AS mrr,"
+    " CASE WHEN list_contains(labels, 1) THEN list_sum(list_transform(range(1, len(labels) + 1), lambda i: labels[i] / log2(i + 1))) / list_sum(list_transform(range(1, list_sum(labels)::BIGINT + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg FROM jr)",
+    "jv AS (SELECT run, query_id, unnest(['mrr', 'hit_rate', 'ndcg_at_10', 'recall_at_10', 'full_support_at_10']) AS metric, unnest([round_even(mrr::DOUBLE, 4), hit::DOUBLE, round_even(ndcg::DOUBLE, 4), hit::DOUBLE, hit::DOUBLE]) AS v FROM jm)",
+    "prs AS (SELECT metric, x.query_id AS sample_index, x.v AS a, y.v AS b FROM jv x JOIN jv y USING (metric, query_id) WHERE x.run = 'a' AND y.run = 'b')",
+)
 
 ORACLES: dict[str, str] = {
     "ge1_entities": _SQL_NAMES,
@@ -547,12 +568,19 @@ SELECT o_orderkey AS doc_id, CASE WHEN n IS NULL THEN 'failed' ELSE 'completed'
 FROM orders LEFT JOIN c ON l_orderkey = o_orderkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 100""",
     "ig10_delete_documents": "SELECT 'documents' AS \"table\", count(*) AS deleted FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'chunks', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0)",
     "ge2_build_graph": _with(INDEX, _GRAPH) + "SELECT chunk_id, entity, round(idf, 6) AS idf, round(to_chunk, 6) AS to_chunk, round(to_entity, 6) AS to_entity FROM g",
-    "ge4_ppr": _sql_ppr(10),
+    "ge4_ppr": _with(*_ppr_steps(10)) + "SELECT * FROM ppr",
     "ge3_seeds": _with(INDEX, _GRAPH) + r"""
 , t AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\-]*[a-z0-9]|[a-z]')) AS entity FROM benchmark)
 SELECT query_id, entity FROM t WHERE entity IN (SELECT entity FROM g)""",
-    "pl1_retrieve_hybrid": _with(INDEX, BM25, _HYBRID) + """
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, f)::INTEGER AS rank, chunk_id, rrf AS score FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, f) <= 10""",
+    "pl1_retrieve_hybrid": _with(INDEX, BM25, _HYBRID) + _TOP10,
+    "pl1_retrieve_graph": _with(INDEX, BM25, *_ppr_steps(20), _sql_hybrid(20, " UNION ALL SELECT query_id, 'zgraph', rank, chunk_id, score FROM ppr")) + _TOP10,
+    "pl1_retrieve_rerank": _with(INDEX, BM25, _sql_hybrid(40)) + f"""
+, c AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, f) AS place FROM fu QUALIFY place <= 40),
+w AS (SELECT query_id, place, chunk_id, {_SET.format('b.text')} AS q, {_SET.format('d.text')} AS t FROM c JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = chunk_id),
+s AS (SELECT query_id, place, chunk_id, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, t)) / len(q), 4) ELSE 0 END AS score FROM w)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place)::INTEGER AS rank, chunk_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) <= 10""",
+    "ex8_retrieval_ab": _with(INDEX, BM25, _HYBRID, *_AB, _DIFFS, _boot("dif", stats.ITERATIONS), _P) + """
+SELECT metric, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(b - a), 6) AS delta, any_value(n) AS n, any_value(significant) AS significant, any_value(p_value) AS p_value FROM prs JOIN bst USING (metric) GROUP BY metric""",
     "pl2_inspect": _with(INDEX, BM25, _HYBRID) + """
 SELECT query_id, chunk_id, dense, sparse, rrf, round(dense / nullif(max(dense) OVER w, 0), 6) AS dense_share, round(sparse / nullif(max(sparse) OVER w, 0), 6) AS sparse_share, round(rrf / nullif(max(rrf) OVER w, 0), 6) AS rrf_share
 FROM fu WINDOW w AS (PARTITION BY query_id)""",
@@ -604,6 +632,15 @@ SELECT day, count(*) AS n, round(sum(lat), 4) AS latency_sum, quantile_disc(lat,
 FROM q GROUP BY day HAVING day + INTERVAL 1 DAY <= (SELECT max(ts) FROM q) - INTERVAL 1 HOUR""",
     "ud1_sql_functions": _with(_QA, f"src AS (SELECT query_id AS conv_id, 0 AS turn, answer AS t FROM qa)", _SCORED, f"nt AS (SELECT query_id, {sql_norm('question')} AS x, {sql_norm('answer')} AS y, {_SET.format('question')} AS a, {_SET.format('answer')} AS b, answer FROM qa)") + f"""
 SELECT query_id, {_jaccard('a', 'b')}::DOUBLE AS jaccard, {sql_f1('x', 'y')} AS f1, greatest(1, length(answer) // 4)::INTEGER AS n_tokens, {sql_redact('answer')} = answer AS clean, confidence FROM nt JOIN con ON conv_id = query_id""",
+    "st1_rate_limit_stream": """
+WITH e AS (SELECT *, floor(epoch(ts))::BIGINT AS s FROM events WHERE event_type IN ('purchase', 'signup')),
+n AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id, s // 86400 ORDER BY ts, event_id) AS k FROM e)
+SELECT event_id AS request_id, k <= 2 AS allowed, CASE WHEN k > 2 THEN 86400 - s % 86400 END AS retry_after FROM n""",
+    "st2_redact_stream": f"""
+WITH t AS (SELECT conv_id || '/' || turn AS answer_id, text || ' Mail jane.doe@example.org, call +44 7700 900123.' AS text FROM conversations WHERE text IS NOT NULL)
+SELECT answer_id, md5({sql_redact('text')}) AS text_md5, true AS finished FROM t""",
+    "ud2_registered_model": "SELECT item_id AS query_id, 16 AS dim FROM benchmark",
+    "ig8_embed": rf"SELECT item_id AS query_id, 32 AS dim, CASE WHEN regexp_matches(text, '\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM benchmark",
     "st1_rate_limit": """
 WITH e AS (SELECT *, event_type IN ('purchase', 'signup') AS w, epoch(ts)::BIGINT AS s0, floor(epoch(ts))::BIGINT AS s FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id, s // 86400 ORDER BY ts, event_id) AS k FROM e)
