@@ -1,7 +1,8 @@
 """HTML extraction by consensus host paths.
 
 Each page scores its containers by the unlinked text of the blocks right below
-them; the generalised path (tags and classes, digits masked) of its best one is
+them, text in an article or main element more, most of all against what follows the only
+one on the page (longer talk behind an article does not outweigh it); the generalised path (tags and classes, digits masked) of its best one is
 its vote. Spark counts the votes per host, and every page is extracted again from
 the elements on its host's best winning path: a path wins if at least SHARE of the
 host's votes are for it (so a host has at most 1 / SHARE of them). A page without
@@ -37,6 +38,8 @@ from .common import small_or_shuffled
 SHARE = 0.02
 #: Prose beside a container, relative to its own, that moves the choice to its parent: of like elements, of unnamed ones.
 LIKE, OTHER = 0.15, 0.3
+#: What the text of an article or main element counts for; of the only one on a page, beside what follows it.
+STRONG, LONE = 3.0, 8.0
 
 #: Attributes of a tag: a quote opens a value only right after "=".
 _ATTRS = r"(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+"
@@ -125,7 +128,7 @@ class Page:
         self.parent.append(parent)
         self.path.append(self.paths[key])
         self.kind.append(kind_of(tag, found))
-        self.good.append(3.0 if strong else 1.5 if _GOOD_WORDS.intersection(words) else 1.0)
+        self.good.append(STRONG if strong else 1.5 if _GOOD_WORDS.intersection(words) else 1.0)
         self.link.append(self.link[parent] or tag == "a")
         return len(self.tag) - 1
 
@@ -211,7 +214,7 @@ class Page:
         for k in range(n - 1, 0, -1):
             p = self.parent[k]
             prose[p] += prose[k]
-            holds[p] |= holds[k] or self.good[k] == 3.0
+            holds[p] |= holds[k] or self.good[k] == STRONG
             heads[p] |= heads[k] or self.tag[k] == "h1"
         for k in range(n):
             if self.kind[k] in (SOFT, HEAD) and (holds[k] or (self.kind[k] == SOFT and heads[k] and 2 * prose[k] >= prose[0])):
@@ -221,7 +224,7 @@ class Page:
         self.out = out = [False] * n
         for k in range(1, n):
             p = self.parent[k]
-            around[k] = k if self.good[k] == 3.0 else around[p]
+            around[k] = k if self.good[k] == STRONG else around[p]
             out[k] = out[p] or self.kind[k] in (SOFT, HARD) or (self.kind[k] == HEAD and not around[k])
         self.score, self.prose = [0.0] * n, [0] * n
         for (k, _, _), w in zip(self.blocks, weights):
@@ -236,7 +239,12 @@ class Page:
 
     def best(self) -> int | None:
         """The best container: by score, then the article around it, or its parent where like elements beside it hold prose too."""
-        at = max(range(len(self.tag)), key=lambda k: 0.0 if self.out[k] else self.score[k] * self.good[k])
+        worth = lambda k: 0.0 if self.out[k] else self.score[k] * self.good[k]
+        at = max(range(len(self.tag)), key=worth)
+        strong = [k for k in range(1, len(self.tag)) if self.around[k] == k and not self.around[self.parent[k]] and not self.out[k]]
+        if len(strong) == 1 and strong[0] < at and not self.around[at]:  # text behind the page's only article
+            own = max((k for k in range(strong[0], len(self.tag)) if self.around[k]), key=worth)
+            at = own if LONE / STRONG * worth(own) >= worth(at) else at
         if self.out[at] or not self.score[at]:
             return None
         at = self.around[at] or at

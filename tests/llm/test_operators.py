@@ -499,6 +499,7 @@ FRAMES = {
     "post": "<body><header class='site-header'><h1>Site</h1></header><div id=page><div class='post-body'>{body}<div class='share-buttons'>Share</div></div>"
     "<div class='sidebar'><p>{junk}</p></div><div id='comments'><div class='content'><p>{junk}</p></div></div></div></body>",
     "main": "<body><div role=navigation>menu</div><main>{body}<section class='newsletter-signup'><p>{junk}</p></section></main><div class='cookie-notice'>{junk}</div></body>",
+    "discussion": "<body><article>{body}</article><div id=discussion><p>{junk}</p><p>{junk}</p><p>{junk}</p></div></body>",
     "columns": "<body><div class='content'><div class='row'>{body}</div></div><div class=footer>{junk}</div></body>",
 }
 
@@ -525,6 +526,13 @@ def test_html_parts_that_are_text():
     assert html.main_text("a < b <i>c</i> d", None) == "a < b c d"
 
 
+def test_teasers_do_not_stand_for_the_post():
+    card = "<article><h2>Other</h2><p>" + "teaser " * 12 + "</p></article>"
+    post = " ".join(f"w{i}" for i in range(90))
+    assert html.main_text(f"<body><div class=post><p>{post}</p></div><div>{card * 3}</div></body>", None) == post
+    assert html.main_text(f"<body><div class=post><p>{post}</p></div><div>{card}</div></body>", None) == post
+
+
 def test_deep_pages_stay_small():
     assert html.main_text("<div>" * 8000 + "<p>x</p>", None) == "x"
     assert html.main_text("<div a=\"" * 8000, None) == ""
