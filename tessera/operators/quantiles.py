@@ -24,15 +24,16 @@ def _same(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], F.lit(True))
 
 
-def order_statistics(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame) -> DataFrame:
+def order_statistics(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame, times: str | None = None) -> DataFrame:
     """(keys, rank, value) for wanted (keys, rank): the value at that place, from 0, among a group's values in rising order.
 
-    rows hold no null values; NaN counts as the largest. rows are read once a round: give a kept table.
+    rows hold no null values; NaN counts as the largest. A row stands for as many as its
+    column times says, else for one. rows are read once a round: give a kept table.
     """
     x = F.col(value).cast("double")
-    rows = rows.select(*keys, x.alias("_x"))
+    rows = rows.select(*keys, x.alias("_x"), (F.col(times) if times else F.lit(1)).cast("long").alias("_times"))
     nan = F.isnan("_x")
-    ends = rows.groupBy(*keys).agg(F.min("_x").alias("low"), F.max(F.when(~nan, F.col("_x"))).alias("high"), F.count_if(~nan).alias("_numbers"))
+    ends = rows.groupBy(*keys).agg(F.min("_x").alias("low"), F.max(F.when(~nan, F.col("_x"))).alias("high"), F.sum(F.when(nan, 0).otherwise(F.col("_times"))).alias("_numbers"))
     open_ = wanted.alias("r").join(ends.alias("s"), _same(keys)).select(*[f"r.{k}" for k in keys], "r.rank", "s.low", "s.high", F.lit(0).cast("long").alias("below"), "s._numbers")
     found = open_.where("rank >= _numbers").select(*keys, "rank", F.lit(float("nan")).alias("value"))
     open_ = kept(open_.where("rank < _numbers").drop("_numbers"), "ranks")
@@ -50,7 +51,7 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, wanted: DataF
         inside = F.floor(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)) * (BINS - 1)) + 1
         at = F.when(F.col("_x") == F.col("low"), 0).when(F.col("_x") == F.col("high"), BINS + 1).otherwise(inside)
         search = [*[F.col(f"s.{k}").alias(k) for k in keys], "rank", "below"]
-        bins = met.groupBy(*search, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+        bins = met.groupBy(*search, at.alias("bin")).agg(F.sum("_times").alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
         upto = F.sum("n").over(Window.partitionBy(*keys, "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
         bins = bins.withColumn("_upto", F.col("below") + upto)
         hit = (F.col("_upto") > F.col("rank")) & (F.col("_upto") - F.col("n") <= F.col("rank"))

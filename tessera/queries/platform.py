@@ -391,7 +391,7 @@ def _rollup_stream(s, d) -> DataFrame:
 
 
 def _latency_stream(s, d) -> DataFrame:
-    return _drained(s, streams.stream_latency(_as_stream(s, query_log(s, d), "log", "created_at")), "latency")
+    return streams.latency_of_days(_drained(s, streams.stream_latency(_as_stream(s, query_log(s, d), "log", "created_at")), "latency"))
 
 
 def _cache_stream(s, d) -> DataFrame:

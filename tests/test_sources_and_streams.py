@@ -178,6 +178,17 @@ def test_ingest_stream_is_exactly_once(spark, tmp_path):
     assert status == {1: ("completed", want[1]), 2: ("failed", 0), 3: ("completed", want[3])}
 
 
+def test_latency_of_days_is_exact(spark, tmp_path):
+    """More values a day than a sketch keeps, some of them null; the last day is still open."""
+    t0 = dt.datetime(2024, 1, 1)
+    day = (F.col("id") % 2).cast("int")
+    df = spark.range(60_000).select((F.lit(t0) + F.make_dt_interval(day * 2)).alias("created_at"), F.when(F.col("id") % 1000 > 1, F.pmod(F.col("id") * 7919, F.lit(60_013)).cast("double")).alias("latency_ms"))
+    (got,) = streams.latency_of_days(drained(streams.stream_latency(stream_of(df, tmp_path, ["true"])), tmp_path)).collect()
+    values = sorted(float(i * 7919 % 60_013) for i in range(0, 60_000, 2) if i % 1000 > 1)
+    assert (got.day, got.n, got.latency_sum) == (t0.date(), 30_000, sum(values))
+    assert [got.p50, got.p95, got.p99] == [values[-(-len(values) * p // 100) - 1] for p in (50, 95, 99)]
+
+
 def test_scratch_tables_can_be_released(spark):
     from tessera.sources.scratch import kept, release
 
