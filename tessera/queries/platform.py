@@ -13,7 +13,7 @@ from tessera.functions import text as T
 from tessera.operators import answer, fusion, graph, ingest, lexical, stats, traces
 from tessera.plans import retrieval as P
 from tessera.sources import io
-from tessera.sources.scratch import kept, shared_dir
+from tessera.sources.scratch import count_files, kept, shared_dir
 from tessera.streaming import streams
 
 from .answers import _QA, _SCORED, sql_f1, sql_norm, sql_redact
@@ -346,15 +346,25 @@ def _requests(s, d) -> DataFrame:
     return table(s, d, "events").select(F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("client"), F.col("event_type").alias("scope"), method.alias("method"))
 
 
-def _as_stream(s, df: DataFrame, tag: str, order: str, files: int = 4) -> DataFrame:
-    """df written as a few files in order and read as a stream, one file per trigger."""
+def _as_stream(s, df: DataFrame, tag: str, order: str, slices: int = 4) -> DataFrame:
+    """df written in a few slices in order and read as a stream, one slice per trigger.
+
+    A slice is as many files as the table has parts, each with its share of the slice's rows.
+    """
     path = _path(s, tag)
+    df = kept(df, f"{tag}-rows")
     key = F.col(order).cast("double")
-    cuts = [float("-inf"), *df.select(key.alias("k")).approxQuantile("k", [i / files for i in range(1, files)], 0.01), float("inf")]
-    for low, high in zip(cuts, cuts[1:]):  # files are read in the order they were written
-        df.where((key > low) & (key <= high)).coalesce(1).write.mode("append").parquet(path)
+    parts = df.rdd.getNumPartitions() if df.count() >= 100_000 else 1
+    cuts = [float("-inf"), *df.select(key.alias("k")).approxQuantile("k", [i / slices for i in range(1, slices)], 0.01), float("inf")]
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:])):  # files are read in the order they were written
+        rows = df.where((key > low) & (key <= high))
+        rows = rows.repartitionById(parts, F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")) if parts > 1 else rows.coalesce(1)
+        rows.write.mode("append").parquet(path)
+        for _ in range(parts * (i + 1) - count_files(s, path, ".parquet")):  # a part without rows has no file, and triggers count files
+            df.limit(0).coalesce(1).write.mode("append").parquet(path)
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    s.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a commit writes what changed, not the whole state
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", parts).parquet(path)
 
 
 def _drained(s, stream: DataFrame, tag: str) -> DataFrame:
