@@ -197,7 +197,7 @@ def test_a_slice_of_a_feed_is_many_files(spark):
 
     feed = _as_stream(spark, spark.range(0, 200_000, 1, 4).select("id", F.lit("x").alias("text")), "feed", "id")
     seen = []
-    q = feed.writeStream.foreachBatch(lambda b, n: seen.append((*b.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first(),)))).trigger(availableNow=True).start()
+    q = feed.writeStream.foreachBatch(lambda b, n: seen.append((*b.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first(),))).trigger(availableNow=True).start()
     q.awaitTermination()
     assert len(seen) == 4 and sum(n for *_, n in seen) == 200_000
     assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
