@@ -1,5 +1,6 @@
 """Operators against values worked out by hand."""
 
+import random
 import math
 
 import pytest
@@ -396,6 +397,33 @@ def test_ppr_matches_dense_matrices(spark):
     assert got == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
 
 
+def test_ppr_in_lots_and_blocks_matches_dense_matrices(spark, monkeypatch):
+    """Several lots of queries, several blocks of chunks and sums over a few terms at a time; chunk ids are strings."""
+    import numpy as np
+
+    monkeypatch.setattr(graph, "QUERIES", 2)
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 20)
+    monkeypatch.setattr(graph, "TILE", 3)
+    draw = random.Random(3)
+    rows = sorted({(f"c{draw.randrange(40)}", f"e{draw.randrange(15)}") for _ in range(150)})
+    edges = graph.build_graph(spark.createDataFrame([(c, e, True) for c, e in rows], "chunk_id string, entity string, proven boolean"), 1000).cache()
+    asked = sorted({(q, f"e{draw.randrange(15)}") for q in range(7) for _ in range(3)})
+    got = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in graph.ppr(spark.createDataFrame(asked, "query_id long, entity string"), edges, 6).collect()}
+    es, idf = edges.collect(), {}
+    chunks, names = sorted({e.chunk_id for e in es}), sorted({e.entity for e in es})
+    t, u = np.zeros((len(chunks), len(names))), np.zeros((len(names), len(chunks)))
+    for e in es:
+        idf[e.entity] = e.idf
+        t[chunks.index(e.chunk_id), names.index(e.entity)], u[names.index(e.entity), chunks.index(e.chunk_id)] = e.to_chunk, e.to_entity
+    for q in range(7):
+        r = np.array([idf[n] if (q, n) in asked else 0.0 for n in names])
+        m = r = r / r.sum()
+        for _ in range(20):
+            m = 0.5 * r + 0.5 * (u @ (t @ m))
+        want = sorted((-round(s, 6), chunks[i]) for i, s in enumerate(t @ m) if round(s, 6) > 0)[:6]
+        assert [got[q, n + 1] for n in range(len(want))] == [(c, pytest.approx(-s, abs=2e-6)) for s, c in want]
+
+
 def test_hubs_are_dropped(spark):
     df = spark.createDataFrame([(i, "HUB here" + (" H100" if i < 2 else "")) for i in range(31)], "chunk_id long, content string")
     assert {r.entity for r in graph.build_graph(graph.entities(df), 31).collect()} == {"h100"}
