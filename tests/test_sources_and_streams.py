@@ -190,18 +190,20 @@ def test_latency_of_days_is_exact(spark, tmp_path):
 
 
 def test_a_slice_of_a_feed_is_many_files(spark):
+    import uuid
     from glob import glob
 
     from tessera.queries.platform import _as_stream
     from tessera.sources.scratch import shared_dir
 
-    feed = _as_stream(spark, spark.range(0, 200_000, 1, 4).select("id", F.lit("x").alias("text")), "feed", "id")
+    tag = f"feed{uuid.uuid4().hex}"  # the scratch folder may hold earlier feeds
+    feed = _as_stream(spark, spark.range(0, 200_000, 1, 4).select("id", F.lit("x").alias("text")), tag, "id")
     seen = []
     q = feed.writeStream.foreachBatch(lambda b, n: seen.append((*b.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first(),))).trigger(availableNow=True).start()
     q.awaitTermination()
     assert len(seen) == 4 and sum(n for *_, n in seen) == 200_000
     assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
-    assert len(glob(f"{shared_dir(spark)}/feed-[0-9a-f]*/*.parquet")) == 16
+    assert len(glob(f"{shared_dir(spark)}/{tag}-[0-9a-f]*/*.parquet")) == 16
 
 
 def test_rate_limit_stream_orders_a_large_window(spark, tmp_path):
