@@ -3,6 +3,7 @@
 import random
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +244,23 @@ def test_ann_on_odd_vectors(spark):
     assert dense.ann_knn(q, dense.build_ann(spark.createDataFrame([], schema), 5), 5).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_knn_holds_few_candidates(spark, monkeypatch, kind):
+    """A few scores at a time, among many copies of one vector whose smallest ids win: no task passes on more than it may hold."""
+    monkeypatch.setattr(dense, "SCORES", 64)
+    rows = [(f"{i:04}" if kind == "string" else i, [1.0, 0.0] if i % 3 else [0.6, 0.1 + i / 900]) for i in range(900)]
+    v = spark.createDataFrame(random.Random(1).sample(rows, 900), f"chunk_id {kind}, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, embedding array<float>")
+    got = [(r.query_id, r.chunk_id) for r in dense.knn(q, v, 4).orderBy("query_id", "rank").collect()]
+    want = [i for i, _ in rows if int(i) % 3][:4], [i for i, _ in rows if int(i) % 3 == 0][:-5:-1]
+    assert got == [(1, i) for i in want[0]] + [(2, i) for i in want[1]]
+    best = dense._Best(2, 4, 1e-6)
+    for at in range(0, 100_000, 1000):
+        best.add(np.repeat([0, 1], 500), np.arange(at, at + 1000), np.ones(1000))
+    best.trim()
+    assert len(best.who) == 8 and best.room < 5000
+
+
 def test_knn_takes_the_width_of_most_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0])], "chunk_id long, embedding array<float>")
     q = spark.createDataFrame([(7, [1.0, 0.0]), (8, [1.0, 0.0, 5.0])], "query_id long, embedding array<float>")
