@@ -721,3 +721,37 @@ def test_agentic_merges_the_hops(spark):
     cfg = RetrievalConfig(mode="hybrid", strategy="agentic", complete=reply, embed=vec, top_k=3)
     got = P.retrieve(vec(spark.createDataFrame([(7, "apples and berries")], "query_id long, text string")), P.Corpus(chunks, lexical.build_index(chunks)), cfg).collect()
     assert {r.chunk_id for r in got if r.rank <= 2} == {1, 2} and {r.query_id for r in got} == {7}
+
+
+# ── golden checks at size ──────────────────────────────────────────────────
+
+
+def test_near_dupes_meet_few_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join([f"common{j}" for j in range(40)] + [f"w{rng.randrange(60)}" for _ in range(60)]) for _ in range(120)]
+    texts += [t + " more" for t in texts[:5]] + ["", "common1"]
+    c = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    p = spark.createDataFrame([(i, texts[i]) for i in (0, 3, 60)] + [(900, "x y z"), (901, "x q z r")], "passage_id long, content string")
+    c = c.unionByName(spark.createDataFrame([(800, "x y z q")], c.schema))
+    sets = {r.chunk_id: set(r.content.split()) for r in c.collect()}
+    want = {(r.passage_id, k) for r in p.collect() for k, w in sets.items() if w and len(w & set(r.content.split())) * 2 >= len(w | set(r.content.split()))}
+    kept_, seen = golden.kept, {}
+    monkeypatch.setattr(golden, "kept", lambda df, tag: seen.setdefault(tag, kept_(df, tag)) if tag == "near-candidates" else kept_(df, tag))
+    assert {(r.passage_id, r.chunk_id) for r in golden.near_dupes(c, p).collect()} == want
+    assert {(900, 800), (901, 800)} <= want and len(want) <= seen["near-candidates"].count()
+    texts = [" ".join([f"common{j}" for j in range(40)] + [f"own{i}x{j}" for j in range(60)]) for i in range(100)]
+    c = spark.createDataFrame(list(enumerate(texts)), c.schema)
+    seen.clear()
+    assert golden.near_dupes(c, c.where("chunk_id < 50").withColumnRenamed("chunk_id", "passage_id")).count() == 50
+    assert seen["near-candidates"].count() == 50
+
+
+def test_facts_of_one_word_need_no_second_look(spark, monkeypatch):
+    texts = ["The river, 4,000 m", "rivers bend", "a river", "river-bed", "one two three four five", "one two  three four six", "one two three, four five.", None, "° § °", "µ"]
+    c = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    f = spark.createDataFrame([(1, ["river"]), (2, ["two three four five", "bend"]), (3, ["river,"]), (4, ["4000"]), (5, ["§"]), (6, [""]), (7, ["three four six"]), (8, ["one two"])], "fact_id long, wordings array<string>")
+    seen, stated = [], golden._stated
+    monkeypatch.setattr(golden, "_stated", lambda rows: seen.append(rows) or stated(rows))
+    got = {(r.fact_id, r.chunk_id) for r in golden.facts_in(f, c).collect()}
+    assert got == {(1, 0), (1, 2), (1, 3), (2, 1), (2, 4), (3, 0), (4, 0), (5, 8), (7, 5), (8, 4), (8, 5), (8, 6)}
+    assert not {1, 4} & {r.fact_id for df in seen for r in df.select("fact_id").collect()}
