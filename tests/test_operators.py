@@ -755,3 +755,22 @@ def test_facts_of_one_word_need_no_second_look(spark, monkeypatch):
     got = {(r.fact_id, r.chunk_id) for r in golden.facts_in(f, c).collect()}
     assert got == {(1, 0), (1, 2), (1, 3), (2, 1), (2, 4), (3, 0), (4, 0), (5, 8), (7, 5), (8, 4), (8, 5), (8, 6)}
     assert not {1, 4} & {r.fact_id for df in seen for r in df.select("fact_id").collect()}
+
+
+def test_the_analyser_holds_few_texts_and_stems(spark, monkeypatch):
+    texts = ["run " * 300, None, "", "running dogs", "dog " * 500] * 3
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string").coalesce(1)
+    monkeypatch.setattr(lexical, "PIECE", 1000)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"chunk_id": list(range(len(texts))), "content": texts})
+    pieces = list(lexical._pieces(batch))
+    assert len(pieces) > 3 and [x for _, held in pieces for x in held] == texts
+    assert [at for at, _ in pieces] == [sum(len(h) for _, h in pieces[:i]) for i in range(len(pieces))]
+    got = {r.chunk_id: (r.dl, {w.term: w.tf for w in r.words}) for r in lexical.forward_of(chunks).collect()}
+    assert [got[i] for i in range(5)] == [(300, {"run": 300}), (None, {}), (0, {}), (2, {"run": 1, "dog": 1}), (500, {"dog": 500})]
+    stems = stemmer.Stems()
+    monkeypatch.setattr(stemmer.Stems, "LIMIT", 3)
+    assert [stems[w] for w in ("dogs", "cats", "runs", "walks")] == ["dog", "cat", "run", "walk"] and len(stems) <= 3
+    monkeypatch.undo()
+    assert stemmer.Stems.LIMIT <= 250_000
