@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tessera.operators.lexical import Index, forward_of, gain_col, postings_of
-from tessera.sources.scratch import exists, kept, small_or_shuffled
+from tessera.sources.scratch import BROADCAST_ROWS, exists, kept, small_or_shuffled
 
 WORDS = "array<struct<term: string, tf: int>>"
 
@@ -56,7 +56,9 @@ class LexicalStore:
         if before is not None:
             rows, gone = rows.where(F.col("batch") < before), gone.where(F.col("batch") < before)
         last = kept(gone.groupBy("chunk_id").agg(F.max("batch").alias("_gone")), "gone")
-        rows = rows.join(small_or_shuffled(last), "chunk_id", "left")
+        n = last.count()
+        # hashed where it is large, so that the long side needs no sort
+        rows = rows.join(small_or_shuffled(last, n) if n <= BROADCAST_ROWS else last.hint("shuffle_hash"), "chunk_id", "left")
         return rows.where(F.col("_gone").isNull() | (F.col("batch") >= F.col("_gone"))).drop("_gone")
 
     def apply(self, batch: int, new: DataFrame | None = None, delete: DataFrame | None = None) -> None:
@@ -75,12 +77,17 @@ class LexicalStore:
         count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
         stats = signed.agg(count("sign").alias("n_chunks"), count(F.when(F.col("dl").isNotNull(), F.col("sign"))).alias("filled"), count(F.col("dl") * F.col("sign")).alias("tokens"))
         order = ["term", "chunk_id"]
+        # a table by now, so that ranges are sampled without the words being counted again
         for name, rows in (("forward", fresh), ("postings", postings_of(fresh).repartitionByRange(*order).sortWithinPartitions(*order)), ("terms", terms), ("stats", stats), ("gone", gone)):
             self._write(name, rows, batch, generation)
 
+    def postings(self) -> DataFrame:
+        """The live postings alone: no figures are worked out for them."""
+        return self._live("postings").select("term", "chunk_id", "tf", "dl")
+
     def index(self) -> Index:
         """The live index, its tables as a rebuild would give them."""
-        forward, postings = self._live("forward").drop("batch"), self._live("postings").select("term", "chunk_id", "tf", "dl")
+        forward, postings = self._live("forward").drop("batch"), self.postings()
         sums = self._table("stats").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_chunks", "filled", "tokens")])
         stats = kept(sums.select("n_chunks", (F.col("tokens") / F.nullif("filled", F.lit(0))).alias("avgdl")), "stats")
         df = self._table("terms").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
@@ -93,9 +100,11 @@ class LexicalStore:
         last = self._table("stats").agg(F.max("batch")).first()[0]
         if last is None:
             return
-        live, order = self._live("forward").drop("batch"), ["term", "chunk_id"]
-        self._write("forward", live, last, generation + 1)
-        self._write("postings", self._live("postings").drop("batch").repartitionByRange(*order).sortWithinPartitions(*order), last, generation + 1)
+        order = ["term", "chunk_id"]
+        self._write("forward", self._live("forward").drop("batch"), last, generation + 1)
+        # postings come from the rows just written: they need not meet what was taken out once more
+        live = self.spark.read.schema(self.schemas["forward"]).parquet(f"{self.path}/generation={generation + 1}/forward")
+        self._write("postings", postings_of(live).repartitionByRange(*order).sortWithinPartitions(*order), last, generation + 1)
         self._write("terms", self._table("terms").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0"), last, generation + 1)
         self._write("stats", self._table("stats").agg(*[F.sum(c).alias(c) for c in ("n_chunks", "filled", "tokens")]), last, generation + 1)
         self.spark.createDataFrame([(generation + 1, last)], self.schemas["generations"]).coalesce(1).write.mode("append").parquet(f"{self.path}/generations")

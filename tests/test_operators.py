@@ -774,3 +774,23 @@ def test_the_analyser_holds_few_texts_and_stems(spark, monkeypatch):
     assert [stems[w] for w in ("dogs", "cats", "runs", "walks")] == ["dog", "cat", "run", "walk"] and len(stems) <= 3
     monkeypatch.undo()
     assert stemmer.Stems.LIMIT <= 250_000
+
+
+def test_kept_up_postings_need_no_figures(spark, tmp_path, monkeypatch):
+    from tessera.operators import index_store
+
+    store = LexicalStore(spark, str(tmp_path / "store"))
+    rows_of = lambda *r: spark.createDataFrame(list(r), "chunk_id long, content string")
+    store.apply(0, rows_of((1, "old words"), (2, "red fox"), (3, "blue")))
+    store.apply(1, rows_of((1, "red hen")))
+    monkeypatch.setattr(index_store, "BROADCAST_ROWS", 0)
+    read = []
+    live = store._live
+    monkeypatch.setattr(store, "_live", lambda name, before=None: read.append(name) or live(name, before))
+    store.compact()
+    assert read == ["forward"]
+    store.apply(2, delete=rows_of((3, "")))
+    read.clear()
+    got = {(r.term, r.chunk_id, r.tf, r.dl) for r in store.postings().collect()}
+    assert got == {("red", 1, 1, 2), ("hen", 1, 1, 2), ("red", 2, 1, 2), ("fox", 2, 1, 2)} and read == ["postings"]
+    assert {tuple(r) for r in store.index().postings.select("term", "chunk_id", "tf", "dl").collect()} == got
