@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,10 +104,52 @@ def get_trace(traces: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     return spans.join(F.broadcast(found.limit(1)), "trace_id", "left_semi").orderBy("start_time", "span_id")
 
 
+#: Spans of a trace that one row may hold; larger traces are walked as linked lists.
+SMALL = 1000
+
+
+def _walk(ids: list, parents: list, copies: list[int]) -> list[tuple[int, int]]:
+    """(place, depth) of the spans of one trace, depth first; they come in the order of siblings."""
+    first = {s: i for i, (s, c) in enumerate(zip(ids, copies)) if c == 1 and s is not None}
+    ups = [None if p is None else first.get(p) for p in parents]
+    below: dict[int | None, list[int]] = {}
+    for i in range(len(ids) - 1, -1, -1):
+        below.setdefault(ups[i], []).append(i)
+    out, stack = [], [(i, 0) for i in below.get(None, ())]
+    while stack:
+        i, depth = stack.pop()
+        up = ups[i] if copies[i] > 1 else None
+        while up is not None and up != first.get(ids[i]):
+            up = ups[up]
+        if up is None:
+            out.append((i, depth))
+        stack += [(j, depth + 1) for j in below.get(i, ())]
+    return out
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        edges, flat = b.column(1).offsets.to_numpy(), b.column(1).values
+        ids, parents, copies = (flat.field(c).to_pylist() for c in ("span_id", "parent_span_id", "_copy"))
+        rows, at, ords, depths = [], [], [], []
+        for row, (s, e) in enumerate(zip(edges[:-1], edges[1:])):
+            found = _walk(ids[s:e], parents[s:e], copies[s:e])
+            rows += [row] * len(found)
+            at += [s + i for i, _ in found]
+            ords += range(1, len(found) + 1)
+            depths += [d for _, d in found]
+        at = pa.array(at, pa.int32())
+        cols = [b.column(0).take(pa.array(rows, pa.int32())), pa.array(ords, pa.int32()), flat.field("span_id").take(at), pa.array(depths, pa.int32())]
+        yield pa.RecordBatch.from_arrays([*cols, *[flat.field(c).take(at) for c in _SHARES]], names=["trace_id", "ord", "span_id", "depth", *_SHARES])
+
+
+_SHARES = ("offset_pct", "width_pct")
+
+
 def waterfall(spans: DataFrame) -> DataFrame:
     """TR7: (trace_id, ord, span_id, depth, offset_pct, width_pct): depth first, siblings by start; orphans are roots.
 
-    Every span opens and closes once on a walk through its trace, which is a linked
+    A trace of up to SMALL spans is walked in its own row. In larger ones, every span opens and closes once on a walk through its trace, which is a linked
     list: an opening leads to the first child's or to its own close, a close to the
     next sibling's opening or to the parent's close. Sums from each step to the end of
     the list, found by doubling pointers, give place (openings) and depth (openings
@@ -124,6 +168,14 @@ def waterfall(spans: DataFrame) -> DataFrame:
         copy.alias("_copy"), F.count(F.lit(1)).over(own).alias("_spans"), F.monotonically_increasing_id().alias("node"),
     )
     flat = kept(flat, "waterfall")
+    kind = {f.name: f.dataType.simpleString() for f in flat.schema}
+    # sorted like siblings: by start, id and node
+    group = F.array_sort(F.collect_list(F.struct("start_time", "span_id", "node", "parent_span_id", "_copy", *_SHARES))).alias("spans")
+    schema = f"trace_id {kind['trace_id']}, ord int, span_id {kind['span_id']}, depth int, offset_pct double, width_pct double"
+    small = flat.where(F.col("_spans") <= SMALL).groupBy("trace_id").agg(group).mapInArrow(_walked, schema)
+    flat = flat.where(F.col("_spans") > SMALL)
+    if flat.isEmpty():
+        return small
     first = flat.where("_copy = 1").select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("node").alias("up"))
     tree = flat.join(first, ["trace_id", "parent_span_id"], "left")
     # siblings in order, the roots of a trace among themselves; up stays null for roots
@@ -148,7 +200,7 @@ def waterfall(spans: DataFrame) -> DataFrame:
     repeats = repeats.join(at(opened, "again", "_n"), "again").join(at(opened, "up", "_from"), "up").join(at(ended.where("NOT _open"), "up", "_to"), "up")
     placed = flat.join(opened, "node").join(repeats.where("_n < _from and _n > _to").select(F.col("again").alias("node")), "node", "left_anti")
     place = F.row_number().over(own.orderBy(F.desc("n")))
-    return placed.select("trace_id", place.alias("ord"), "span_id", "depth", "offset_pct", "width_pct")
+    return small.unionByName(placed.select("trace_id", place.alias("ord"), "span_id", "depth", "offset_pct", "width_pct"))
 
 
 def resolve_feedback(feedback: DataFrame, traces: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -794,3 +794,21 @@ def test_kept_up_postings_need_no_figures(spark, tmp_path, monkeypatch):
     got = {(r.term, r.chunk_id, r.tf, r.dl) for r in store.postings().collect()}
     assert got == {("red", 1, 1, 2), ("hen", 1, 1, 2), ("red", 2, 1, 2), ("fox", 2, 1, 2)} and read == ["postings"]
     assert {tuple(r) for r in store.index().postings.select("term", "chunk_id", "tf", "dl").collect()} == got
+
+
+def test_small_traces_are_walked_in_their_own_row(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    for t in "abcdefgh":
+        for i in range(30):
+            rows.append((t, f"{t}{rng.randrange(26):02d}", rng.choice([None, "lost", *[f"{t}{j:02d}" for j in range(i)]]), i))
+    rows += [("h", "h40", "h41", 3), ("h", "h41", "h40", 4), ("h", "h42", "h42", 5), ("g", None, "g01", 9), ("g", None, None, 9)]
+    spans, tags, kept_ = _spans_of(spark, rows), [], traces.kept
+    monkeypatch.setattr(traces, "kept", lambda df, tag: tags.append(tag) or kept_(df, tag))
+    of = lambda: sorted(map(repr, (tuple(r) for r in traces.waterfall(spans).collect())))
+    rowwise = of()
+    assert tags == ["waterfall"]
+    monkeypatch.setattr(traces, "SMALL", 31)
+    mixed = of()
+    monkeypatch.setattr(traces, "SMALL", 0)
+    assert rowwise == of() == mixed and len(tags) > 5
