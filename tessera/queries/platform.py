@@ -346,6 +346,10 @@ def _requests(s, d) -> DataFrame:
     return table(s, d, "events").select(F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("client"), F.col("event_type").alias("scope"), method.alias("method"))
 
 
+#: Rows of a table that a stream's feed writes a slice of as one file; texts are long, so they are few.
+ONE_PART = 10_000
+
+
 def _as_stream(s, df: DataFrame, tag: str, order: str, slices: int = 4) -> DataFrame:
     """df written in a few slices in order and read as a stream, one slice per trigger.
 
@@ -354,7 +358,7 @@ def _as_stream(s, df: DataFrame, tag: str, order: str, slices: int = 4) -> DataF
     path = _path(s, tag)
     df = kept(df, f"{tag}-rows")
     key = F.col(order).cast("double")
-    parts = df.rdd.getNumPartitions() if df.count() >= 100_000 else 1
+    parts = df.rdd.getNumPartitions() if df.count() >= ONE_PART else 1
     cuts = [float("-inf"), *df.select(key.alias("k")).approxQuantile("k", [i / slices for i in range(1, slices)], 0.01), float("inf")]
     for i, (low, high) in enumerate(zip(cuts, cuts[1:])):  # files are read in the order they were written
         rows = df.where((key > low) & (key <= high))

@@ -1,5 +1,7 @@
 """Files in and out, and streams against their batch twins."""
 
+import uuid
+import os
 import datetime as dt
 import random
 
@@ -236,3 +238,14 @@ def test_scratch_tables_can_be_released(spark):
     assert df.count() == 3 and __import__("os").path.exists(path)
     release(spark)
     assert not __import__("os").path.exists(path)
+
+
+def test_a_feed_of_some_thousand_texts_is_no_single_task(spark):
+    from tessera.queries.platform import ONE_PART, _as_stream
+    from tessera.sources.scratch import shared_dir
+
+    tag = f"few-{uuid.uuid4().hex}"
+    feed = _as_stream(spark, spark.range(0, ONE_PART, 1, 4).select("id", F.lit("x").alias("text")), tag, "id")
+    at = next(p for p in os.listdir(shared_dir(spark)) if p.startswith(tag) and not p.startswith(f"{tag}-rows"))
+    files = [spark.read.parquet(f"{shared_dir(spark)}/{at}/{f}").count() for f in os.listdir(f"{shared_dir(spark)}/{at}") if f.endswith(".parquet")]
+    assert feed.isStreaming and sum(files) == ONE_PART and len(files) >= 8 and max(files) < ONE_PART / 4
