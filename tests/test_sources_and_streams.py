@@ -1,9 +1,9 @@
 """Files in and out, and streams against their batch twins."""
 
-import uuid
-import os
 import datetime as dt
+import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
