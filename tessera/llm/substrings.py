@@ -13,10 +13,10 @@ that passage covers it. Groups in which places stay open go on, taken members to
 * Exact repeats, in groups of any size: a run of LENGTH equal shingles has its
   minimum at the same place in both texts, so places meet again on runs of DEEP
   shingles around them, and where those lead to no passage on all runs of LENGTH.
-* Repeats with an edit: in groups of at most GROUP places, the shingles around each
-  place tell which are alike there; larger groups are first split by the least
-  shingle further away. What is still larger than GROUP then is left to the exact
-  repeats (such a group agrees on 17 words and a further shingle beside them).
+* Repeats with an edit, in groups of any size: the shingles around each place tell
+  which are alike there. Groups of more than TILE places are dealt into tiles, and
+  every two tiles of a group meet in a task. Of groups that hold the same places one
+  is enough.
 
 Equal texts are one text; each copy is a row of its own that names it.
 Defined results: null, empty and texts of under 50 words have no passage;
@@ -47,8 +47,10 @@ SHARED = int(np.ceil(2 * LENGTH * SIMILARITY / (1 + SIMILARITY)))
 HASHES = 4
 #: Shingles beside a minimum (every fourth of 12) that must agree on one side.
 BESIDE = (4, 8, 12)
-#: Places of a group that are compared with each other.
-GROUP = 256
+#: Places of a tile; a task compares the places of two tiles at a time.
+TILE = 16_384
+#: Places from which on those that may be alike are looked up instead of compared with all.
+INDEXED = 4096
 #: Shingles of the runs that stand for runs of LENGTH: each of these holds one of them at one of few places.
 DEEP = 43
 FACTORS = multipliers(HASHES, 7)
@@ -251,37 +253,28 @@ def _refined(how: str):
     """Rows (key, c, open, extra) of places under finer keys.
 
     deep: runs of DEEP shingles that hold the place, by STEP of their start (extra: what the run has before the place);
-    whole: all runs of LENGTH among those of such a start; far: the least shingle beyond BESIDE on each side.
+    whole: all runs of LENGTH among those of such a start.
     """
     step = LENGTH - DEEP + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, h, (key, c, open_, extra) in _places(b):
-                c, own, before, n = c.to_numpy(), key.to_numpy(), extra.to_numpy(), len(h)
+            for text, h, (_, c, open_, extra) in _places(b):
+                c, before, n = c.to_numpy(), extra.to_numpy(), len(h)
                 if how == "deep":  # a place has come under several keys, which play no part here
                     c, at = np.unique(c, return_inverse=True)
                     free = np.zeros(len(c), bool)
                     free[at[open_.to_numpy(zero_copy_only=False)]] = True
                     open_ = pa.array(free)
                 rows = np.arange(len(c))
-                if how == "far":
-                    key, at = [], []
-                    for lo, hi in ((BESIDE[-1] + 1, LENGTH - 10), (10 - LENGTH + 1, -BESIDE[-1])):
-                        fits = rows[(c + lo >= 0) & (c + hi <= n)]
-                        least = (np.lib.stride_tricks.sliding_window_view(h.astype(np.uint64) * FACTORS[1], hi - lo).min(1) if n >= hi - lo else np.zeros(0, np.uint64))
-                        key.append(mixed(least[c[fits] + lo] ^ own[fits].view(np.uint64)) + np.uint64(lo > 0))
-                        at.append(fits)
-                    extra = [np.zeros(len(x), np.int32) for x in at]
-                else:
-                    runs, key, at, extra = Runs(h), [], [], []
-                    wide = DEEP if how == "deep" else LENGTH
-                    for a in (*range(0, DEEP - 1, step), DEEP - 1) if how == "deep" else range(step):
-                        start = c - a if how == "deep" else c - before - a
-                        fits = rows[(start >= 0) & (start + wide <= n) & (start <= c) & (start + wide > c)]
-                        key.append(runs(start[fits], start[fits] + wide) + np.uint64(a if how == "deep" else 0))
-                        at.append(fits)
-                        extra.append(np.full(len(fits), a, np.int32))
+                runs, key, at, extra = Runs(h), [], [], []
+                wide = DEEP if how == "deep" else LENGTH
+                for a in (*range(0, DEEP - 1, step), DEEP - 1) if how == "deep" else range(step):
+                    start = c - a if how == "deep" else c - before - a
+                    fits = rows[(start >= 0) & (start + wide <= n) & (start <= c) & (start + wide > c)]
+                    key.append(runs(start[fits], start[fits] + wide) + np.uint64(a if how == "deep" else 0))
+                    at.append(fits)
+                    extra.append(np.full(len(fits), a, np.int32))
                 at, m = np.concatenate(at), sum(map(len, at))
                 cols = [np.concatenate(key).view(np.int64), np.full(m, text), np.full(m, n, np.int32), c[at]]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), open_.take(pa.array(at)), pa.array(np.concatenate(extra))], names=[*_KEYED, "extra"])
@@ -306,11 +299,42 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(cols, names=["tile", "text_hash", "n", "open", "near"])
 
 
-def alike(near: np.ndarray, i: int) -> np.ndarray:
+class Near:
+    """Members (columns of near) by the shingle at each offset from the place."""
+
+    def __init__(self, near: np.ndarray):
+        self.order = [np.argsort(row, kind="stable").astype(np.int32) for row in near]
+        self.ranked = [row[order] for row, order in zip(near, self.order)]
+
+    def may(self, x: np.ndarray) -> np.ndarray:
+        """Members that can share SHARED shingles of some LENGTH with x: of any few more than may differ in those, one is shared.
+
+        Every run of LENGTH offsets is asked for its rarest ones.
+        """
+        spans, n = [], np.zeros(len(x), np.int64)
+        for j, ranked in enumerate(self.ranked):
+            codes = np.unique(x[max(j - 1, 0) : j + 2])
+            codes = codes[codes > 0]
+            spans.append(list(zip(np.searchsorted(ranked, codes), np.searchsorted(ranked, codes, "right"))))
+            n[j] = sum(e - s for s, e in spans[-1])
+        need, runs, out = np.full(len(x) - LENGTH + 1, LENGTH - SHARED + 1), len(x) - LENGTH, []
+        for j in np.argsort(n, kind="stable"):
+            of = need[max(j - LENGTH + 1, 0) : min(j, runs) + 1]
+            if (of > 0).any():
+                of -= 1
+                out += [self.order[j][s:e] for s, e in spans[j]]
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int32)
+
+
+def alike(near: np.ndarray, i: int, index: Near | None = None) -> np.ndarray:
     """Members (columns of near) that share SHARED shingles with member i in some LENGTH of them around the place.
 
     Where SHARED of LENGTH are equal, a word put in or left out moves the rest by one place at most.
     """
+    if index is not None:
+        some = index.may(near[:, i])
+        at = alike(np.concatenate([near[:, i : i + 1], near[:, some]], axis=1), 0)
+        return some[at[at > 0] - 1]
     x = near[:, i : i + 1]
     same = near == x
     same[1:] |= near[1:] == x[:-1]
@@ -333,10 +357,11 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not own.any() or k.min() == k.max():
                 continue
             codes = np.ascontiguousarray(near[s:e].T)
+            index = Near(codes) if e - s >= INDEXED else None
             for i in np.lexsort((k, size)):
                 if not own[i]:
                     continue
-                took = alike(codes, i)
+                took = alike(codes, i, index)
                 own[took] = own[i] = False
                 # whichever is shorter keeps the passage
                 for j in took[k[took] != k[i]]:
@@ -407,9 +432,10 @@ def linked(docs: DataFrame, wins: DataFrame, used: str | None = None) -> DataFra
         return places.join(texts, "text_hash").select("text_hash", "h", "places").mapInArrow(_refined(how), "key long, text_hash long, n int, c int, open boolean, extra int")
 
     def unsettled(rows: DataFrame) -> DataFrame:
-        """(key, _n) of groups of several texts with an open place."""
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("open").alias("_open"), F.min("text_hash").alias("_lo"), F.max("text_hash").alias("_hi"))
-        return kept(sizes.where("_open and _lo != _hi").select("key", "_n"), "substring-sizes")
+        """(key, _n, _a, _b) of groups of several texts with an open place; groups that hold the same places agree in _n, _a and _b."""
+        same = [F.bit_xor(F.xxhash64(*at)).alias(name) for name, at in (("_a", ("text_hash", "c")), ("_b", ("c", "text_hash")))]
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), *same, F.bool_or("open").alias("_open"), F.min("text_hash").alias("_lo"), F.max("text_hash").alias("_hi"))
+        return kept(sizes.where("_open and _lo != _hi").select("key", "_n", "_a", "_b"), "substring-sizes")
 
     led, led_at = kept_at(led_by(members), "substring-led")
     discard(spark, at)
@@ -417,7 +443,8 @@ def linked(docs: DataFrame, wins: DataFrame, used: str | None = None) -> DataFra
     # members that a leader took stay in their groups, for those that are alike to them but not to the leader
     rest = kept(opened(led, found, "first"), "substring-rest")
     discard(spark, led_at)
-    rest = kept(rest.join(unsettled(rest), "key").withColumn("extra", F.lit(0)), "substring-open")
+    sizes = unsettled(rest)
+    rest = kept(rest.join(sizes.select("key", "_n"), "key").withColumn("extra", F.lit(0)), "substring-open")
 
     # exact repeats: a run of LENGTH shingles holds its least one by the first function, and one of the deep runs around it
     opens = F.min(F.struct("n", "text_hash", (~F.col("open")).alias("closed"))).alias("_least")
@@ -430,11 +457,13 @@ def linked(docs: DataFrame, wins: DataFrame, used: str | None = None) -> DataFra
     left = kept(deep.join(left.select("key").distinct(), "key", "left_semi").select("key", "text_hash", "n", "c", "open", "extra"), "substring-left")
     found = verified(led_by(kept(refined(left, "whole").dropDuplicates(["key", "text_hash"]), "substring-whole-runs")), found)
 
-    # repeats with an edit: groups up to GROUP places are compared place by place, larger ones once a far shingle has split them
-    small, large = rest.where(F.col("_n") <= GROUP), rest.where(F.col("_n") > GROUP)
-    far = kept(refined(large, "far"), "substring-far")
-    far = far.join(unsettled(far).where(F.col("_n") <= GROUP), "key").select("key", "text_hash", "c", "open")
-    near = small.select("key", "text_hash", "c", "open").union(far)
+    # repeats with an edit: places are compared with the leaders among them, those of groups over TILE for every two tiles
+    sole = sizes.groupBy("_n", "_a", "_b").agg(F.min("key").alias("key")).select("key")
+    tiles = F.ceil(F.col("_n") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("text_hash", "c"), tiles).cast("int")
+    other = F.explode(F.filter(F.sequence(F.lit(0), tiles - 1), lambda x: (x != own) | (tiles == 1)))
+    near = rest.join(sole, "key", "left_semi").select("key", "text_hash", "c", "open", own.alias("_own"), other.alias("_other"))
+    near = near.withColumn("key", F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")))
     places = near.groupBy("text_hash").agg(F.collect_list(F.struct("key", "c", "open", F.lit(0).alias("extra"))).alias("places"))
     near = places.join(texts, "text_hash").select("text_hash", "h", "places").mapInArrow(_around, "tile long, text_hash long, n int, open boolean, near binary")
     pairs = near.repartition("tile").sortWithinPartitions("tile").mapInArrow(_led, "leader long, text_hash long")

@@ -701,6 +701,43 @@ def test_recall_of_edited_passages(spark):
     assert got <= pairs and len(got) >= 0.9 * len(pairs)
 
 
+@pytest.mark.parametrize("tile", [None, 150])
+def test_edited_line_is_found_among_many_holders_of_the_line(spark, monkeypatch, tile):
+    """Pairs that share four words on either side of a common line, one with a word of the line replaced; 300 other texts hold the line."""
+    if tile:
+        monkeypatch.setattr(substrings, "TILE", tile)
+    rng = random.Random(81)
+    line = _words(rng, 44)
+    rows = [(1000 + i, " ".join(_words(rng, 60) + line + _words(rng, 60))) for i in range(300)]
+    pairs = set()
+    for t in range(40):
+        a, b, edited = _words(rng, 4), _words(rng, 4), line[:21] + [f"edited{t}"] + line[22:]
+        rows += [(2 * t + i, " ".join(_words(rng, 60) + a + x + b + _words(rng, 60))) for i, x in enumerate((line, edited))]
+        pairs.add(frozenset((2 * t, 2 * t + 1)))
+    got = {frozenset((r.doc_id, r.keep_id)) for r in substrings.op7_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == pairs
+
+
+def test_places_looked_up_are_those_compared():
+    rng = np.random.default_rng(82)
+    base = rng.integers(1, 2**16, (4, 91)).astype(np.uint16)
+    near = base[rng.integers(0, 4, 600)]
+    for row in near:
+        at, n = rng.integers(0, 91), rng.integers(0, 40)
+        row[at : at + n] = rng.integers(1, 2**16, len(row[at : at + n]))
+        if rng.random() < 0.5:
+            row[at + 1 :] = row[at:-1].copy()
+        if rng.random() < 0.2:
+            row[rng.integers(50, 91) :] = 0
+    codes = np.ascontiguousarray(near.T)
+    index, found = substrings.Near(codes), 0
+    for i in range(600):
+        want = substrings.alike(codes, i)
+        assert substrings.alike(codes, i, index).tolist() == want.tolist()
+        found += len(want)
+    assert 600 < found < 600 * 600
+
+
 def test_word_hashes_are_of_the_plain_words():
     texts = [b"One two, THREE-four", None, b"", b"  .. ", "wört two".encode(), b"four three"]
     got, counts = word_hashes(texts)
