@@ -145,6 +145,21 @@ def test_bm25_by_bounds_equals_all_postings(spark, monkeypatch):
     assert effort[1] < effort[0]
 
 
+def test_bm25_of_many_postings_shuffles_and_explodes_no_words(spark, monkeypatch):
+    """Ties, string ids and blocks of queries; a task holds its k best, so the plan has neither joins nor sums of pairs."""
+    rows = [(f"c{i:03}", " ".join(f"w{i * j % 7}" for j in range(1, 2 + i % 9))) for i in range(300)] + [("x", None), ("y", "")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string")
+    queries = spark.createDataFrame([(q, f"w{q % 7} w{q % 5} w{q % 3} w1") for q in range(25)], "query_id long, text string")
+    index = lexical.build_index(chunks)
+    want = {tuple(r) for r in lexical.bm25_topk(queries, index, 4).collect()}
+    monkeypatch.setattr(lexical, "DIRECT", 0)
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 10)
+    got = lexical.bm25_topk(queries, index, 4)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 50
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not [x for x in ("Join", "Generate", "Aggregate") if x in plan]
+
+
 def test_bm25_where_every_term_is_common(spark, monkeypatch):
     """Idfs below 0: a term may take from a score, so bounds have two sides."""
     monkeypatch.setattr(lexical, "DIRECT", 0)
