@@ -16,7 +16,11 @@ that passage covers it. Groups in which places stay open go on, taken members to
 * Repeats with an edit, in groups of any size: the shingles around each place tell
   which are alike there. Groups of more than TILE places are dealt into tiles, and
   every two tiles of a group meet in a task. Of groups that hold the same places one
-  is enough.
+  is enough. Pairs that connect all places alike are verified, one for each
+  connection that is new, and of these the passages around such places are reported.
+
+Where a shingle follows itself (one word over and over), its first and last place
+stand for all.
 
 Equal texts are one text; each copy is a row of its own that names it.
 Defined results: null, empty and texts of under 50 words have no passage;
@@ -49,8 +53,14 @@ HASHES = 4
 BESIDE = (4, 8, 12)
 #: Places of a tile; a task compares the places of two tiles at a time.
 TILE = 16_384
-#: Places from which on those that may be alike are looked up instead of compared with all.
-INDEXED = 4096
+#: Places from which on those that may be alike are looked up instead of compared with all, and open places that are worth it.
+INDEXED = 16_384
+FEW = 64
+#: Places compared at a time.
+BLOCK = 4096
+#: Places from which on those alike to no other are sorted out first, and the twos of equal shingles that others have: 41 shingles with five gaps have 35, less what an edit may shift.
+MANY = 128
+TWOS = 28
 #: Shingles of the runs that stand for runs of LENGTH: each of these holds one of them at one of few places.
 DEEP = 43
 FACTORS = multipliers(HASHES, 7)
@@ -147,6 +157,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
             for k, a in enumerate(FACTORS):
                 c = compact_windows(h * a, ends)
+                # of a shingle that follows itself, the first and the last place: where two texts share a passage they have one of these alike
+                c = c[(c == starts[c]) | (c + 1 == ends[c]) | (h[c] != h[c - 1]) | (h[c] != h[np.minimum(c + 1, len(h) - 1)])]
                 # where a text repeats itself, one of the places that look alike as far as a passage reaches
                 c = np.sort(c[np.unique(contexts(h, c, starts, ends), return_index=True)[1]])
                 at = text[c]
@@ -227,11 +239,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, index = None, None  # pairs of one leader mostly follow each other
     for b in batches:
         rows = []
-        for leader, member, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+        for leader, member, x, y, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist()):
             hx, hy = (np.frombuffer(t.as_buffer(), np.uint32) for t in (x, y))
             if leader != last:
                 last, index = leader, index_of(hx)
-            rows += [(leader, member, s, e + WIDTH - 1) for s, e in passages(hx, hy, index)]
+            rows += [(leader, member, s, e + WIDTH - 1) for s, e in passages(hx, hy, index) if at is None or any(s <= c < e for c in at)]
         cols = list(zip(*rows)) or [()] * 4
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["leader", "member", "start_word", "end_word"])
@@ -283,7 +295,7 @@ def _refined(how: str):
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tile, text_hash, n, open, near): 16-bit hashes of the shingles up to LENGTH - 1 beside each place, 0 past an end."""
+    """(tile, text_hash, n, open, c, near): 16-bit hashes of the shingles up to LENGTH - 1 beside each place, 0 past an end."""
     reach = LENGTH - 1
     for b in batches:
         for key, h, (tile, c, open_, _) in _places(b):
@@ -295,8 +307,8 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = np.ascontiguousarray(spans[c.slice(at, m).to_numpy()])
                 ends = np.arange(m + 1, dtype=np.int32) * (near.shape[1] * 2)
                 data = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(ends), pa.py_buffer(near)])
-                cols = [tile.slice(at, m), pa.array(np.full(m, key, np.int64)), pa.array(np.full(m, len(h), np.int32)), open_.slice(at, m), data]
-                yield pa.RecordBatch.from_arrays(cols, names=["tile", "text_hash", "n", "open", "near"])
+                cols = [tile.slice(at, m), pa.array(np.full(m, key, np.int64)), pa.array(np.full(m, len(h), np.int32)), open_.slice(at, m), c.slice(at, m), data]
+                yield pa.RecordBatch.from_arrays(cols, names=["tile", "text_hash", "n", "open", "c", "near"])
 
 
 class Near:
@@ -326,56 +338,139 @@ class Near:
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int32)
 
 
-def alike(near: np.ndarray, i: int, index: Near | None = None) -> np.ndarray:
-    """Members (columns of near) that share SHARED shingles with member i in some LENGTH of them around the place.
+def _like(x: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Columns of near that share SHARED shingles with x in some LENGTH of them around the place, the alike ones reaching over LENGTH.
 
     Where SHARED of LENGTH are equal, a word put in or left out moves the rest by one place at most.
     """
-    if index is not None:
-        some = index.may(near[:, i])
-        at = alike(np.concatenate([near[:, i : i + 1], near[:, some]], axis=1), 0)
-        return some[at[at > 0] - 1]
-    x = near[:, i : i + 1]
+    x = x[:, None]
     same = near == x
     same[1:] |= near[1:] == x[:-1]
     same[:-1] |= near[:-1] == x[1:]
-    same &= near != 0
+    if not x.all():
+        same &= near != 0
     may = np.flatnonzero(same.view(np.uint8).sum(0, dtype=np.uint8) >= SHARED)
-    total = np.cumsum(same[:, may], axis=0, dtype=np.int16)
-    total = np.concatenate([np.zeros((1, len(may)), np.int16), total])
-    return may[(total[LENGTH:] - total[:-LENGTH]).max(0) >= SHARED] if len(may) else may
+    if not len(may):
+        return may
+    same = same[:, may]
+    total = np.concatenate([np.zeros((1, len(may)), np.int8), np.cumsum(same.view(np.int8), axis=0, dtype=np.int8)])
+    good = total[LENGTH:] - total[:-LENGTH] >= SHARED
+    # as passages() has it: in a run of such spans, one begins with a shared shingle, and that one or a later one ends with one
+    at = np.arange(len(good), dtype=np.int8)[:, None]
+    begun = np.maximum.accumulate(np.where(good & same[: len(good)], at, np.int8(-1)), axis=0)
+    broken = np.maximum.accumulate(np.where(good, np.int8(-1), at), axis=0)
+    return may[(good & same[LENGTH - 1 :] & (begun > broken)).any(0)]
+
+
+def lone(near: np.ndarray) -> np.ndarray:
+    """Columns of near that are alike to no other one for certain.
+
+    Of SHARED equal shingles of LENGTH most stand two and two: too few of a column's twos stand within one place in any others.
+    """
+    twos = np.where((near[:-1] > 0) & (near[1:] > 0), near[:-1].astype(np.uint32) << np.uint32(16) | near[1:], np.uint32(0))
+    hit = np.zeros(twos.shape, bool)
+    for j, row in enumerate(twos):
+        ranked = np.sort(row)
+        for k in range(max(j - 1, 0), min(j + 2, len(twos))):
+            at = np.searchsorted(ranked, twos[k])
+            # in its own row each one finds itself
+            at = np.minimum(at + (k == j), len(ranked) - 1)
+            hit[k] |= ranked[at] == twos[k] if k != j else (ranked[at] == twos[k]) & (at > 0)
+    hit &= twos > 0
+    total = np.concatenate([np.zeros((1, hit.shape[1]), np.int8), np.cumsum(hit.view(np.int8), axis=0, dtype=np.int8)])
+    ranked = np.sort(near, axis=0)
+    return ((total[LENGTH - 1 :] - total[: 1 - LENGTH]).max(0) < TWOS) & ~((ranked[1:] == ranked[:-1]) & (ranked[1:] > 0)).any(0)
+
+
+def alike(near: np.ndarray, i: int, index: Near | None = None) -> np.ndarray:
+    """Members (columns of near) alike to member i, itself included; with an index only those that it finds are compared."""
+    if index is None:
+        return _like(near[:, i], near)
+    some = index.may(near[:, i])
+    return some[_like(near[:, i], near[:, some])]
+
+
+def joined(key: np.ndarray, n: np.ndarray, open_: np.ndarray, near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places (rows of near) that connect all that are connected by places alike; closed places are connected as they come.
+
+    One pair for each connection that is new: as many as there are open places, at most.
+    """
+    # in the order of their texts' sizes, closed ones first; of places whose surroundings are equal the first one stands for all
+    order = np.lexsort((key, n, open_))
+    code = (near.astype(np.uint64) * multipliers(near.shape[1], 11)).sum(1, dtype=np.uint64)
+    first, of = np.unique(code[order], return_index=True, return_inverse=True)[1:]
+    of = first[of]
+    equal = np.flatnonzero(open_[order] & (of != np.arange(len(order))) & (key[order] != key[order[of]]))
+    yield order[of[equal]], order[equal]
+    order = order[np.sort(first)]
+    key, closed = key[order], int((~open_[order]).sum())
+    codes = np.ascontiguousarray(near[order].T)
+    if len(order) >= MANY:
+        some = ~lone(codes)
+        order, key, codes, closed = order[some], key[some], np.ascontiguousarray(codes[:, some]), int(some[:closed].sum())
+    rank = np.argsort(np.lexsort((key, n[order])))
+    of, count = np.maximum(np.arange(len(order)) - closed + 1, 0), len(order)
+    led, taken = np.zeros(count, bool), np.arange(count) < closed
+
+    def meet(i: int, took: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Joins what i is alike to; a pair with the shortest of each part that this joins."""
+        pick = took[key[took] != key[i]]
+        pick = pick[np.argsort(rank[pick])]
+        pick = pick[np.unique(of[pick], return_index=True)[1]]
+        met = np.zeros(count + 1, bool)
+        met[of[took]] = True
+        of[met[of]] = of[i]
+        return np.full(len(pick), order[i]), order[pick]
+
+    def among(i: int, some: np.ndarray) -> np.ndarray:
+        """Those of some places that i is alike to; of closed ones, all of one part, those of the first block with any."""
+        if index is not None and len(some) >= INDEXED:
+            some = np.intersect1d(some, index.may(codes[:, i]), assume_unique=True)
+        out, shut = [some[:0]], int(np.searchsorted(some, closed))
+        for at in (*range(0, shut, BLOCK), *range(shut, len(some), BLOCK)):
+            if at >= shut or not len(out[-1]):
+                block = some[at : min(at + BLOCK, shut) if at < shut else at + BLOCK]
+                out.append(block[_like(codes[:, i], codes[:, block[0] : block[-1] + 1] if block[-1] - block[0] < len(block) else codes[:, block])])
+        return np.concatenate(out)
+
+    # the shortest place leads and takes all it is alike to, until none is left
+    index = Near(codes) if count >= INDEXED and count - closed >= FEW else None
+    for i in range(closed, count):
+        if not taken[i]:
+            led[i] = True
+            took = among(i, np.flatnonzero(~led))
+            if len(took):
+                taken[took] = True
+                yield meet(i, took)
+    # leaders have met all; those that different ones took may be alike too
+    taken &= ~led
+    for i in np.flatnonzero(taken[closed:]) + closed:
+        some = np.flatnonzero(taken & (of != of[i]))
+        took = among(i, some[(some < closed) | (some > i)])
+        if len(took):
+            yield meet(i, took)
 
 
 def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by tile. In each, the shortest open member leads and takes all it is alike to, until none is open."""
+    """Rows come sorted by tile. (leader, text_hash, c) of the pairs that connect the places of each; the shorter text of a pair leads."""
 
-    def solve(tile: np.ndarray, key: np.ndarray, n: np.ndarray, open_: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
-        out: set[tuple[int, int]] = set()
+    def solve(tile: np.ndarray, key: np.ndarray, n: np.ndarray, open_: np.ndarray, c: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        out = [np.zeros((2, 0), np.int64)]
         edges = np.r_[np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]), len(tile)]
         for s, e in zip(edges[:-1], edges[1:]):
-            own, k, size = open_[s:e].copy(), key[s:e], n[s:e]
-            if not own.any() or k.min() == k.max():
-                continue
-            codes = np.ascontiguousarray(near[s:e].T)
-            index = Near(codes) if e - s >= INDEXED else None
-            for i in np.lexsort((k, size)):
-                if not own[i]:
-                    continue
-                took = alike(codes, i, index)
-                own[took] = own[i] = False
-                # whichever is shorter keeps the passage
-                for j in took[k[took] != k[i]]:
-                    a, b = sorted(((int(size[i]), int(k[i])), (int(size[j]), int(k[j]))))
-                    out.add((a[1], b[1]))
-        cols = list(zip(*out)) or [(), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["leader", "text_hash"])
+            if open_[s:e].any() and key[s:e].min() != key[s:e].max():
+                out += [np.stack(pair) + s for pair in joined(key[s:e], n[s:e], open_[s:e], near[s:e])]
+        a, b = np.concatenate(out, axis=1)
+        swap = (n[a] > n[b]) | (n[a] == n[b]) & (key[a] > key[b])
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b]), pa.array(c[b])], names=["leader", "text_hash", "c"])
 
     held = None
     for b in batches:
         if not b.num_rows:
             continue
-        near = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint16).reshape(b.num_rows, -1)
-        new = [*[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], near]
+        near = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint16).reshape(b.num_rows, -1)
+        new = [*[b.column(i).to_numpy(zero_copy_only=False) for i in range(5)], near]
         rows = new if held is None else [np.concatenate(x) for x in zip(held, new)]
         cut = int(np.searchsorted(rows[0], rows[0][-1]))
         if cut:
@@ -408,16 +503,17 @@ def linked(docs: DataFrame, wins: DataFrame, used: str | None = None) -> DataFra
         first = kept(first.drop("_hi", "_lo").withColumn("leader", F.col("_first.text_hash")).drop("_first"), "substring-leaders")
         return rows.join(first.hint("shuffle_hash"), "key")
 
-    def verified(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """Passages of distinct pairs (leader, text_hash) that are not among the known ones, and those of these."""
-        pairs = pairs.select("leader", F.col("text_hash").alias("member")).where("leader != member").distinct()
+    def verified(pairs: DataFrame, known: DataFrame | None = None, place: str | None = None) -> DataFrame:
+        """Passages of distinct pairs (leader, text_hash) that are not among the known ones, and those of these; place: only passages that hold such a place of the pair."""
+        pairs = pairs.withColumnRenamed("text_hash", "member").where("leader != member")
+        pairs = pairs.groupBy("leader", "member").agg(F.collect_set(place).alias("at")) if place else pairs.select("leader", "member", F.lit(None).cast("array<int>").alias("at")).distinct()
         if known is not None:
             pairs = pairs.join(known.select("leader", "member").distinct(), ["leader", "member"], "left_anti")
         pairs = kept(pairs, "substring-pairs")
         # sorted by the leader, whose index then serves all its members
         both = pairs.join(texts.select(F.col("text_hash").alias("member"), F.col("h").alias("_y")), "member")
         both = both.join(texts.select(F.col("text_hash").alias("leader"), F.col("h").alias("_x")), "leader")
-        found = kept(both.select("leader", "member", "_x", "_y").mapInArrow(_verified, "leader long, member long, start_word int, end_word int"), "substring-found")
+        found = kept(both.select("leader", "member", "_x", "_y", "at").mapInArrow(_verified, "leader long, member long, start_word int, end_word int"), "substring-found")
         return found if known is None else known.union(found)
 
     def opened(led: DataFrame, found: DataFrame, *cols: str) -> DataFrame:
@@ -465,9 +561,9 @@ def linked(docs: DataFrame, wins: DataFrame, used: str | None = None) -> DataFra
     near = rest.join(sole, "key", "left_semi").select("key", "text_hash", "c", "open", own.alias("_own"), other.alias("_other"))
     near = near.withColumn("key", F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")))
     places = near.groupBy("text_hash").agg(F.collect_list(F.struct("key", "c", "open", F.lit(0).alias("extra"))).alias("places"))
-    near = places.join(texts, "text_hash").select("text_hash", "h", "places").mapInArrow(_around, "tile long, text_hash long, n int, open boolean, near binary")
-    pairs = near.repartition("tile").sortWithinPartitions("tile").mapInArrow(_led, "leader long, text_hash long")
-    return verified(pairs, found).distinct()
+    near = places.join(texts, "text_hash").select("text_hash", "h", "places").mapInArrow(_around, "tile long, text_hash long, n int, open boolean, c int, near binary")
+    pairs = near.repartition("tile").sortWithinPartitions("tile").mapInArrow(_led, "leader long, text_hash long, c int")
+    return verified(pairs, found, "c").distinct()
 
 
 def op7_substrings(docs: DataFrame) -> DataFrame:

@@ -744,3 +744,56 @@ def test_word_hashes_are_of_the_plain_words():
     words = [w for t in texts for w in plain_words(t)]
     assert counts.tolist() == [len(plain_words(t)) for t in texts]
     assert len({(w, h) for w, h in zip(words, got.tolist())}) == len(set(words)) == len(set(got.tolist()))
+
+
+def test_near_copies_are_not_linked_each_with_all(spark):
+    """Copies of one text, each with edits of its own: twice the copies give less than three times the rows, not four times, and every one is linked."""
+    rng = random.Random(83)
+    base, counts = _words(rng, 700), []
+    for m in (30, 60):
+        rows = []
+        for i in range(m):
+            text = list(base)
+            for at in rng.sample(range(700), 14):
+                text[at] = f"own{i}x{at}"
+            rows.append((i, " ".join(text)))
+        got = substrings.op7_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        root = _slow_components([i for i, _ in rows], [(r.doc_id, r.keep_id) for r in got])
+        assert len(set(root.values())) == 1
+        counts.append(len(got))
+    assert counts[1] < 3 * counts[0]
+
+
+@pytest.mark.parametrize("many", [None, 2])
+def test_pairs_of_places_connect_all_that_are_alike(monkeypatch, many):
+    if many:
+        for name in ("MANY", "INDEXED", "FEW"):
+            monkeypatch.setattr(substrings, name, many)
+        monkeypatch.setattr(substrings, "BLOCK", 7)
+    rng = np.random.default_rng(84)
+    for trial in range(12):
+        near = rng.integers(1, 2**16, (5, 91)).astype(np.uint16)[rng.integers(0, 5, 150)]
+        for row in near:
+            for _ in range(rng.integers(0, 4)):
+                at = rng.integers(0, 91)
+                row[at : at + 5] = rng.integers(1, 2**16, len(row[at : at + 5]))
+            if rng.random() < 0.3:
+                row[50:] = row[49:-1].copy()
+            row[45] = 7
+        key, n, open_ = rng.permutation(150), rng.integers(50, 99, 150), rng.random(150) < 0.6
+        pairs = [x for a, b in substrings.joined(key, n, open_, near) for x in zip(a.tolist(), b.tolist())]
+        assert len(pairs) <= open_.sum()
+        closed = [(int(i), int(np.flatnonzero(~open_)[0])) for i in np.flatnonzero(~open_)]
+        order = np.lexsort((key, n)).tolist()
+        codes = np.ascontiguousarray(near.T)
+        want = [(i, int(j)) for i in order for j in substrings.alike(codes, i) if i != j]
+        assert all(i in substrings.alike(codes, j) or j in substrings.alike(codes, i) for i, j in pairs)
+        assert _parts(150, pairs + closed) == _parts(150, want + closed)
+
+
+def _parts(n, links):
+    root = _slow_components(range(n), links)
+    parts = {}
+    for i in range(n):
+        parts.setdefault(root[i], set()).add(i)
+    return {frozenset(x) for x in parts.values()}
