@@ -2,6 +2,7 @@
 
 import random
 import math
+import time
 
 import numpy as np
 import pytest
@@ -457,6 +458,53 @@ def test_ppr_in_lots_and_blocks_matches_dense_matrices(spark, monkeypatch):
         assert [got[q, n + 1] for n in range(len(want))] == [(c, pytest.approx(-s, abs=2e-6)) for s, c in want]
 
 
+def test_ppr_walks_copies_once_and_leaves_no_step(spark, monkeypatch):
+    """Copies of a chunk and of a question are walked once and ranked each; no step's table is left."""
+    from tessera.sources import scratch
+
+    monkeypatch.setattr(graph, "QUERIES", 1)
+    monkeypatch.setattr(graph, "LOTS", 1, raising=False)
+    own = [["a", "b"], ["b", "c"], ["a", "b"], ["c"], ["a", "b"], ["a", "b"], ["b", "c", "d"], ["d"]]
+    rows = [(i, e, True) for i, names in enumerate(own) for e in names]
+    edges = scratch.kept(graph.build_graph(spark.createDataFrame(rows, "chunk_id long, entity string, proven boolean"), 400), "test-edges")
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (2, "d"), (3, "a"), (4, "d"), (4, "b")], "query_id long, entity string")
+    held = list(scratch._written)
+    found = graph.ppr(asked, edges, 3, iterations=3)
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in scratch._written if p not in held]
+    assert not {"ppr", "ppr-edges", "ppr-routes"} & set(left)
+    got = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in found.collect()}
+    es, idf = edges.collect(), {}
+    names = sorted({e.entity for e in es})
+    t, u = np.zeros((len(own), len(names))), np.zeros((len(names), len(own)))
+    for e in es:
+        idf[e.entity] = e.idf
+        t[e.chunk_id, names.index(e.entity)], u[names.index(e.entity), e.chunk_id] = e.to_chunk, e.to_entity
+    for q, words in {1: "a", 2: "bd", 3: "a", 4: "bd"}.items():
+        r = np.array([idf[n] if n in words else 0.0 for n in names])
+        m = r = r / r.sum()
+        for _ in range(3):
+            m = 0.5 * r + 0.5 * (u @ (t @ m))
+        want = sorted((-round(s, 6), i) for i, s in enumerate(t @ m) if round(s, 6) > 0)[:3]
+        assert [got[q, n + 1] for n in range(len(want))] == [(i, pytest.approx(-s, abs=2e-6)) for s, i in want]
+
+
+def test_kept_leaves_no_shuffle_files(spark):
+    from tessera.sources import scratch
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    data = lambda: {f for f in disk.getAllFiles().mkString("|").split("|") if f.endswith(".data")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = spark.range(20_000).selectExpr("id % 97 AS k", "id").repartition(3, "k")
+    before, setting = data(), spark.conf.get(key, "false")
+    table = scratch.kept(rows, "test-cleanup")
+    for _ in range(100):  # files are deleted beside the query's end
+        if not data() - before:
+            break
+        time.sleep(0.05)
+    assert not data() - before and spark.conf.get(key, "false") == setting
+    assert table.count() == 20_000
+
+
 def test_hubs_are_dropped(spark):
     df = spark.createDataFrame([(i, "HUB here" + (" H100" if i < 2 else "")) for i in range(31)], "chunk_id long, content string")
     assert {r.entity for r in graph.build_graph(graph.entities(df), 31).collect()} == {"h100"}
