@@ -1,8 +1,8 @@
 """A lexical index that is kept up by batches instead of being built again.
 
 Under the store's path every batch writes folders of its own, so a batch that is run
-again replaces itself: forward rows and postings of its new texts, the ids it took
-out, and what it changed in the terms' and the corpus's figures. A row counts while no
+again replaces itself: forward rows and postings of its new texts, the ids of live
+rows it took out, and what it changed in the terms' and the corpus's figures. A row counts while no
 later batch took its chunk out. Figures are sums of the batches' changes, so nothing
 is counted again. compact() writes one generation of live rows, in the order of their
 terms, and the batches before it are no longer read.
@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tessera.operators.lexical import Index, forward_of, gain_col, postings_of
-from tessera.sources.scratch import BROADCAST_ROWS, exists, kept, small_or_shuffled
+from tessera.sources.scratch import discard, exists, kept, kept_at, written
 
 WORDS = "array<struct<term: string, tf: int>>"
+#: Ids taken out that are broadcast, some 50 MB; more are met by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Postings that are put in order at a time, in so many slices at most.
+SLICE, SLICES = 4_000_000, 4
 
 
 class LexicalStore:
@@ -47,8 +51,27 @@ class LexicalStore:
             return self.spark.createDataFrame([], self.schemas[name])
         return self.spark.read.schema(self.schemas[name]).parquet(folder)
 
-    def _write(self, name: str, rows: DataFrame, batch: int, generation: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/generation={generation}/{name}/batch={batch}")
+    def _write(self, name: str, rows: DataFrame, batch: int, generation: int, mode: str = "overwrite") -> None:
+        written(rows, f"{self.path}/generation={generation}/{name}/batch={batch}", mode, compression="zstd")
+
+    def _write_forward(self, rows: DataFrame, batch: int, generation: int) -> DataFrame:
+        """The rows as written: what is made of them need not count words again."""
+        self._write("forward", rows, batch, generation)
+        rows = self.spark.read.schema(self.schemas["forward"]).parquet(f"{self.path}/generation={generation}/forward")
+        return rows.where(F.col("batch") == batch).drop("batch")
+
+    def _write_postings(self, forward: DataFrame, batch: int, generation: int) -> None:
+        """In the order of terms; many by slices of the terms, each in their order, so that one slice is shuffled at a time. forward: written."""
+        n = forward.agg(F.sum(F.size("words"))).first()[0] or 0
+        slices, order = max(1, min(SLICES, -(-n // SLICE))), ["term", "chunk_id"]
+        for i in range(slices):
+            rows = postings_of(forward)
+            rows = rows.where(F.pmod(F.xxhash64("term"), F.lit(slices)) == i) if slices > 1 else rows
+            self._write("postings", rows.repartitionByRange(*order).sortWithinPartitions(*order), batch, generation, "append" if i else "overwrite")
+
+    def _met(self, ids: DataFrame, n: int) -> DataFrame:
+        # hashed where it is large, so that the long side needs no sort
+        return F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("shuffle_hash")
 
     def _live(self, name: str, before: int | None = None) -> DataFrame:
         """Rows that no later batch took out; before leaves out that batch and those after it."""
@@ -56,9 +79,9 @@ class LexicalStore:
         if before is not None:
             rows, gone = rows.where(F.col("batch") < before), gone.where(F.col("batch") < before)
         last = kept(gone.groupBy("chunk_id").agg(F.max("batch").alias("_gone")), "gone")
-        n = last.count()
-        # hashed where it is large, so that the long side needs no sort
-        rows = rows.join(small_or_shuffled(last, n) if n <= BROADCAST_ROWS else last.hint("shuffle_hash"), "chunk_id", "left")
+        if not (n := last.count()):
+            return rows
+        rows = rows.join(self._met(last, n), "chunk_id", "left")
         return rows.where(F.col("_gone").isNull() | (F.col("batch") >= F.col("_gone"))).drop("_gone")
 
     def apply(self, batch: int, new: DataFrame | None = None, delete: DataFrame | None = None) -> None:
@@ -68,18 +91,20 @@ class LexicalStore:
             return
         kind = self.schemas["gone"].split(" ")[1].rstrip(",")
         nothing = self.spark.createDataFrame([], f"chunk_id {kind}, content string")
-        fresh = kept(forward_of(new if new is not None else nothing), "batch-forward")
-        out = fresh.select("chunk_id")
-        gone = kept((out if delete is None else out.unionByName(delete.select("chunk_id"))).distinct(), "batch-gone")
-        old = kept(self._live("forward", batch).join(small_or_shuffled(gone), "chunk_id", "left_semi").select("chunk_id", "dl", "words"), "batch-old")
+        fresh = self._write_forward(forward_of(new if new is not None else nothing), batch, generation)
+        ids = fresh.select("chunk_id")
+        ids, ids_at = kept_at((ids if delete is None else ids.unionByName(delete.select("chunk_id"))).distinct(), "batch-ids")
+        old = self._live("forward", batch).join(self._met(ids, ids.count()), "chunk_id", "left_semi").select("chunk_id", "dl", "words")
+        old, old_at = kept_at(old, "batch-old")
         signed = fresh.withColumn("sign", F.lit(1)).unionByName(old.withColumn("sign", F.lit(-1)))
         terms = signed.select("sign", F.explode("words.term").alias("term")).groupBy("term").agg(F.sum("sign").alias("df")).where("df <> 0")
         count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
         stats = signed.agg(count("sign").alias("n_chunks"), count(F.when(F.col("dl").isNotNull(), F.col("sign"))).alias("filled"), count(F.col("dl") * F.col("sign")).alias("tokens"))
-        order = ["term", "chunk_id"]
-        # a table by now, so that ranges are sampled without the words being counted again
-        for name, rows in (("forward", fresh), ("postings", postings_of(fresh).repartitionByRange(*order).sortWithinPartitions(*order)), ("terms", terms), ("stats", stats), ("gone", gone)):
+        self._write_postings(fresh, batch, generation)
+        for name, rows in (("terms", terms), ("stats", stats), ("gone", old.select("chunk_id"))):
             self._write(name, rows, batch, generation)
+        discard(self.spark, ids_at)
+        discard(self.spark, old_at)
 
     def postings(self) -> DataFrame:
         """The live postings alone: no figures are worked out for them."""
@@ -100,11 +125,8 @@ class LexicalStore:
         last = self._table("stats").agg(F.max("batch")).first()[0]
         if last is None:
             return
-        order = ["term", "chunk_id"]
-        self._write("forward", self._live("forward").drop("batch"), last, generation + 1)
         # postings come from the rows just written: they need not meet what was taken out once more
-        live = self.spark.read.schema(self.schemas["forward"]).parquet(f"{self.path}/generation={generation + 1}/forward")
-        self._write("postings", postings_of(live).repartitionByRange(*order).sortWithinPartitions(*order), last, generation + 1)
+        self._write_postings(self._write_forward(self._live("forward").drop("batch"), last, generation + 1), last, generation + 1)
         self._write("terms", self._table("terms").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0"), last, generation + 1)
         self._write("stats", self._table("stats").agg(*[F.sum(c).alias(c) for c in ("n_chunks", "filled", "tokens")]), last, generation + 1)
         self.spark.createDataFrame([(generation + 1, last)], self.schemas["generations"]).coalesce(1).write.mode("append").parquet(f"{self.path}/generations")

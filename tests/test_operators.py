@@ -859,6 +859,37 @@ def test_kept_up_postings_need_no_figures(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in store.index().postings.select("term", "chunk_id", "tf", "dl").collect()} == got
 
 
+def test_kept_up_store_holds_one_generation_of_scratch(spark, sf):
+    import os
+
+    from tessera.queries import QUERIES
+    from tessera.sources import scratch
+
+    held = list(scratch._written)
+    assert QUERIES["lx2_kept_up_index"](spark, sf).count()
+    new = [p for p in scratch._written if p not in held]
+    stores = [p.removeprefix("file://") for p in new if "/lexical-" in p]
+    assert len(stores) == 1 and sorted(f for f in os.listdir(stores[0]) if f.startswith("generation=")) == ["generation=1"]
+    assert not [p for p in new if "/batch-" in p]
+
+
+def test_store_writes_postings_by_slices_and_takes_out_live_ids_alone(spark, tmp_path, monkeypatch):
+    from tessera.operators import index_store
+
+    monkeypatch.setattr(index_store, "SLICE", 4, raising=False)
+    store, texts = LexicalStore(spark, str(tmp_path / "store")), {i: f"alpha w{i} w{i % 3} " * (1 + i % 2) for i in range(9)}
+    store.apply(0, _chunks(spark, list(texts.items())))
+    assert store._table("gone").count() == 0
+    change = {3: "gamma delta", 30: "new alpha"}
+    store.apply(1, _chunks(spark, list(change.items())), spark.createDataFrame([(5,), (77,)], "chunk_id long"))
+    assert sorted(r.chunk_id for r in store._table("gone").collect()) == [3, 5]
+    texts = {k: v for k, v in (texts | change).items() if k != 5}
+    want = _figures(lexical.stored(lexical.build_index(_chunks(spark, list(texts.items())))))
+    assert _figures(store.index()) == want
+    store.compact()
+    assert _figures(store.index()) == want and store.postings().count() == len(want[1])
+
+
 def test_small_traces_are_walked_in_their_own_row(spark, monkeypatch):
     rng = random.Random(4)
     rows = []
